@@ -27,6 +27,12 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -40,7 +46,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op9_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op9_best_fit_packing)
 }
 
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _WS = np.zeros(256, bool)
@@ -121,7 +122,7 @@ def shingles(word: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarra
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 22):
     """The batch in row slices of about max_bytes of text each (one row at least)."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.concatenate([[0], np.cumsum(size)[:-1]]) // max_bytes if len(size) else size
     cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
     for a, b in zip(cut, cut[1:]):
