@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,82 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     # a label of an earlier round can itself have been mapped on since; the contraction keeps both in one chain
     return labels
+
+
+def chunk_table(docs: DataFrame, name: str, text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
+    """docs as a scratch table of chunks: part, seq, docs (array of whole rows, about max_bytes of text).
+
+    It is bucketed by part (one part a task), so what is joined to it by part is shuffled
+    and the texts are not.
+    """
+    from pyspark.sql import types as T
+
+    from .words import slices
+
+    spark = docs.sparkSession
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("docs", T.ArrayType(docs.schema))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def chunk():
+            got = pa.Table.from_batches(held).combine_chunks()
+            struct = pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in got.columns], fields=list(got.schema))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)], names=["part", "seq", "docs"])
+
+        for batch in batches:
+            for piece in slices(batch, text, max_bytes):
+                n = pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
+                if held and size + n > max_bytes:
+                    yield chunk()
+                    seq, held, size = seq + 1, [], 0
+                held.append(piece)
+                size += n
+        if held:
+            yield chunk()
+
+    parts = docs.rdd.getNumPartitions()
+    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{scratch_root(spark)}/porelane/{name}-{uuid.uuid4().hex}"
+    table = f"porelane_{name}_{uuid.uuid4().hex}"
+    docs.mapInArrow(run, schema).write.bucketBy(n, "part").option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out._porelane_path, out._porelane_parts = path, n
+    return out
+
+
+def chunk_docs(batch: pa.RecordBatch):
+    """(row, documents of that chunk as a record batch) of every row of a batch with the column docs."""
+    docs = batch.column("docs")
+    for r in range(batch.num_rows):
+        struct = docs[r].values
+        yield r, pa.RecordBatch.from_arrays([pc.struct_field(struct, [i]) for i in range(struct.type.num_fields)], schema=pa.schema(list(struct.type)))
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("val", pa.binary()), ("num", pa.binary())])
+
+
+def send_values(part: int, seq: int, values: np.ndarray, num: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's sorted distinct 64-bit values, each with a number, dealt out by their highest bits."""
+    cut = np.searchsorted((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    s = [slice(a, b) for a, b in zip(cut, cut[1:])]
+    full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+    if full:
+        yield from in_batches({"bucket": full, "part": [part] * len(full), "seq": [seq] * len(full), "val": [blob(values[s[b]]) for b in full], "num": [blob(num[s[b]]) for b in full]}, SENT)
+
+
+SENT_SQL = "bucket int, part long, seq int, val binary, num binary"
+
+
+def answers_of(answered: DataFrame) -> DataFrame:
+    """part, answers: one small row a part with all answers (seq, bucket, ans) to its chunks."""
+    return answered.groupBy("part").agg(F.collect_list(F.struct("seq", "bucket", "ans")).alias("answers"))
+
+
+def answers_for(batch: pa.RecordBatch, r: int, dtype) -> np.ndarray:
+    """The answers to row r's values, in the values' order."""
+    got = batch.column("answers")[r].as_py() or []
+    mine = sorted((x["bucket"], x["ans"]) for x in got if x["seq"] == batch.column("seq")[r].as_py())
+    return np.concatenate([np.zeros(0, dtype), *(unblob(x, dtype) for _, x in mine)])

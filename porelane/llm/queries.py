@@ -33,6 +33,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import digest, substring_dedup
+
+    return digest(substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -46,7 +52,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op9_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op5_substring_dedup, op9_best_fit_packing)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": """
+        WITH split AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, start, array_to_string(words[start : start + 34], ' ') AS passage
+            FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS start FROM split WHERE len(words) >= 35)
+        ), twice AS (
+            SELECT passage FROM windows GROUP BY passage HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(start, start + 34)) AS pos
+            FROM windows SEMI JOIN twice USING (passage)
+        ), lost AS (
+            SELECT doc_id, list(pos) AS pos FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(pos), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(words, lambda x, i: pos IS NULL OR NOT list_contains(pos, i)), ' '), '')) AS kept_sha256
+        FROM split LEFT JOIN lost USING (doc_id)
+    """,
+}
