@@ -45,6 +45,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -52,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op5_substring_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op5_substring_dedup, op9_best_fit_packing, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
