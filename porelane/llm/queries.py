@@ -33,6 +33,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import digest, substring_dedup
 
@@ -58,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op5_substring_dedup, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op9_best_fit_packing, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
