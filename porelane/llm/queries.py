@@ -45,6 +45,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -64,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_merge_dropout, op9_best_fit_packing, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
