@@ -4,7 +4,9 @@ A payload becomes 8-bit mono PCM WAV bytes (44-byte header, then one sample a by
 A rolling gear hash cuts the stored form where its low bits are zero, chunk digests are
 deduplicated by an aggregate and joined back, and each document's ordered chunk list is
 joined to the chunk store, concatenated, verified against the digest taken at writing, parsed
-and measured.  Chunks travel compressed.
+and measured.  Chunks travel compressed, with a dictionary trained on a bounded sample
+(`sample` texts of smallest hash); it changes what is shuffled, never a result.  The list of a
+document of one chunk is complete after the join, so only longer ones are brought together.
 
 Hot chunks: the store keeps one row a digest (partial aggregation drops copies in each map
 task); the list side of the join is skewed and split by adaptive execution.  A document's
@@ -76,17 +78,33 @@ def cuts(data: bytes, low: int = 2048, bits: int = 12, high: int = 32768) -> lis
     return out
 
 
-CHUNKS = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
-CHUNKS_SQL = "text_key long, doc_id long, n_bytes long, whole binary, ord int, digest binary, packed binary"
+CHUNKS = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("n_chunks", pa.int32()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
+CHUNKS_SQL = "text_key long, doc_id long, n_bytes long, whole binary, n_chunks int, ord int, digest binary, packed binary"
 
 
-def chunked(docs: DataFrame, store: bool) -> DataFrame:
+def dictionary(docs: DataFrame, sample: int, size: int = 65_536) -> bytes | None:
+    """A compression dictionary from at most `sample` texts; None where there is too little text."""
+    import zstandard
+
+    some = [r["text"].encode() for r in docs.where("length(text) > 0").select(F.substring("text", 1, 32_768).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(sample).collect()]
+    if sum(map(len, some)) < 20 * size:
+        return None
+    return zstandard.train_dictionary(size, some).as_bytes()
+
+
+def codec(words: bytes | None) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFrame:
     """One row a chunk, with its bytes (store) or only as an entry of its document's list."""
 
     def cut(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        pack = zstandard.ZstdCompressor(level=6, write_content_size=True, **codec(words))
         for batch in batches:
             out = {n: [] for n in CHUNKS.names}
             seen, size = set(), 0
@@ -94,7 +112,8 @@ def chunked(docs: DataFrame, store: bool) -> DataFrame:
                 data = (text.as_py() or "").encode()
                 media = to_wav(payload(data))
                 at, whole = 0, None if store else hashlib.sha256(media).digest()
-                for i, end in enumerate(cuts(media)):
+                ends = cuts(media)
+                for i, end in enumerate(ends):
                     piece = media[at:end]
                     at = end
                     digest = hashlib.sha256(piece).digest()
@@ -105,7 +124,7 @@ def chunked(docs: DataFrame, store: bool) -> DataFrame:
                         seen.add(digest)
                         packed = pack.compress(piece)
                         size += len(packed)
-                    for k, v in zip(CHUNKS.names, (row, doc, len(data), whole, i, digest, packed)):
+                    for k, v in zip(CHUNKS.names, (row, doc, len(data), whole, len(ends), i, digest, packed)):
                         out[k].append(v)
                 if size > 1 << 23:
                     yield rows(CHUNKS, **out)
@@ -125,19 +144,22 @@ def feature(samples: np.ndarray) -> str:
     return f"sum={x.sum()};squares={(x * x).sum()};crossings={np.count_nonzero(np.diff(samples >= 128))};distinct={np.count_nonzero(count)};mode={count.argmax()}"
 
 
-def media(docs: DataFrame) -> DataFrame:
+def media(docs: DataFrame, sample: int = 1000) -> DataFrame:
     """Store every text as chunked media, read it back from the chunk store and measure it."""
-    # a row key: rows with one doc_id keep lists of their own, whatever else the table holds
+    words = dictionary(docs, sample)
+    # rows with one doc_id keep lists of their own where their texts differ
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    listed = chunked(keyed, False).groupBy("doc_id", "text_key", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"), F.count(F.lit(1)).alias("copies"))
-    store = chunked(keyed, True).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
-    found = listed.join(store, "digest", "left")
-    whole = found.groupBy("doc_id", "text_key").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("copies").alias("copies"), F.collect_list(F.struct("ord", "digest", "packed")).alias("list"))
+    listed = chunked(keyed, False).groupBy("doc_id", "text_key", "n_chunks", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"), F.count(F.lit(1)).alias("copies"))
+    store = chunked(keyed, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
+    part = F.struct("ord", "digest", "packed")
+    one = listed.where("n_chunks = 1").join(store, "digest", "left").select("doc_id", "n_bytes", "whole", "copies", F.array(part).alias("list"))
+    more = listed.where("n_chunks > 1").join(store, "digest", "left").groupBy("doc_id", "text_key").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("copies").alias("copies"), F.collect_list(part).alias("list"))
+    whole = one.unionByName(more.drop("text_key"))
 
     def read(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**codec(words))
         for batch in batches:
             out = {n: [] for n in FEATURES.names}
             for r in range(batch.num_rows):
