@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .common import table
 
 
@@ -51,6 +52,16 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toolcalls import conversation_tools
+
+    return conversation_tools(table(spark, sf_dir, "conversations"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -70,10 +81,41 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_merge_dropout, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_merge_dropout, op7_tool_calls, op8_license_scan, op9_best_fit_packing, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
+    "op8_license_scan": licenses.oracle(),
+    "op7_tool_calls": """
+        WITH RECURSIVE said AS (
+            SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id,
+                   ['calculate', 'lookup', 'search'][1 + turn % 3] AS name,
+                   len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::INTEGER AS words
+            FROM conversations WHERE role = 'assistant'
+        ), ids AS (SELECT DISTINCT conv_id, turn FROM said),
+        chain AS (
+            SELECT conv_id, turn, 0::BIGINT AS level FROM ids a
+            WHERE NOT EXISTS (SELECT 1 FROM ids b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
+            UNION ALL
+            SELECT ids.conv_id, ids.turn, level + 1 FROM chain JOIN ids ON ids.conv_id = chain.conv_id AND ids.turn = chain.turn + 2
+        ), answers AS (
+            SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM conversations WHERE role = 'user' GROUP BY ALL
+        ), limits(name, chars, most) AS (VALUES ('calculate', 400, 80), ('lookup', 200, 40), ('search', 300, 60)),
+        judged AS (
+            SELECT s.*, level, content, a.turn IS NOT NULL AS answered,
+                   CASE WHEN level > 0 THEN s.conv_id || ':' || (s.turn - 2) END AS after,
+                   list_filter([CASE WHEN length(text) < 1 THEN 'text: length below 1' END, CASE WHEN length(text) > chars THEN 'text: length above ' || chars END,
+                                CASE WHEN words < 1 THEN 'words: value below 1' END, CASE WHEN words > most THEN 'words: value above ' || most END], lambda x: x IS NOT NULL) AS problems
+            FROM said s JOIN chain USING (conv_id, turn) JOIN limits USING (name) LEFT JOIN answers a USING (conv_id, turn)
+        )
+        SELECT conv_id, turn, call_id, name, after, level, CASE WHEN answered THEN 'ok' ELSE 'no result' END AS status,
+               array_to_string(problems, '; ') AS errors,
+               '{' || CASE WHEN after IS NULL THEN '' ELSE '"after":' || to_json(after) || ',' END
+                   || '"arguments":{"text":' || to_json(text) || ',"words":' || words || '},"errors":' || to_json(problems) || ',"id":' || to_json(call_id)
+                   || ',"level":' || level || ',"name":' || to_json(name) || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END
+                   || ',"status":' || to_json(CASE WHEN answered THEN 'ok' ELSE 'no result' END) || '}' AS json
+        FROM judged
+    """,
     "op5_substring_dedup": """
         WITH split AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
