@@ -38,7 +38,7 @@ from .common import blob, components, dropped, in_batches, rows, split_by, text_
 from .words import Words, mix64, shingles, slices, string_buffers
 
 U = np.uint64
-PER_BUCKET = 2_000_000  # tokens a bucket of postings holds, about
+PER_BUCKET = 1_000_000  # tokens a bucket of postings holds, about
 BLOCK = 256  # members a block of a cluster holds, about
 
 

@@ -33,6 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _BASE_BYTE, _BASE_WORD = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BLOCK = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -40,7 +41,7 @@ def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 4)
         inv = pow(base, -1, 1 << 64)
         got = tuple(np.multiply.accumulate(np.concatenate([[U(1)], np.full(size - 1, b, U)]).astype(U)) for b in (base, inv))
         _powers[base] = got
@@ -81,10 +82,19 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        up, down = _pow(_BASE_BYTE, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * down[self.start])
+        """Of every word; about BLOCK bytes at a time, so memory doesn't grow with the batch."""
+        out, w = np.empty(len(self.start), U), 0
+        while w < len(out):
+            at = self.start[w]
+            last = max(w + 1, int(np.searchsorted(self.start, at + BLOCK)))
+            part = self.data[at : self.end[last - 1]]
+            up, down = _pow(_BASE_BYTE, len(part) + 1)
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+            start = self.start[w:last] - at
+            out[w:last] = mix64((total[self.end[w:last] - at] - total[start]) * down[start])
+            w = last
+        return out
 
 
 def runs(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +130,7 @@ def shingles(word: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarra
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20):
     """The batch in row slices of about max_bytes of text each (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.concatenate([[0], np.cumsum(size)[:-1]]) // max_bytes if len(size) else size
