@@ -336,3 +336,21 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, orders: int
     got = of.join(per_class, "cid", "left")
     ok = F.col("doc_id").isNotNull()
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(ok, F.coalesce("class_component", "doc_id")).alias("component_id"), F.when(ok, F.coalesce("class_links", F.lit(0).cast("long"))).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without the documents that a similar one of smaller doc_id stands for.
+
+    Of rows with one doc_id and one text, one stays.  Texts without words and rows without a
+    doc_id all stay.
+    """
+    groups = jaccard_join(docs, **how)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= 500_000 else ids  # noqa: E731  checked: 8 bytes a row; a shuffled join beyond it
+    out = docs.join(small(gone), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        twice = out.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(small(repeated), "doc_id", "left_anti").unionByName(twice)
+    return out.select(docs.columns)

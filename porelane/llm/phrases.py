@@ -165,8 +165,13 @@ def covered(made: Windows, recurring: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
-    """Every row of docs with n_words, n_removed, kept (the words that stay, joined by one space)."""
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, prefix: str = "") -> DataFrame:
+    """Every row of docs with n_words, n_removed, kept (the words that stay, joined by one space).
+
+    The prefix goes before these names; columns of docs that have them already are replaced.
+    """
+    added = [f"{prefix}{n}" for n in ("n_words", "n_removed", "kept")]
+    docs = docs.drop(*added)
     volume = text_bytes(docs, text)
     seed_buckets, window_buckets = 1 + volume // 6 // 9 // PER_BUCKET, 1 + volume // 6 // 3 // PER_BUCKET
     chunks = chunk_table(docs, "texts", text)
@@ -174,7 +179,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35) -> Da
     seeds = written(repeated(send_seeds(chunks, text, window, seed_buckets)), "seeds")
     windows = written(repeated(send_windows(with_answers(seeds), text, window, window_buckets)), "windows")
     both = chunks.join(answers_of(seeds).withColumnRenamed("answers", "seed_answers"), "part", "left").join(answers_of(windows), "part", "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType())))])
 
     def run(batches):
         for batch in batches:
@@ -194,7 +199,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35) -> Da
                     n = int(off.sum())
                     removed.append(n)
                     kept.append(b" ".join(list_ if not n else [w for w, o in zip(list_, off.tolist()) if not o]))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*got.schema.names, "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*got.schema.names, *added])
 
     return both.mapInArrow(run, schema)
 

@@ -81,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_merge_dropout, op7_tool_calls, op8_license_scan, op9_best_fit_packing, op10_lm_scoring)
+    f.__name__: f for f in (op1_toxicity, op2_media_chunks, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_merge_dropout, op7_tool_calls, op8_license_scan, op9_best_fit_packing, op10_lm_scoring, pipeline)
 }
 
 ORACLES: dict[str, str] = {

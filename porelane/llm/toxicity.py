@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
 from .words import PUNCTUATION, Words, mix64, slices, string_buffers
 
 U = np.uint64
@@ -257,19 +256,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes:
     return sorted(got.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "score") -> DataFrame:
+    """docs with the score of every row as one more column."""
+    from pyspark.sql import types as T
 
-
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded by Shape
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, max_bytes=1 << 21):
-                yield rows(SCORES, doc_id=part.column("doc_id"), score=sent.value.scores(*string_buffers(part.column("text"))))
+            for part in slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.scores(*string_buffers(part.column(text))), pa.float64())], names=[*part.schema.names, score])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_bytes: int = 6000, shape: Shape = Shape()) -> Network:
@@ -284,5 +282,5 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_bytes:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    out = scored(docs, fitted(docs, labels, **how))
+    out = scored(docs.select("doc_id", "text"), fitted(docs, labels, **how))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
