@@ -36,7 +36,7 @@ from .words import Words, mix64, string_buffers
 U = np.uint64
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 START, FIRST = 1, 2  # ids: 0 unseen, 1 the start of a text, training words from 2
-PER_BUCKET = 1_500_000
+PER_BUCKET = 1_000_000
 LIMITS = 0.02, 0.95
 CLASSES = 64
 
@@ -70,7 +70,9 @@ class Tokens:
         self.hash = np.insert(words.hashes(), words.bounds[1:], END)
         train = np.array([in_training(d, of, fold) for d in docs.column("doc_id").to_pylist()], bool)
         self.train = np.repeat(train, self.size)
+        del words
         self.words, self.inverse = np.unique(self.hash, return_inverse=True)
+        del self.hash
 
     def pairs(self, answers: np.ndarray, buckets: int):
         """With the answers (id, count) to the words: per token id, count, context id, context count; distinct pairs in bucket order."""
@@ -79,7 +81,7 @@ class Tokens:
         self.id, self.count = known[self.inverse, 0], known[self.inverse, 1]
         before, n_before = np.roll(self.id, 1), np.roll(self.count, 1)
         before[self.at[:-1]], n_before[self.at[:-1]] = START, self.total  # as many starts as ends
-        self.before, self.n_before = before, n_before
+        self.n_before = n_before
         key = before.astype(U) << U(32) | self.id.astype(U)
         self.key, first, self.of = np.unique(key, return_index=True, return_inverse=True)
         self.num = np.bincount(self.of, self.train, len(self.key)).astype(np.uint32)
@@ -184,7 +186,7 @@ def codes(sent: DataFrame) -> DataFrame:
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 8_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     docs = docs.select("doc_id", "text")
     volume = text_bytes(docs)
