@@ -33,7 +33,7 @@ from .common import SENT_SQL, answers_for, answers_of, blob, chunk_docs, chunk_t
 from .words import Words, runs, string_buffers
 
 U = np.uint64
-PER_BUCKET = 2_000_000
+PER_BUCKET = 500_000
 
 
 def sliding(x: np.ndarray, k: int, best) -> np.ndarray:
