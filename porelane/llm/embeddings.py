@@ -4,8 +4,9 @@ Equal vectors form one class; classes are compared.  Spherical k-means, fitted o
 sample (`sample` classes of smallest hash), assigns every class to its nearest cell, and a
 class also visits each cell whose border with its own is within `margin`.  A pair at the
 threshold's angle differs by sin(angle), spread over the dimensions, so a border is crossed
-by about sin(angle) / sqrt(dimensions); the margin is `spread` times that.  The share of
-linked pairs that this finds is tested against brute force.  Cells grow in number as the
+by about sin(angle) / sqrt(dimensions); the margin is `spread` times that.  A pair is found if
+either of its vectors visits the other's cell, so it is missed only if the border is crossed
+by more than two margins.  The share of linked pairs found is tested against brute force.  Cells grow in number as the
 square root of the classes.
 
 Within a cell blocks are compared by matrix products in double precision; a pair of blocks is
@@ -140,7 +141,7 @@ def compared(placed: DataFrame, centre: np.ndarray, margin: float, threshold: fl
     return spread.groupBy("cell", "low", "high").applyInArrow(compare, "cid long, root long, links long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = 20_000, max_cells: int = 4096, spread: float = 3.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = 20_000, max_cells: int = 4096, spread: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     ok = F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("cid", F.when(F.coalesce(ok, F.lit(False)), F.xxhash64("embedding")))
