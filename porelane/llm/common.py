@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -144,7 +145,7 @@ def chunk_table(docs: DataFrame, name: str, text: str = "text", max_bytes: int =
     n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{scratch_root(spark)}/porelane/{name}-{uuid.uuid4().hex}"
     table = f"porelane_{name}_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, schema).write.bucketBy(n, "part").option("path", path).option("compression", "zstd").saveAsTable(table)
+    docs.mapInArrow(run, schema).write.bucketBy(n, "part").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(table)
     out = spark.table(table)
     out._porelane_path, out._porelane_parts = path, n
     return out
@@ -173,13 +174,26 @@ def send_values(part: int, seq: int, values: np.ndarray, num: np.ndarray, bucket
 SENT_SQL = "bucket int, part long, seq int, val binary, num binary"
 
 
-def answers_of(answered: DataFrame) -> DataFrame:
-    """part, answers: one small row a part with all answers (seq, bucket, ans) to its chunks."""
-    return answered.groupBy("part").agg(F.collect_list(F.struct("seq", "bucket", "ans")).alias("answers"))
+def with_answers(chunks: DataFrame, answered: DataFrame, name: str = "answers") -> DataFrame:
+    """chunks with the answers (seq, bucket, ans) to each chunk's values as one more column.
+
+    The join is on part, which chunks are bucketed by; each row keeps its own answers only.
+    """
+    listed = answered.groupBy("part").agg(F.collect_list(F.struct("seq", "bucket", "ans")).alias("__all"))  # one small row a part
+    own = F.filter("__all", lambda a: a["seq"] == F.col("seq"))
+    return chunks.join(listed, "part", "left").select(*chunks.columns, own.alias(name))
 
 
-def answers_for(batch: pa.RecordBatch, r: int, dtype) -> np.ndarray:
+def answers_for(batch: pa.RecordBatch, r: int, dtype, name: str = "answers") -> np.ndarray:
     """The answers to row r's values, in the values' order."""
-    got = batch.column("answers")[r].as_py() or []
-    mine = sorted((x["bucket"], x["ans"]) for x in got if x["seq"] == batch.column("seq")[r].as_py())
+    mine = sorted((x["bucket"], x["ans"]) for x in batch.column(name)[r].as_py() or [])
     return np.concatenate([np.zeros(0, dtype), *(unblob(x, dtype) for _, x in mine)])
+
+
+def trimmed_memory() -> None:
+    """Give freed memory of this worker back to the system: idle workers otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, components, dropped, in_batches, rows, split_by, text_bytes, unblob, written
+from .common import blob, components, dropped, in_batches, rows, split_by, text_bytes, trimmed_memory, unblob, written
 from .words import Words, mix64, shingles, slices, string_buffers
 
 U = np.uint64
@@ -114,10 +114,12 @@ def shared_counts(docs: DataFrame, k: int, percent: int, longer: float, buckets:
             if size > PER_BUCKET:
                 yield from chunk()
                 toks, cids, seen, size = [], [], set(), 0
+                trimmed_memory()
         if toks:
             yield from chunk()
 
     def count(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         toks, owners, out = [], [], [np.zeros((0, 2), np.int64)]
         for tok, ref, cid, known in zip(*(group.column(c).to_pylist() for c in ("tok", "ref", "cid", "known"))):
             cid = unblob(cid, np.int64)
@@ -192,6 +194,7 @@ def rarities(chunks: DataFrame, buckets: int) -> DataFrame:
                 yield from in_batches({"bucket": list(range(buckets)), "chunk": [chunk] * buckets, "tok": [blob(tok[x]) for x in s], "count": [blob(n[x].astype(np.uint32)) for x in s]}, TOKENS)
 
     def count(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         toks = [unblob(x, U) for x in group.column("tok")]
         _, inverse = np.unique(np.concatenate(toks), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unblob(x, np.uint32) for x in group.column("count")]))
@@ -302,6 +305,7 @@ def verified(chunks: DataFrame, members_: DataFrame, percent: int) -> DataFrame:
     sets = chunks.mapInArrow(single, "cid long, tok binary").join(spread.select("cid", "copies", "cluster", "half", "task"), "cid")
 
     def verify(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         cid, copies, cluster, half = (group.column(c).to_numpy() for c in ("cid", "copies", "cluster", "half"))
         toks = [unblob(x, U) for x in group.column("tok")]
         order, out = np.argsort(cluster, kind="stable"), []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT_SQL, answers_for, answers_of, blob, chunk_docs, chunk_table, in_batches, rows, send_values, text_bytes, unblob, written
+from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, in_batches, rows, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
 from .trie import MEANS, with_trie
 from .words import Words, mix64, string_buffers
 
@@ -103,6 +103,7 @@ def send_words(chunks: DataFrame, of: int, fold: int, buckets: int) -> DataFrame
                 t = Tokens(docs, of, fold)
                 num = np.bincount(t.inverse, t.train, len(t.words)).astype(np.uint32)
                 yield from send_values(batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), t.words, num, buckets)
+                trimmed_memory()
 
     return chunks.mapInArrow(run, SENT_SQL)
 
@@ -111,6 +112,7 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
     """Answers (id, count) to each chunk's words; n_tokens and n_types of the bucket are on one of its rows."""
 
     def count(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         values = [unblob(x, U) for x in group.column("val")]
         each, inverse = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unblob(x, np.uint32) for x in group.column("num")]), len(each)).astype(np.int64)
@@ -147,6 +149,7 @@ def send_pairs(answered: DataFrame, of: int, fold: int, buckets: int, n_tokens:
                             made[n].append(v)
                 if made["bucket"]:
                     yield from in_batches(made, PAIRS)
+                trimmed_memory()
 
     return answered.mapInArrow(run, "bucket int, part long, seq int, key binary, num binary, context binary, of binary")
 
@@ -162,6 +165,7 @@ def codes(sent: DataFrame) -> DataFrame:
     """
 
     def answer(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         keys = [expanded(x.as_py(), U, True) for x in group.column("key")]
         each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([expanded(x.as_py(), np.uint32) for x in group.column("num")]), len(each))
@@ -194,22 +198,21 @@ def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 3_00
     chunks = chunk_table(docs, "lm", "text", max_bytes)
     words = written(vocabulary(send_words(chunks, of, fold, word_buckets), word_buckets), "words")
     n_tokens, n_types = (x or 0 for x in words.agg(F.sum("n_tokens"), F.sum("n_types")).first())
-    answered = chunks.join(answers_of(words), "part", "left")
+    answered = with_answers(chunks, words)
     pairs = written(codes(send_pairs(answered, of, fold, pair_buckets, n_tokens)), "codes")
     sums = pairs.where("once is not null").select(F.posexplode(F.arrays_zip("once", "mass")).alias("class", "x")).groupBy("class").agg(F.sum("x.once").alias("once"), F.sum("x.mass").alias("mass")).collect()  # CLASSES rows
     share = np.full(CLASSES, LIMITS[1])
     for r in sums:
         if r["mass"]:
             share[r["class"]] = min(max(r["once"] / r["mass"], LIMITS[0]), LIMITS[1])
-    both = answered.withColumnRenamed("answers", "word_answers").join(answers_of(pairs), "part", "left")
+    both = with_answers(answered.withColumnRenamed("answers", "word_answers"), pairs)
 
     def run(batches):
         for batch in batches:
-            word_batch = pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("word_answers")], names=["seq", "answers"])
             for r, got in chunk_docs(batch):
                 t = Tokens(got, of, fold)
                 t.n_tokens_hint = n_tokens
-                t.pairs(answers_for(word_batch, r, np.int64), pair_buckets)
+                t.pairs(answers_for(batch, r, np.int64, "word_answers"), pair_buckets)
                 code = np.zeros(len(t.key), np.uint8)
                 asked = t.order[: t.cut[-1]]
                 code[asked] = answers_for(batch, r, np.uint8)
@@ -218,6 +221,7 @@ def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 3_00
                 p = (1 - rest) * MEANS[code[t.of]] + rest * p1
                 at = t.at[:-1]
                 yield rows(SCORES, doc_id=got.column("doc_id"), n_tokens=t.size, n_known=np.add.reduceat((t.count > 0).astype(np.int64), at), base_score=np.add.reduceat(np.log10(p1), at), score=np.add.reduceat(np.log10(p), at))
+                trimmed_memory()
 
     out = both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SENT_SQL, answers_for, answers_of, blob, chunk_docs, chunk_table, dropped, send_values, text_bytes, unblob, written
+from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
 from .words import Words, runs, string_buffers
 
 U = np.uint64
@@ -73,6 +73,7 @@ def repeated(sent: DataFrame) -> DataFrame:
     """part, seq, bucket, ans: a byte a value, 1 if the value occurs twice or more in all."""
 
     def count(group: pa.Table) -> pa.Table:
+        trimmed_memory()
         values = [unblob(x, U) for x in group.column("val")]
         _, inverse = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unblob(x, np.uint8) for x in group.column("num")]))
@@ -101,6 +102,7 @@ def send_seeds(chunks: DataFrame, text: str, window: int, buckets: int) -> DataF
                 hit = hit[(hit < len(seeds)) & (seeds[np.minimum(hit, len(seeds) - 1)] == all_runs)] if len(seeds) else hit[:0]
                 places = np.minimum(np.bincount(hit, minlength=len(seeds)), 2).astype(np.uint8)
                 yield from send_values(batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), seeds, places, buckets)
+                trimmed_memory()
 
     return chunks.mapInArrow(run, SENT_SQL)
 
@@ -116,6 +118,7 @@ def send_windows(chunks: DataFrame, text: str, window: int, buckets: int) -> Dat
                 live = answers_for(batch, r, np.uint8)[inverse] > 0
                 values, num, _ = distinct(made.whole()[0][live])
                 yield from send_values(batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), values, num, buckets)
+                trimmed_memory()
 
     return chunks.mapInArrow(run, SENT_SQL)
 
@@ -175,19 +178,17 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, prefi
     volume = text_bytes(docs, text)
     seed_buckets, window_buckets = 1 + volume // 6 // 9 // PER_BUCKET, 1 + volume // 6 // 3 // PER_BUCKET
     chunks = chunk_table(docs, "texts", text)
-    with_answers = lambda answered: chunks.join(answers_of(answered), "part", "left")
     seeds = written(repeated(send_seeds(chunks, text, window, seed_buckets)), "seeds")
-    windows = written(repeated(send_windows(with_answers(seeds), text, window, window_buckets)), "windows")
-    both = chunks.join(answers_of(seeds).withColumnRenamed("answers", "seed_answers"), "part", "left").join(answers_of(windows), "part", "left")
+    windows = written(repeated(send_windows(with_answers(chunks, seeds), text, window, window_buckets)), "windows")
+    both = with_answers(with_answers(chunks, seeds, "seed_answers"), windows)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType())))])
 
     def run(batches):
         for batch in batches:
-            seed_batch = pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("seed_answers")], names=["seq", "answers"])
             for r, got in chunk_docs(batch):
                 made = Windows(got, text, window)
                 _, inverse = np.unique(made.seeds(), return_inverse=True)
-                live = answers_for(seed_batch, r, np.uint8)[inverse] > 0
+                live = answers_for(batch, r, np.uint8, "seed_answers")[inverse] > 0
                 recurring = np.zeros(len(live), bool)
                 recurring[live] = answers_for(batch, r, np.uint8)[distinct(made.whole()[0][live])[2]] > 0
                 gone = covered(made, recurring)
@@ -200,6 +201,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, prefi
                     removed.append(n)
                     kept.append(b" ".join(list_ if not n else [w for w, o in zip(list_, off.tolist()) if not o]))
                 yield pa.RecordBatch.from_arrays([*got.columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*got.schema.names, *added])
+                trimmed_memory()
 
     return both.mapInArrow(run, schema)
 
