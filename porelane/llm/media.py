@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import rows, trimmed_memory
 from .words import mix64
 
 BLOCK = 64  # payloads are padded to a multiple of this; also the gear hash's window
@@ -86,7 +86,12 @@ def dictionary(docs: DataFrame, sample: int, size: int = 65_536) -> bytes | None
     """A compression dictionary from at most `sample` texts; None where there is too little text."""
     import zstandard
 
-    some = [r["text"].encode() for r in docs.where("length(text) > 0").select(F.substring("text", 1, 32_768).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(sample).collect()]
+    hashed = docs.where("length(text) > 0").select("text", F.xxhash64("text").alias("h"))
+    # hashes alone first, so that no more than the sample's texts go to the driver
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not least:
+        return None
+    some = [r["text"].encode() for r in hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.first(F.substring("text", 1, 32_768)).alias("text")).orderBy("h").collect()]
     if sum(map(len, some)) < 20 * size:
         return None
     return zstandard.train_dictionary(size, some).as_bytes()
@@ -130,6 +135,8 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
                     yield rows(CHUNKS, **out)
                     out, size = {n: [] for n in CHUNKS.names}, 0
             yield rows(CHUNKS, **out)
+            del out, seen
+            trimmed_memory()
 
     return docs.mapInArrow(cut, CHUNKS_SQL)
 
@@ -178,5 +185,6 @@ def media(docs: DataFrame, sample: int = 1000) -> DataFrame:
                 for k, v in zip(FEATURES.names, values):
                     out[k] += [v] * copies
             yield rows(FEATURES, **out)
+            trimmed_memory()
 
     return whole.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
