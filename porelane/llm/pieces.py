@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .words import mix64
 MARK = "▁"
 UNIT = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MASK = (1 << 64) - 1
+NO = np.int64(1 << 60)
+WIDE = 64  # longer units take the heap
 CACHE = 400_000  # units of a generation that a worker remembers; it keeps two, the older one for what is asked again
 
 
@@ -63,6 +66,23 @@ class Pieces:
                 a, b = self.id.get(piece[:k]), self.id.get(piece[k:])
                 if a is not None and b is not None:
                     self.merge[a << 20 | b] = rank[i] << 20, i
+        keys = sorted(self.merge)
+        self.pair = np.array(keys, np.int64)
+        self.pair_rank = np.array([self.merge[k][0] for k in keys], np.int64)
+        self.pair_made = np.array([self.merge[k][1] for k in keys], np.int32)
+        #: open addressing: slot -> index of the pair, -1 where free
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.slot = np.uint64(64 - bits), np.full((1 << bits) + 1, -1, np.int32)
+        todo, at = np.arange(len(keys)), self._home(self.pair)
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) % (1 << bits)
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for piece, i in self.id.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
         self.bytes = [b""] * n
         for piece, i in self.id.items():
             self.bytes[i] = piece.replace(MARK, " ").encode()
@@ -104,6 +124,85 @@ class Pieces:
                 heapq.heappush(agenda, m[0] | h)
         return [i for i in ids if i >= 0]
 
+    def many(self, units: list[str], keys: list[int], threshold: int) -> list[list[int]]:
+        """unit() of many units in lockstep: in each round every unit takes the first entry of its agenda."""
+        out: list = [None] * len(units)
+        flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        size = np.array([len(u) for u in units])
+        start = np.cumsum(size) - size
+        symbol = self.symbol[flat]
+        odd = np.add.reduceat(symbol < 0, start) > 0
+        for n in np.flatnonzero(odd | (size > WIDE)):
+            out[n] = self.unit(units[n], keys[n], threshold)
+        left = np.flatnonzero(~odd & (size <= WIDE))
+        left = left[np.argsort(size[left], kind="stable")]
+        key = np.array(keys, np.uint64)
+        for a in range(0, len(left), 4096):
+            some = left[a : a + 4096]
+            self._lockstep(some, symbol, start, size, key, threshold, out)
+        return out
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Index of each pair of symbols among the merges, -1 where there is none or a symbol is missing (-1)."""
+        key = a.astype(np.int64) << 20 | b
+        at = self._home(key)
+        found = np.where((a >= 0) & (b >= 0), self.slot[at], -1)
+        flat = found.reshape(-1)
+        wrong = np.flatnonzero(((found >= 0) & (self.pair[found] != key)).reshape(-1))
+        key, at = key.reshape(-1), at.reshape(-1)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % (len(self.slot) - 1)
+            flat[wrong] = self.slot[at[wrong]]
+            wrong = wrong[(flat[wrong] >= 0) & (self.pair[flat[wrong]] != key[wrong])]
+        return found
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each merge, NO where there is none."""
+        at = self._pairs(a, b)
+        return np.where(at >= 0, self.pair_rank[at], NO)
+
+    def _lockstep(self, some, symbol, start, size, key, threshold, out) -> None:
+        width = int(size[some].max()) + 1  # one empty column at the end
+        col = np.arange(width)[None, :]
+        inside = col < size[some][:, None]
+        ids = np.where(inside, symbol[np.minimum(start[some][:, None] + col, len(symbol) - 1)], -1)
+        place = np.broadcast_to(col, ids.shape).copy()
+        rank = np.full(ids.shape, NO)
+        rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        key = key[some]
+        while len(some):
+            i = rank.argmin(1)
+            row = np.arange(len(some))
+            least = rank[row, i]
+            done = least == NO
+            if done.any():
+                for r in np.flatnonzero(done):
+                    got = ids[r]
+                    out[some[r]] = got[got >= 0].tolist()
+                live = ~done
+                some, ids, place, rank, key, i, least = some[live], ids[live], place[live], rank[live], key[live], i[live], least[live]
+                row = np.arange(len(some))
+            if threshold:
+                entry = (least | place[row, i]).astype(np.uint64)
+                skip = ((key ^ entry * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) < threshold
+                rank[row[skip], i[skip]] = NO
+                row, i = row[~skip], i[~skip]
+            if not len(row):
+                continue
+            made = self.pair_made[self._pairs(ids[row, i], ids[row, i + 1])]
+            ids[row, i] = made
+            # take out the symbol at i + 1
+            source = np.minimum(col + (col > i[:, None]), width - 1)
+            for x in (ids, place, rank):
+                x[row] = np.take_along_axis(x[row], source, 1)
+            rank[row, i] = self._ranks(made, ids[row, i + 1])
+            some_left = i > 0
+            r, j = row[some_left], i[some_left] - 1
+            rank[r, j] = self._ranks(ids[r, j], made[some_left])
+
     def decode(self, ids) -> str:
         """The text of these ids; without the space that encoding puts first."""
         out = b"".join(map(self.bytes.__getitem__, ids))
@@ -118,54 +217,82 @@ def vocabulary(path: str) -> Pieces:
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int, variants: int):
         self.pieces, self.threshold, self.seed, self.variants = vocabulary(path), int(dropout * (1 << 32)), seed, variants if dropout else 1
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.mark = [self.pieces.byte[b] for b in MARK.encode()]
+        self.known: list[dict[str, list[int]]] = [{"": self.mark} for _ in range(self.variants)]
         self.older: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
         self.held = 0
 
     def units(self, text: str) -> list[str]:
-        """Units, where None stands for a literal mark."""
+        """Units, where the empty one stands for a literal mark."""
         if MARK in text:
             first, *rest = text.split(MARK)
             out = UNIT.findall(MARK + first.replace(" ", MARK))
             for part in rest:
-                out.append(None)
+                out.append("")
                 out += UNIT.findall(part.replace(" ", MARK))
             return out
         if "  " in text or text[0] == " " or text[-1] == " ":
             return UNIT.findall(MARK + text.replace(" ", MARK))
         return [MARK + w for w in text.split(" ")]
 
-    def segmented(self, unit: str, v: int) -> list[int]:
-        key = xxhash.xxh64_intdigest(unit, seed=self.seed * 1024 + v) if self.threshold else 0
+    def learn(self, asked: list[tuple[str, int]]) -> None:
+        """Segment (unit, draw) pairs that are not known."""
+        if self.held + len(asked) > CACHE and self.held:
+            self.older, self.known, self.held = self.known, [{"": self.mark} for _ in range(self.variants)], 0
         part = 1 << 18  # places on the agenda have 20 bits: a longer unit goes in parts
-        return [i for a in range(0, len(unit), part) for i in self.pieces.unit(unit[a : a + part], key, self.threshold)]
-
-    def encode(self, doc_id: int | None, text: str) -> list[int]:
+        keys = [xxhash.xxh64_intdigest(u, seed=self.seed * 1024 + v) if self.threshold else 0 for u, v in asked]
+        short = [n for n, (u, _) in enumerate(asked) if len(u) <= part]
+        for n, ids in zip(short, self.pieces.many([asked[n][0] for n in short], [keys[n] for n in short], self.threshold) if short else ()):
+            self.known[asked[n][1]][asked[n][0]] = ids
+        for (u, v), key in zip(asked, keys):
+            if len(u) > part:
+                self.known[v][u] = [i for a in range(0, len(u), part) for i in self.pieces.unit(u[a : a + part], key, self.threshold)]
+        self.held += len(asked)
+
+    def drawn(self, doc_id: int | None, text: str) -> tuple[list, list[int]]:
+        """Units of a text and the draw that each uses."""
         if not text:
-            return []
-        p, out = self.pieces, []
+            return [], []
         units = self.units(text)
-        if self.variants > 1:
-            base = xxhash.xxh64_intdigest(str(doc_id or 0), seed=self.seed)
-            draw = (mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(base)) % np.uint64(self.variants)).tolist()
-        else:
-            draw = [0] * len(units)
-        for unit, v in zip(units, draw):
-            if unit is None:
-                out += [p.byte[b] for b in MARK.encode()]
-                continue
-            got = self.known[v].get(unit)
-            if got is None:
-                got = self.older[v].get(unit)
-                if got is None:
-                    got = self.segmented(unit, v)
-                if self.held >= CACHE:
-                    self.older, self.known, self.held = self.known, [{} for _ in range(self.variants)], 0
-                self.known[v][unit] = got
-                self.held += 1
-            out += got
+        if self.variants == 1:
+            return units, [0] * len(units)
+        base = xxhash.xxh64_intdigest(str(doc_id or 0), seed=self.seed)
+        return units, (mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(base)) % np.uint64(self.variants)).tolist()
+
+    def encode_all(self, doc_ids: list, texts: list[str]) -> list[list[int]]:
+        """Ids of every text; units that are new are segmented together."""
+        out = []
+        for a in range(0, len(texts), 256):
+            drawn = [self.drawn(d, t) for d, t in zip(doc_ids[a : a + 256], texts[a : a + 256])]
+            known = self.known
+            found = [[known[v].get(u) for u, v in zip(*x)] for x in drawn]
+            asked = {}
+            for x, got in zip(drawn, found):
+                if None in got:
+                    for n, (u, v) in enumerate(zip(*x)):
+                        if got[n] is None and (old := self.older[v].get(u)) is not None:
+                            known[v][u] = got[n] = old
+                            self.held += 1
+                        elif got[n] is None:
+                            asked[u, v] = True
+            if asked:
+                self.learn(list(asked))
+                known = self.known
+                for x, got in zip(drawn, found):
+                    if None in got:
+                        got[:] = [g if g is not None else known[v][u] for g, u, v in zip(got, *x)]
+            out += [list(chain.from_iterable(got)) for got in found]
         return out
 
+    def encode(self, doc_id: int | None, text: str) -> list[int]:
+        return self.encode_all([doc_id], [text])[0]
+
+
+@lru_cache(1)
+def encoder_of(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+    """One a worker: what a task has segmented serves the next one."""
+    return Encoder(path, dropout, seed, variants)
+
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -174,12 +301,12 @@ def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, va
     """doc_id, ids of every text."""
 
     def run(batches):
-        encoder = Encoder(model, dropout, seed, variants)
+        encoder = encoder_of(model, dropout, seed, variants)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = part.column("doc_id").to_pylist()
-                yield rows(ENCODED, doc_id=ids, ids=[encoder.encode(d, t.as_py() or "") for d, t in zip(ids, part.column("text"))])
+                yield rows(ENCODED, doc_id=ids, ids=encoder.encode_all(ids, [t or "" for t in part.column("text").to_pylist()]))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -205,12 +332,11 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7,
     """Encode and decode every text: number of pieces, digest of the ids, digest of the decoded text, and whether it is the text."""
 
     def run(batches):
-        encoder = Encoder(model, dropout, seed, variants)
-        for batch in batches:
+        encoder = encoder_of(model, dropout, seed, variants)
+        for part in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             out = {n: [] for n in TRIP.names}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py() or ""
-                ids = encoder.encode(doc, text)
+            docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
+            for doc, text, ids in zip(docs_, texts, encoder.encode_all(docs_, texts)):
                 back = encoder.pieces.decode(ids)
                 for k, v in zip(TRIP.names, (doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text)):
                     out[k].append(v)
