@@ -86,6 +86,11 @@ def signature(shingles: Column, bands: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, 2 * b))), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, 2 * b + 1)))))
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generated column is not put in for its uses again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = 5, percent: int = 80, recall: float = 0.999) -> DataFrame:
     """doc_id, license, containment (of the best window), word_start (0-based, of the first best window)."""
     spark: SparkSession = docs.sparkSession
@@ -101,14 +106,22 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     forms = sorted({(s["k"], s["stride"], s["width"], s["bands"]) for *_, s in known})
     form = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("k", "stride", "width", "bands"), f))) for f in forms))
     maybe = docs.select("doc_id", "text").where(F.col("text").rlike("(?i)" + "|".join(map(re.escape, anchor))))
-    # each text's windows, form by form; a text is exploded into windows of bounded size
-    split = maybe.select("doc_id", words_of(F.col("text")).alias("words"), F.explode(form).alias("f")).where(F.size("words") > 0)
-    last = F.greatest(F.lit(0), F.size("words") - F.col("f.width") + F.col("f.stride") - 1)
-    window = split.select("doc_id", "words", "f", F.explode(F.sequence(F.lit(0), last, F.col("f.stride"))).alias("word_start"))
-    window = window.select("doc_id", "f", "word_start", F.slice("words", F.col("word_start") + 1, F.col("f.width")).alias("words"))
-    window = window.where(F.arrays_overlap("words", F.array(*map(F.lit, anchor))))
-    window = window.withColumn("has", shingles_of(F.col("words"), F.col("f.k"))).where(F.size("has") > 0)
-    hashed = window.select("doc_id", "word_start", "has", F.col("f.width").alias("width"), F.col("f.stride").alias("stride"), F.col("f.k").alias("k"), F.posexplode(signature(F.col("has"), F.col("f.bands"))).alias("band", "hash"))
+    split = held(maybe, "words", words_of(F.col("text"))).select("doc_id", "words").where(F.size("words") > 0)
+    # only windows around an anchor can match; the others aren't made
+    spots = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(anchor))
+    spots = held(split, "spots", spots).where(F.size("spots") > 0)
+
+    def windows(f: Column) -> Column:
+        k, stride, width, bands = (f[n] for n in ("k", "stride", "width", "bands"))
+        last = F.floor(F.greatest(F.lit(0), F.size("words") - width + stride - 1) / stride)
+        first = lambda i: F.greatest(F.lit(0), F.ceil((i - width + 1) / stride))
+        final = lambda i: F.least(last, F.floor(i / stride))
+        starts = F.array_distinct(F.flatten(F.transform("spots", lambda i: F.when(first(i) <= final(i), F.sequence(first(i), final(i))).otherwise(F.array().cast("array<bigint>")))))
+        return F.transform(starts, lambda n: F.struct((n * stride).cast("int").alias("word_start"), F.slice("words", (n * stride + 1).cast("int"), width).alias("words"), k.alias("k"), stride.alias("stride"), width.alias("width"), bands.alias("bands")))
+
+    window = spots.select("doc_id", F.explode(F.flatten(F.transform(form, windows))).alias("w")).select("doc_id", "w.*")
+    window = held(window, "has", shingles_of(F.col("words"), F.col("k"))).where(F.size("has") > 0)
+    hashed = window.select("doc_id", "word_start", "has", "width", "stride", "k", F.posexplode(signature(F.col("has"), F.col("bands"))).alias("band", "hash"))
     found = hashed.join(F.broadcast(bands) if n_bands <= 100_000 else bands, ["width", "stride", "k", "band", "hash"])
     share = found.select("doc_id", "license", "word_start", F.size(F.array_intersect("has", "wanted")).alias("hits"), "least", "n_shingles").where("hits >= least")
     best = share.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("hits")).alias("hits"), "word_start", "n_shingles")).alias("best"))
