@@ -107,56 +107,84 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of a long column (Murmur3, seed 42), by which tables are bucketed."""
+    m = np.uint64(0xFFFFFFFF)
+
+    def turn(x, r):
+        return ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+
+    h, v = np.full(len(values), 42, np.uint64), values.astype(np.uint64)
+    for half in (v & m, v >> np.uint64(32)):
+        k = turn(half * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (turn(h ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(8)
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B) & m
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35) & m
+    return (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32)
+
+
+def value_of_task(task: int, buckets: int) -> int:
+    """A value for each task number, different ones for all tasks; Spark puts the first `buckets` into a bucket each."""
+    bucket, nth = task % buckets, task // buckets
+    at = bucket
+    while True:
+        some = at + np.arange(4096, dtype=np.int64) * buckets
+        hit = np.flatnonzero(spark_hash(some).astype(np.int64) % buckets == bucket)
+        if len(hit) > nth:
+            return int(some[hit[nth]])
+        nth -= len(hit)
+        at = int(some[-1]) + buckets
+
+
 def chunk_table(docs: DataFrame, name: str, text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
-    """docs as a scratch table of chunks: part, seq, docs (array of whole rows, about max_bytes of text).
+    """docs as a scratch table of chunks: part, seq, docs (whole rows, about max_bytes of text, as one Arrow stream).
 
-    It is bucketed by part (one part a task), so what is joined to it by part is shuffled
-    and the texts are not.
+    It is bucketed by part (one part a task and bucket), so what is joined to it by part is
+    shuffled and the texts are not; the JVM handles compressed bytes only.
     """
-    from pyspark.sql import types as T
-
     from .words import slices
 
     spark = docs.sparkSession
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("docs", T.ArrayType(docs.schema))])
+    n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, size = value_of_task(TaskContext.get().partitionId(), n), 0, [], 0
 
         def chunk():
             got = pa.Table.from_batches(held).combine_chunks()
-            struct = pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in got.columns], fields=list(got.schema))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)], names=["part", "seq", "docs"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, got.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(got)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "seq", "docs"])
 
         for batch in batches:
             for piece in slices(batch, text, max_bytes):
-                n = pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
-                if held and size + n > max_bytes:
+                more = pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
+                if held and size + more > max_bytes:
                     yield chunk()
                     seq, held, size = seq + 1, [], 0
                 held.append(piece)
-                size += n
+                size += more
         if held:
             yield chunk()
+        trimmed_memory()
 
-    parts = docs.rdd.getNumPartitions()
-    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{scratch_root(spark)}/porelane/{name}-{uuid.uuid4().hex}"
     table = f"porelane_{name}_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, schema).write.bucketBy(n, "part").option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).saveAsTable(table)
+    docs.mapInArrow(run, "part long, seq int, docs binary").write.bucketBy(n, "part").option("path", path).option("compression", "none").option("parquet.block.size", 16 << 20).saveAsTable(table)
     out = spark.table(table)
-    out._porelane_path, out._porelane_parts = path, n
+    out._porelane_path = path
     return out
 
 
 def chunk_docs(batch: pa.RecordBatch):
     """(row, documents of that chunk as a record batch) of every row of a batch with the column docs."""
-    docs = batch.column("docs")
     for r in range(batch.num_rows):
-        struct = docs[r].values
-        yield r, pa.RecordBatch.from_arrays([pc.struct_field(struct, [i]) for i in range(struct.type.num_fields)], schema=pa.schema(list(struct.type)))
+        with pa.ipc.open_stream(batch.column("docs")[r].as_buffer()) as stream:
+            yield r, stream.read_all().combine_chunks().to_batches()[0]
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("val", pa.binary()), ("num", pa.binary())])
@@ -184,10 +212,10 @@ def with_answers(chunks: DataFrame, answered: DataFrame, name: str = "answers")
     return chunks.join(listed, "part", "left").select(*chunks.columns, own.alias(name))
 
 
-def answers_for(batch: pa.RecordBatch, r: int, dtype, name: str = "answers") -> np.ndarray:
-    """The answers to row r's values, in the values' order."""
+def answers_for(batch: pa.RecordBatch, r: int, dtype, name: str = "answers", read=None) -> np.ndarray:
+    """The answers to row r's values, in the values' order. read: of one answer's bytes."""
     mine = sorted((x["bucket"], x["ans"]) for x in batch.column(name)[r].as_py() or [])
-    return np.concatenate([np.zeros(0, dtype), *(unblob(x, dtype) for _, x in mine)])
+    return np.concatenate([np.zeros(0, dtype), *((read or unblob)(x, dtype) for _, x in mine)])
 
 
 def trimmed_memory() -> None:

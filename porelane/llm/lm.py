@@ -125,7 +125,7 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
         zero = np.zeros(len(values), np.int64)
         n, v = zero.copy(), zero.copy()
         n[0], v[0] = total.sum(), seen.sum()
-        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([blob(ans[a:b]) for a, b in zip(at, at[1:])], pa.binary()), "n_tokens": pa.array(n), "n_types": pa.array(v)})
+        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(ans[a:b]) for a, b in zip(at, at[1:])], pa.binary()), "n_tokens": pa.array(n), "n_types": pa.array(v)})
 
     return sent.groupBy("bucket").applyInArrow(count, "part long, seq int, bucket int, ans binary, n_tokens long, n_types long")
 
@@ -139,7 +139,7 @@ def send_pairs(answered: DataFrame, of: int, fold: int, buckets: int, n_tokens:
             for r, docs in chunk_docs(batch):
                 t = Tokens(docs, of, fold)
                 t.n_tokens_hint = n_tokens
-                t.pairs(answers_for(batch, r, np.int64), buckets)
+                t.pairs(answers_for(batch, r, np.int64, read=expanded), buckets)
                 made = {n: [] for n in PAIRS.names}
                 for b in range(buckets):
                     mine = t.order[t.cut[b] : t.cut[b + 1]]
@@ -182,7 +182,7 @@ def codes(sent: DataFrame) -> DataFrame:
         once, mass = (np.bincount(z, x, CLASSES).tolist() for x in (total == 1, total))
         low = U(0xFFFFFFFF)
         found = with_trie(before, each & low, p, lambda trie: [trie.lookup(k >> U(32), k & low) for k in keys])
-        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([blob(x) for x in found], pa.binary()), "once": pa.array([once] + [None] * (len(keys) - 1), pa.list_(pa.float64())), "mass": pa.array([mass] + [None] * (len(keys) - 1), pa.list_(pa.float64()))})
+        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(x) for x in found], pa.binary()), "once": pa.array([once] + [None] * (len(keys) - 1), pa.list_(pa.float64())), "mass": pa.array([mass] + [None] * (len(keys) - 1), pa.list_(pa.float64()))})
 
     return sent.groupBy("bucket").applyInArrow(answer, "part long, seq int, bucket int, ans binary, once array<double>, mass array<double>")
 
@@ -212,10 +212,10 @@ def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 3_00
             for r, got in chunk_docs(batch):
                 t = Tokens(got, of, fold)
                 t.n_tokens_hint = n_tokens
-                t.pairs(answers_for(batch, r, np.int64, "word_answers"), pair_buckets)
+                t.pairs(answers_for(batch, r, np.int64, "word_answers", expanded), pair_buckets)
                 code = np.zeros(len(t.key), np.uint8)
                 asked = t.order[: t.cut[-1]]
-                code[asked] = answers_for(batch, r, np.uint8)
+                code[asked] = answers_for(batch, r, np.uint8, read=expanded)
                 p1 = (t.count + 1) / (n_tokens + n_types + 1)
                 rest = np.where(t.n_before > 0, share[classes(np.maximum(t.n_before, 1))], 1.0)
                 p = (1 - rest) * MEANS[code[t.of]] + rest * p1

@@ -37,6 +37,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tasks_have_buckets_of_their_own(spark):
+    values = [common.value_of_task(t, 13) for t in range(40)]
+    assert len(set(values)) == 40
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("pmod(hash(v), 13)").collect()]
+    assert got == [t % 13 for t in range(40)]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr("hash(v)").collect()] == common.spark_hash(np.array(values)).tolist()
+
+
 def test_scratch_follows_the_session(spark):
     assert common.scratch_root(spark)
     df = common.written(spark.range(5), "x")
