@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import similar
-from ..schema import MATCH, flat, gathered
+from ..schema import MATCH, flat, gathered, held
 
 
 def best_of(group: Column) -> Column:
@@ -36,7 +36,7 @@ def collapsed(a: Column, threshold: float = 0.8) -> Column:
 
 
 def collapse_reads(reads: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return reads.withColumn("matches", collapsed(F.col("matches"), threshold))
+    return held(reads, "matches", collapsed(F.col("matches"), threshold))
 
 
 def collapse_annotations(annotations: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Element, chosen, parse, pattern_cuts
-from ..schema import MATCH, flat, gathered
+from ..schema import MATCH, flat, gathered, held
 
 
 def filter_reads(reads: DataFrame, patterns: list[list[Element]]) -> DataFrame:
@@ -17,12 +17,10 @@ def filter_reads(reads: DataFrame, patterns: list[list[Element]]) -> DataFrame:
     """
     if not patterns:
         raise ValueError("no patterns")
-    picked = reads.withColumn("__pick", chosen(F.col("matches"), patterns))
-    pick = F.col("__pick")
-    length, cuts = F.lit(None).cast("int"), F.lit(None).cast(MATCH["cuts"].dataType)
-    for i, p in enumerate(patterns):
-        length = F.when(pick == i, F.lit(len(p))).otherwise(length)
-        cuts = F.when(pick == i, pattern_cuts(p)).otherwise(cuts)
+    picked = held(reads, "__pick", chosen(F.col("matches"), patterns))
+    # the patterns' lengths and cuts are constant arrays, looked up by the pick
+    of = lambda values: F.get(F.array(*values), F.col("__pick"))
+    length, cuts = of([F.lit(len(p)) for p in patterns]), of([pattern_cuts(p) for p in patterns])
     picked = picked.withColumn("__cuts", cuts).withColumn("kept", F.coalesce(length == F.size("matches"), F.lit(False)))
 
     def marked(m, i):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
-from ..schema import gathered
+from ..schema import gathered, held
 
 
 @dataclass(frozen=True)
@@ -39,27 +39,43 @@ def label(annos: Column, config: LabelConfig) -> Column:
     return F.when(F.size(parts) == 0, F.lit("none")).otherwise(joined)
 
 
-def slices(a: Column, read_len: Column) -> Column:
-    """Slices of a read in order of their cut groups: array of (start, end, annos)."""
-    cut = F.flatten(F.transform(a, lambda m: F.transform(F.coalesce(m["cuts"], F.array().cast("array<struct<direction:string,group_id:int,match_idx:int>>")), lambda c: F.struct(m["read_start_flank"].alias("start"), m["read_end_flank"].alias("end"), c["direction"].alias("direction"), c["group_id"].alias("group_id"), m.alias("anno")))))
+def with_slices(reads: DataFrame) -> DataFrame:
+    """reads (seq, matches, ...) with slices, in order of their cut groups: array of (start, end, annos).
+
+    annos are indices of the matches that bound the slice.
+    """
+    none = F.array().cast("array<struct<direction:string,group_id:int,match_idx:int>>")
+
+    def of_match(m: Column, i: Column) -> Column:
+        return F.transform(F.coalesce(m["cuts"], none), lambda c: F.struct(m["read_start_flank"].alias("start"), m["read_end_flank"].alias("end"), c["direction"].alias("direction"), c["group_id"].alias("group_id"), i.alias("anno")))
+
+    out = held(reads, "__cut", F.flatten(F.transform("matches", of_match)))
+    cut = F.col("__cut")
     ids = F.array_distinct(F.transform(cut, lambda c: c["group_id"]))
-    # in order of the first member's start, then of the group's number
+    # groups in order of their first member's start, then of their number
     groups = F.array_sort(F.transform(ids, lambda g: F.struct(F.get(F.filter(cut, lambda c: c["group_id"] == g), F.lit(0))["start"].alias("start"), g.alias("id"))))
-    members = F.transform(groups, lambda g: F.filter(cut, lambda c: c["group_id"] == g["id"]))
+    out = held(out, "__members", F.transform(groups, lambda g: F.filter(cut, lambda c: c["group_id"] == g["id"])))
+    members = F.col("__members")
 
     def slice_of(mine: Column, i: Column) -> Column:
         one, two = F.get(mine, F.lit(0)), F.get(mine, F.lit(1))
         edge = lambda c: F.when(c["direction"] == "Before", c["start"]).otherwise(c["end"])
-        pair = F.struct(edge(one).alias("start"), edge(two).alias("end"), F.array(one["anno"], two["anno"]).alias("annos"))
+        of = lambda start, end, *annos: F.struct(start.alias("start"), end.alias("end"), F.array(*annos).alias("annos"))
         # neighbours: the last member of the furthest end, the first of the nearest start
-        before = F.aggregate(F.get(members, i - 1), F.get(F.get(members, i - 1), F.lit(0)), lambda x, c: F.when(c["end"] >= x["end"], c).otherwise(x))
-        after = F.aggregate(F.get(members, i + 1), F.get(F.get(members, i + 1), F.lit(0)), lambda x, c: F.when(c["start"] < x["start"], c).otherwise(x))
-        left = F.when(i > 0, F.struct(before["end"].alias("start"), one["start"].alias("end"), F.array(before["anno"], one["anno"]).alias("annos"))).otherwise(F.struct(F.lit(0).alias("start"), one["start"].alias("end"), F.array(one["anno"]).alias("annos")))
-        right = F.when(i < F.size(members) - 1, F.struct(one["end"].alias("start"), after["start"].alias("end"), F.array(one["anno"], after["anno"]).alias("annos"))).otherwise(F.struct(one["end"].alias("start"), read_len.alias("end"), F.array(one["anno"]).alias("annos")))
+        earlier, later = F.get(members, i - 1), F.get(members, i + 1)
+        before = F.aggregate(earlier, F.get(earlier, F.lit(0)), lambda x, c: F.when(c["end"] >= x["end"], c).otherwise(x))
+        after = F.aggregate(later, F.get(later, F.lit(0)), lambda x, c: F.when(c["start"] < x["start"], c).otherwise(x))
+        left = F.when(i > 0, of(before["end"], one["start"], before["anno"], one["anno"])).otherwise(of(F.lit(0), one["start"], one["anno"]))
+        right = F.when(i < F.size(members) - 1, of(one["end"], after["start"], one["anno"], after["anno"])).otherwise(of(one["end"], F.length("seq"), one["anno"]))
         single = F.when(one["direction"] == "Before", left).otherwise(right)
-        return F.when(F.size(mine) == 2, pair).when(F.size(mine) == 1, single)
+        return F.when(F.size(mine) == 2, of(edge(one), edge(two), one["anno"], two["anno"])).when(F.size(mine) == 1, single)
+
+    return out.withColumn("slices", F.filter(F.transform(members, slice_of), lambda s: s.isNotNull())).drop("__cut", "__members")
+
 
-    return F.filter(F.transform(members, slice_of), lambda s: s.isNotNull())
+def n_slices() -> Column:
+    """How many slices are not empty."""
+    return F.size(F.filter("slices", lambda s: s["start"] < s["end"]))
 
 
 def trim_reads(reads: DataFrame, config: LabelConfig = LabelConfig(), skip_trim: bool = False, flip: bool = False) -> DataFrame:
@@ -67,14 +83,15 @@ def trim_reads(reads: DataFrame, config: LabelConfig = LabelConfig(), skip_trim:
 
     Slices that are empty are left out, but count for the suffix of the id.
     """
-    cut = reads.select("read_id", "desc", "seq", "qual", F.posexplode(slices(F.col("matches"), F.length("seq"))).alias("slice_idx", "s")).where("s.start < s.end")
+    cut = with_slices(reads).select("read_id", "desc", "seq", "qual", "matches", F.posexplode("slices").alias("slice_idx", "s")).where("s.start < s.end")
+    cut = cut.withColumn("annos", F.transform("s.annos", lambda i: F.get("matches", i)))
     start, size = F.col("s.start") + 1, F.col("s.end") - F.col("s.start")
     seq, qual = (F.col(c) if skip_trim else F.substring(c, start, size) for c in ("seq", "qual"))
     if flip:
-        turn = F.exists("s.annos", lambda m: (m["match_type"] == "Ftag") & (m["strand"] == "Rc"))
+        turn = F.exists("annos", lambda m: (m["match_type"] == "Ftag") & (m["strand"] == "Rc"))
         seq, qual = F.when(turn, reverse_complement(seq)).otherwise(seq), F.when(turn, F.reverse(qual)).otherwise(qual)
     name = F.concat("read_id", F.when(F.col("slice_idx") == 0, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("slice_idx").cast("string"))))
-    return cut.select("read_id", "slice_idx", name.alias("id"), "desc", seq.alias("seq"), qual.alias("qual"), label(F.col("s.annos"), config).alias("label"))
+    return cut.select("read_id", "slice_idx", name.alias("id"), "desc", seq.alias("seq"), qual.alias("qual"), label(F.col("annos"), config).alias("label"))
 
 
 def with_reads(reads: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -94,12 +111,12 @@ def pull(reads: DataFrame, annotations: DataFrame, config: LabelConfig = LabelCo
 
 def failed(reads: DataFrame, annotations: DataFrame) -> DataFrame:
     """read_id of reads with matches that yield no slice."""
-    return with_reads(reads, annotations).where(F.size(F.filter(slices(F.col("matches"), F.length("seq")), lambda s: s["start"] < s["end"])) == 0).select("read_id")
+    return with_slices(with_reads(reads, annotations)).where(n_slices() == 0).select("read_id")
 
 
 def counters(reads: DataFrame, annotations: DataFrame) -> DataFrame:
     """step, metric, count: reads with matches, trimmed, split into several slices, and failed."""
-    n = with_reads(reads, annotations).select(F.size(F.filter(slices(F.col("matches"), F.length("seq")), lambda s: s["start"] < s["end"])).alias("n"))
+    n = with_slices(with_reads(reads, annotations)).select(n_slices().alias("n"))
     total = n.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("trimmed"), F.count_if(F.col("n") > 1).alias("split"), F.count_if(F.col("n") == 0).alias("failed"))
     return total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, total.columns)), F.array(*total.columns))).alias("metric", "count")).select(F.lit("trim").alias("step"), "metric", "count")
 

@@ -28,8 +28,13 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet")
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys dealt over all cores before reads are made of them: the table may be one block."""
+    return _orders(spark, sf).select("o_orderkey").repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def _lists(spark, sf) -> DataFrame:
-    return synth.match_lists(_orders(spark, sf))
+    return synth.match_lists(_spread(spark, sf))
 
 
 def _cut(spark, sf, patterns) -> DataFrame:
@@ -63,7 +68,7 @@ def edit_cutoff(spark, sf):
 
 
 def derive_reads_planted(spark, sf):
-    return synth.planted_reads(_orders(spark, sf))
+    return synth.planted_reads(_spread(spark, sf))
 
 
 def listed_matches(spark, sf):
@@ -134,7 +139,7 @@ def barcode_assign_margin(spark, sf):
 
 def exact_planted_demux(spark, sf):
     """Error-free reads of scenarios 0 and 1 through the whole kit: label, start of the slice."""
-    reads = synth.planted_reads(_orders(spark, sf)).where("scenario <= 1")
+    reads = synth.planted_reads(_spread(spark, sf)).where("scenario <= 1")
     got = demux(reads, RAPID).trimmed
     return got.select("id", "label", F.length("seq").alias("bases"), F.substring("seq", 1, 20).alias("head"))
 
@@ -239,7 +244,7 @@ def failed_reads(spark, sf):
 
 def demux_noisy_recall(spark, sf):
     """Noisy reads by scenario: reads, reads with the planted label first, and reads that the kit keeps."""
-    reads = synth.noisy_reads(_orders(spark, sf))
+    reads = synth.noisy_reads(_spread(spark, sf))
     found = annotated(reads, groups.kit_groups(RAPID))
     kept = filter_reads(found, [parse(p) for p in kits.patterns(RAPID, True)])
     first = F.get("matches", F.lit(0))["label"]
@@ -248,21 +253,21 @@ def demux_noisy_recall(spark, sf):
 
 
 def annotate_table(spark, sf):
-    return annotate(synth.planted_reads(_orders(spark, sf)), groups.kit_groups(RAPID)).select("read_id", "anno_idx", "match_type", "label", "strand", "flank_cost", "barcode_cost", "read_start_flank", "read_end_flank")
+    return annotate(synth.planted_reads(_spread(spark, sf)), groups.kit_groups(RAPID)).select("read_id", "anno_idx", "match_type", "label", "strand", "flank_cost", "barcode_cost", "read_start_flank", "read_end_flank")
 
 
 def residual_adapter_qc(spark, sf):
-    got = demux(synth.noisy_reads(_orders(spark, sf)), RAPID, maximize=True)
+    got = demux(synth.noisy_reads(_spread(spark, sf)), RAPID, maximize=True)
     return residual_adapters(got.trimmed, groups.kit_groups(RAPID))
 
 
 def kit_right_tags(spark, sf):
-    return unmatched_tags(annotated(synth.planted_reads(_orders(spark, sf)), groups.kit_groups("SQK-RAB204")))
+    return unmatched_tags(annotated(synth.planted_reads(_spread(spark, sf)), groups.kit_groups("SQK-RAB204")))
 
 
 def demux_rapid(spark, sf):
     """The flagship: planted reads through the rapid kit, reads and bases a label."""
-    return demux(synth.planted_reads(_orders(spark, sf)), RAPID, maximize=True).summary()
+    return demux(synth.planted_reads(_spread(spark, sf)), RAPID, maximize=True).summary()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

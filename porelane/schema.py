@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,3 +30,8 @@ def gathered(annotations: DataFrame, *others: str) -> DataFrame:
 def flat(reads: DataFrame, *others: str) -> DataFrame:
     """One row a match: read_id, the match's fields, anno_idx, others."""
     return reads.select("read_id", F.posexplode("matches").alias("anno_idx", "m"), *others).select("read_id", "m.*", "anno_idx", *others)
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a generated column is not put in for its uses again."""
+    return df.withColumn(name, F.explode(F.array(value)))
