@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import rows
-from .words import mix64
+from .words import Words, mix64, string_buffers
 
 MARK = "▁"
 UNIT = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MASK = (1 << 64) - 1
 NO = np.int64(1 << 60)
+STORE = 2_000_000  # segmentations that a worker keeps as arrays, about 50 bytes each, before it forgets them
 WIDE = 64  # longer units take the heap
 CACHE = 400_000  # units of a generation that a worker remembers; it keeps two, the older one for what is asked again
 
@@ -83,6 +85,9 @@ class Pieces:
         for piece, i in self.id.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
+        #: single-byte characters outside the vocabulary
+        self.single = {chr(b) for b in range(128)} - set(self.id) - {" "}
+        self.known = {c for c in self.id if len(c) == 1 and c != MARK} | {" "}
         self.bytes = [b""] * n
         for piece, i in self.id.items():
             self.bytes[i] = piece.replace(MARK, " ").encode()
@@ -209,6 +214,11 @@ class Pieces:
         return out[1:].decode()
 
 
+@lru_cache(1024)
+def cutter(characters: frozenset):
+    return re.compile("([" + "".join(map(re.escape, sorted(characters))) + "])")
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Pieces:
     return Pieces(path)
@@ -217,23 +227,30 @@ def vocabulary(path: str) -> Pieces:
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int, variants: int):
         self.pieces, self.threshold, self.seed, self.variants = vocabulary(path), int(dropout * (1 << 32)), seed, variants if dropout else 1
-        self.mark = [self.pieces.byte[b] for b in MARK.encode()]
-        self.known: list[dict[str, list[int]]] = [{"": self.mark} for _ in range(self.variants)]
-        self.older: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.mark = tuple(self.pieces.byte[b] for b in MARK.encode())
+        self.known: list[dict[str, tuple[int, ...]]] = [{"": self.mark} for _ in range(self.variants)]
+        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.held = 0
+        #: the store of encode_column: sorted keys, their rows, and each row's ids in flat
+        self.keys, self.key_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.row_start = self.row_end = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     def units(self, text: str) -> list[str]:
-        """Units, where the empty one stands for a literal mark."""
-        if MARK in text:
-            first, *rest = text.split(MARK)
-            out = UNIT.findall(MARK + first.replace(" ", MARK))
-            for part in rest:
-                out.append("")
-                out += UNIT.findall(part.replace(" ", MARK))
-            return out
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return UNIT.findall(MARK + text.replace(" ", MARK))
-        return [MARK + w for w in text.split(" ")]
+        """Units, where the empty one stands for a literal mark. Characters outside the vocabulary stand alone: nothing merges with them."""
+        out = []
+        foreign = frozenset(text) - self.pieces.known
+        for i, part in enumerate(cutter(foreign).split(text) if foreign else (text,)):
+            if i % 2:
+                out.append("" if part == MARK else part)
+            elif "  " in part or part[-1:] == " " or not part:
+                out += UNIT.findall((MARK if not i else "") + part.replace(" ", MARK))
+            else:
+                first, *rest = part.split(" ")
+                if first or not i:
+                    out.append(MARK + first if not i and first else first or MARK)
+                out += [MARK + w for w in rest]
+        return out
 
     def learn(self, asked: list[tuple[str, int]]) -> None:
         """Segment (unit, draw) pairs that are not known."""
@@ -243,10 +260,10 @@ class Encoder:
         keys = [xxhash.xxh64_intdigest(u, seed=self.seed * 1024 + v) if self.threshold else 0 for u, v in asked]
         short = [n for n, (u, _) in enumerate(asked) if len(u) <= part]
         for n, ids in zip(short, self.pieces.many([asked[n][0] for n in short], [keys[n] for n in short], self.threshold) if short else ()):
-            self.known[asked[n][1]][asked[n][0]] = ids
+            self.known[asked[n][1]][asked[n][0]] = tuple(ids)  # of numbers alone: the garbage collector passes tuples over
         for (u, v), key in zip(asked, keys):
             if len(u) > part:
-                self.known[v][u] = [i for a in range(0, len(u), part) for i in self.pieces.unit(u[a : a + part], key, self.threshold)]
+                self.known[v][u] = tuple(i for a in range(0, len(u), part) for i in self.pieces.unit(u[a : a + part], key, self.threshold))
         self.held += len(asked)
 
     def drawn(self, doc_id: int | None, text: str) -> tuple[list, list[int]]:
@@ -267,23 +284,104 @@ class Encoder:
             known = self.known
             found = [[known[v].get(u) for u, v in zip(*x)] for x in drawn]
             asked = {}
-            for x, got in zip(drawn, found):
-                if None in got:
-                    for n, (u, v) in enumerate(zip(*x)):
-                        if got[n] is None and (old := self.older[v].get(u)) is not None:
-                            known[v][u] = got[n] = old
-                            self.held += 1
-                        elif got[n] is None:
-                            asked[u, v] = True
+            gaps = [[n for n, g in enumerate(got) if g is None] for got in found]
+            for (units, draw), got, gap in zip(drawn, found, gaps):
+                for n in gap:
+                    u, v = units[n], draw[n]
+                    if (old := self.older[v].get(u)) is not None:
+                        known[v][u] = got[n] = old
+                        self.held += 1
+                    else:
+                        asked[u, v] = True
             if asked:
                 self.learn(list(asked))
                 known = self.known
-                for x, got in zip(drawn, found):
-                    if None in got:
-                        got[:] = [g if g is not None else known[v][u] for g, u, v in zip(got, *x)]
+                for (units, draw), got, gap in zip(drawn, found, gaps):
+                    for n in gap:
+                        if got[n] is None:
+                            got[n] = known[draw[n]][units[n]]
             out += [list(chain.from_iterable(got)) for got in found]
         return out
 
+    def encode_column(self, doc_ids: list, column) -> list[np.ndarray]:
+        """Ids of every text of a string column: the same as encode_all, in arrays.
+
+        Texts of single spaces and known characters (line ends and other single-byte characters
+        outside the vocabulary may stand between words) are handled as arrays of word hashes;
+        the others go through encode_all.  A (word, draw) is known by a 64-bit hash.
+        """
+        texts = column.to_pylist()
+        out: list = [np.zeros(0, np.int32)] * len(texts)
+        own = self.pieces.single
+        plain = [bool(t) and " " not in (t[0], t[-1]) and "  " not in t and (not (f := frozenset(t) - self.pieces.known) or (all(c in own for c in f) and not any(f" {c}" in t or f"{c} " in t for c in f))) for t in texts]
+        slow = [i for i, (t, p) in enumerate(zip(texts, plain)) if t and not p]
+        for i, ids in zip(slow, self.encode_all([doc_ids[i] for i in slow], [texts[i] for i in slow])):
+            out[i] = np.array(ids, np.int32)
+        fast = [i for i, p in enumerate(plain) if p]
+        if not fast:
+            return out
+        data, offsets = string_buffers(column.take(pa.array(fast)))
+        apart = np.zeros(256, bool)
+        apart[[32, *map(ord, own)]] = True
+        words = Words(data, offsets, False, apart)
+        lone = np.flatnonzero(apart[data] & (data != 32))
+        # units in order: words, and single characters outside the vocabulary
+        place = np.concatenate([words.start, lone])
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        before = np.where(place > 0, data[np.maximum(place - 1, 0)], 32)
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        marked = (before == 32) | first[place]
+        end = np.concatenate([words.end, lone + 1])[order]
+        key = np.concatenate([words.hashes(), mix64(data[lone].astype(np.uint64))])[order]
+        bounds = np.searchsorted(place, offsets)
+        # a text that begins with a lone character has the first mark as a unit of its own: those are few
+        size = np.diff(bounds)
+        base = np.array([xxhash.xxh64_intdigest(str(doc_ids[i] or 0), seed=self.seed) for i in fast], np.uint64)
+        nth = np.arange(len(place)) - np.repeat(bounds[:-1], size)
+        draw = mix64(nth.astype(np.uint64) + np.repeat(base, size)) % np.uint64(self.variants)
+        key = mix64(key + draw * np.uint64(0x9E3779B97F4A7C15) + np.where(marked, np.uint64(0), np.uint64(0xD6E8FEB86659FD93)))
+        each, at, back = np.unique(key, return_index=True, return_inverse=True)
+        row = self.rows_of(each)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            raw = data.tobytes()
+            spots = at[new]
+            is_mark = marked[spots].tolist()
+            units = [(MARK if m else "") + raw[a:b].decode() for a, b, m in zip(place[spots].tolist(), end[spots].tolist(), is_mark)]
+            keys = [xxhash.xxh64_intdigest(u, seed=self.seed * 1024 + v) if self.threshold else 0 for u, v in zip(units, draw[spots].tolist())]
+            row[new] = self.add_rows(each[new], self.pieces.many(units, keys, self.threshold))
+        row = row[back]
+        length = self.row_end[row] - self.row_start[row]
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.row_start[row] - total[:-1], length) + np.arange(total[-1])]
+        for n, i in enumerate(fast):
+            out[i] = ids[total[bounds[n]] : total[bounds[n + 1]]]
+        return out
+
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each sorted key in the store, -1 where it is new; a full store is emptied first."""
+        if len(self.keys) > STORE:
+            self.keys, self.key_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.row_start = self.row_end = np.zeros(0, np.int64)
+            self.flat = np.zeros(0, np.int32)
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.key_row[at], -1)
+
+    def add_rows(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
+        size = np.array([len(x) for x in found], np.int64)
+        end = len(self.flat) + np.cumsum(size)
+        rows = len(self.row_start) + np.arange(len(found))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
+        self.row_start, self.row_end = np.concatenate([self.row_start, end - size]), np.concatenate([self.row_end, end])
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.key_row = all_keys[order], np.concatenate([self.key_row, rows])[order]
+        return rows
+
     def encode(self, doc_id: int | None, text: str) -> list[int]:
         return self.encode_all([doc_id], [text])[0]
 
@@ -306,7 +404,7 @@ def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, va
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = part.column("doc_id").to_pylist()
-                yield rows(ENCODED, doc_id=ids, ids=encoder.encode_all(ids, [t or "" for t in part.column("text").to_pylist()]))
+                yield rows(ENCODED, doc_id=ids, ids=encoder.encode_column(ids, part.column("text")))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -333,12 +431,13 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7,
 
     def run(batches):
         encoder = encoder_of(model, dropout, seed, variants)
+        # rows, not texts: a slice of a batch bounds the arrays
         for part in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             out = {n: [] for n in TRIP.names}
             docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-            for doc, text, ids in zip(docs_, texts, encoder.encode_all(docs_, texts)):
-                back = encoder.pieces.decode(ids)
-                for k, v in zip(TRIP.names, (doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text)):
+            for doc, text, ids in zip(docs_, texts, encoder.encode_column(docs_, part.column("text"))):
+                back = encoder.pieces.decode(ids.tolist())
+                for k, v in zip(TRIP.names, (doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text)):
                     out[k].append(v)
             yield rows(TRIP, **out)
 

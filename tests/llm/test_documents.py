@@ -296,6 +296,18 @@ def test_merge_dropout_varies_and_decodes(rough, none, prose, monkeypatch):
     assert pieces.round_trip(none, path).count() == 0
 
 
+def test_arrays_and_lists_encode_alike(prose, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts = [t for _, t in prose[1]] + [t for _, t in ROWS] + ["a  b", " a", "a ", "a\nb c", "\n", "x\n", "a \nb", "▁", "\tx y"]
+    ids = list(range(len(texts)))
+    want = pieces.Encoder(path, 0.2, 3, 4).encode_all(ids, [t or "" for t in texts])
+    for store in (pieces.STORE, 10):
+        monkeypatch.setattr(pieces, "STORE", store)
+        encoder = pieces.Encoder(path, 0.2, 3, 4)
+        got = [x for a in range(0, len(texts), 50) for x in encoder.encode_column(ids[a : a + 50], pa.array(texts[a : a + 50], pa.string()))]
+        assert [x.tolist() for x in got] == want
+
+
 def test_lockstep_equals_the_agenda_of_one_unit():
     path = tokenizer_path("piece_bpe_32k.model")
     p = pieces.vocabulary(path)
