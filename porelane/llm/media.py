@@ -8,12 +8,13 @@ and measured.  Chunks travel compressed, with a dictionary trained on a bounded
 (`sample` texts of smallest hash); it changes what is shuffled, never a result.  The list of a
 document of one chunk is complete after the join, so only longer ones are brought together.
 
-Hot chunks: the store keeps one row a digest (partial aggregation drops copies in each map
-task); the list side of the join is skewed and split by adaptive execution.  A document's
-chunks meet in one row, which is no larger than the document.
+Hot groups: copies of a text share one list; the store keeps one row a digest (partial
+aggregation drops copies in each map task); a chunk of very many lists is joined with a salt;
+the final join on the text's key has one row on one side, so adaptive execution splits a hot
+key.  A text's chunks meet in one row, which is no larger than the text.
 
-Edge cases: null text is empty (64 zero bytes); repeated rows are kept, each with its own
-list; an empty table gives no rows; extra columns are ignored.  A failed check raises.
+Edge cases: null text is empty (64 zero bytes); repeated rows are returned each; an empty
+table gives no rows; extra columns are ignored.  A failed check raises.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, trimmed_memory
+from .common import rows, trimmed_memory, written
 from .words import mix64
 
 BLOCK = 64  # payloads are padded to a multiple of this; also the gear hash's window
@@ -78,8 +80,8 @@ def cuts(data: bytes, low: int = 2048, bits: int = 12, high: int = 32768) -> lis
     return out
 
 
-CHUNKS = pa.schema([("text_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("n_chunks", pa.int32()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
-CHUNKS_SQL = "text_key long, doc_id long, n_bytes long, whole binary, n_chunks int, ord int, digest binary, packed binary"
+CHUNKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("n_chunks", pa.int32()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
+CHUNKS_SQL = "k1 long, k2 long, n_bytes long, whole binary, n_chunks int, ord int, digest binary, packed binary"
 
 
 def dictionary(docs: DataFrame, sample: int, size: int = 65_536) -> bytes | None:
@@ -113,7 +115,7 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
         for batch in batches:
             out = {n: [] for n in CHUNKS.names}
             seen, size = set(), 0
-            for row, doc, text in zip(batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
                 data = (text.as_py() or "").encode()
                 media = to_wav(payload(data))
                 at, whole = 0, None if store else hashlib.sha256(media).digest()
@@ -129,7 +131,7 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
                         seen.add(digest)
                         packed = pack.compress(piece)
                         size += len(packed)
-                    for k, v in zip(CHUNKS.names, (row, doc, len(data), whole, len(ends), i, digest, packed)):
+                    for k, v in zip(CHUNKS.names, (k1, k2, len(data), whole, len(ends), i, digest, packed)):
                         out[k].append(v)
                 if size > 1 << 23:
                     yield rows(CHUNKS, **out)
@@ -141,7 +143,8 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
     return docs.mapInArrow(cut, CHUNKS_SQL)
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64())])
+FEATURES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64())])
+FEATURES_SQL = "k1 long, k2 long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 
 
 def feature(samples: np.ndarray) -> str:
@@ -151,17 +154,8 @@ def feature(samples: np.ndarray) -> str:
     return f"sum={x.sum()};squares={(x * x).sum()};crossings={np.count_nonzero(np.diff(samples >= 128))};distinct={np.count_nonzero(count)};mode={count.argmax()}"
 
 
-def media(docs: DataFrame, sample: int = 1000) -> DataFrame:
-    """Store every text as chunked media, read it back from the chunk store and measure it."""
-    words = dictionary(docs, sample)
-    # rows with one doc_id keep lists of their own where their texts differ
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    listed = chunked(keyed, False).groupBy("doc_id", "text_key", "n_chunks", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"), F.count(F.lit(1)).alias("copies"))
-    store = chunked(keyed, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
-    part = F.struct("ord", "digest", "packed")
-    one = listed.where("n_chunks = 1").join(store, "digest", "left").select("doc_id", "n_bytes", "whole", "copies", F.array(part).alias("list"))
-    more = listed.where("n_chunks > 1").join(store, "digest", "left").groupBy("doc_id", "text_key").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("copies").alias("copies"), F.collect_list(part).alias("list"))
-    whole = one.unionByName(more.drop("text_key"))
+def reread(found: DataFrame, words: bytes | None) -> DataFrame:
+    """Rows (k1, k2, n_bytes, whole, list of (ord, digest, packed)): the media put together, verified and measured."""
 
     def read(batches):
         import zstandard
@@ -170,21 +164,52 @@ def media(docs: DataFrame, sample: int = 1000) -> DataFrame:
         for batch in batches:
             out = {n: [] for n in FEATURES.names}
             for r in range(batch.num_rows):
-                doc, n_bytes, whole, copies, parts = (batch.column(c)[r].as_py() for c in ("doc_id", "n_bytes", "whole", "copies", "list"))
+                k1, k2, n_bytes, whole, parts = (batch.column(c)[r].as_py() for c in ("k1", "k2", "n_bytes", "whole", "list"))
                 pieces = []
                 for part in sorted(parts, key=lambda x: x["ord"]):
                     piece = unpack.decompress(part["packed"])
                     if hashlib.sha256(piece).digest() != part["digest"]:
-                        raise ValueError(f"document {doc}: chunk {part['ord']} differs from its digest")
+                        raise ValueError(f"chunk {part['ord']} of media {whole.hex()} differs from its digest")
                     pieces.append(piece)
                 stored = b"".join(pieces)
                 if hashlib.sha256(stored).digest() != whole:
-                    raise ValueError(f"document {doc}: the chunk list doesn't give the stored media")
+                    raise ValueError(f"the chunk list doesn't give the media {whole.hex()}")
                 samples = from_wav(stored)
-                values = (doc, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(stored), whole.hex(), feature(np.frombuffer(samples, np.uint8)), len(parts))
+                values = (k1, k2, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(stored), whole.hex(), feature(np.frombuffer(samples, np.uint8)), len(parts))
                 for k, v in zip(FEATURES.names, values):
-                    out[k] += [v] * copies
+                    out[k].append(v)
             yield rows(FEATURES, **out)
             trimmed_memory()
 
-    return whole.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+    return found.select("k1", "k2", "n_bytes", "whole", "list").mapInArrow(read, FEATURES_SQL)
+
+
+def media(docs: DataFrame, sample: int = 1000, hot: int = 20_000) -> DataFrame:
+    """Store every text as chunked media, read it back from the chunk store and measure it.
+
+    Lists are kept once for each distinct text (a key of 128 bits), so exact copies are one.
+    A chunk in more than `hot` lists is joined apart, its lists dealt out by a salt.
+    """
+    words = dictionary(docs, sample)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    listed = chunked(keyed, False).groupBy("k1", "k2", "n_chunks", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"))
+    store = chunked(keyed, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
+    listed = written(listed, "lists")
+    often = written(listed.groupBy("digest").count().where(F.col("count") > hot), "hot")
+    found = [(listed, store, ["digest"])]
+    n = often.count()
+    if n:
+        often = F.broadcast(often) if n <= 100_000 else often  # checked: 40 bytes a row; a shuffled join beyond it
+        salts = F.ceil(F.col("count") / hot)
+        apart = listed.join(often, "digest").withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), salts)).drop("count")
+        dealt = store.join(often, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("count")
+        found = [(listed.join(often, "digest", "left_anti"), store, ["digest"]), (apart, dealt, ["digest", "salt"])]
+    part = F.struct("ord", "digest", "packed")
+    columns = "k1", "k2", "n_bytes", "whole"
+    one = [a.where("n_chunks = 1").join(b, on).select(*columns, F.array(part).alias("list")) for a, b, on in found]
+    more = [a.where("n_chunks > 1").join(b, on).select(*columns, "n_chunks", part.alias("part")) for a, b, on in found]
+    whole = reduce(DataFrame.unionByName, more).groupBy("k1", "k2").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("n_chunks").alias("n_chunks"), F.collect_list("part").alias("list"))
+    whole = whole.where(F.when(F.size("list") == F.col("n_chunks"), True).otherwise(F.raise_error(F.lit("a chunk is not in the store")).cast("boolean")))
+    features = reread(reduce(DataFrame.unionByName, [*one, whole.select(*columns, "list")]), words)
+    return keyed.select("doc_id", "k1", "k2").join(features, ["k1", "k2"]).drop("k1", "k2")

@@ -139,6 +139,14 @@ def test_media(prose, rough, none):
     assert media.media(none).count() == 0
 
 
+def test_a_hot_chunk_is_joined_with_a_salt(spark):
+    head = " ".join(f"word{i}" for i in range(3000))
+    rows = [(i, f"{head} {i}") for i in range(30)] + [(100 + i, "short") for i in range(20)] + [(200, None)]
+    got = media.media(spark.createDataFrame(rows, "doc_id long, text string"), hot=4)
+    check_media(got, rows)
+    assert max(r["n_chunks"] for r in got.collect()) > 1
+
+
 def test_gear_hash_is_the_rolling_one():
     data = np.random.default_rng(0).integers(0, 256, 1000).astype(np.uint8)
     h, want = 0, []
