@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows, written
@@ -210,25 +210,31 @@ def slots(bins: Bins) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in made.items()}
 
 
-def ranked(items: DataFrame, salts: int) -> DataFrame:
-    """Adds rank: 0, 1, ... among the rows of one length, without bringing them together."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    spread = counts.groupBy("length").agg(F.map_from_entries(F.collect_list(F.struct("salt", "count"))).alias("of"))  # salts entries a length
-    before = spread.select("length", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "of").select(
-        "length", "salt", F.aggregate(F.sequence(F.lit(-1), F.col("salt") - 1), F.lit(0).cast("long"), lambda t, i: t + F.coalesce(F.element_at("of", i), F.lit(0).cast("long"))).alias("before")
-    )
-    from pyspark.sql import Window
+def ranked(items: DataFrame, lengths: Counter, per_salt: int) -> DataFrame:
+    """Adds rank: 0, 1, ... among the rows of one length, without bringing them together.
 
+    A length of n rows is dealt over 1 + n / per_salt salts; ranks within a salt are shifted by
+    the counts of the salts before it.
+    """
+    spark = items.sparkSession
+    # F.broadcast: at most one row a length
+    salts = F.broadcast(spark.createDataFrame([(k, 1 + n // per_salt) for k, n in lengths.items()], "length long, salts long"))
+    salted = items.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts")).drop("salts")
+    counts = salted.groupBy("length", "salt").count()
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    few = sum(1 + n // per_salt for n in lengths.values()) <= 200_000  # checked: 24 bytes a row; a shuffled join beyond it
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    # F.broadcast: at most capacity * salts rows
-    return salted.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("salt", "own", "before")
+    out = salted.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(before) if few else before, ["length", "salt"])
+    return out.withColumn("rank", F.col("own") + F.col("before")).drop("salt", "own", "before")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, salts: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, per_salt: int = 500_000) -> DataFrame:
     """All documents packed into few sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     items = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     lengths = Counter({r["length"]: r["count"] for r in items.groupBy("length").count().collect()})  # at most capacity rows
+    if not lengths:
+        return items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     places = slots(local_search(best_fit(lengths, capacity)))
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -244,4 +250,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                 sequence[mine], offset[mine] = start[k] + rank[mine] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PIECES.names), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return ranked(items, salts).select(*PIECES.names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(items, lengths, per_salt).select(*PIECES.names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

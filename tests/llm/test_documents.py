@@ -384,6 +384,7 @@ def check_packing(got, rows, capacity=1024):
 
 def test_packing(prose, rough, none):
     path = tokenizer_path("byte_bpe_50k.json")
+    check_packing(packing.pack(prose[0], path, per_salt=2), prose[1])
     n, least = check_packing(packing.pack(prose[0], path), prose[1])
     assert n <= least + 1
     check_packing(packing.pack(rough, path), ROWS)
