@@ -15,6 +15,7 @@ from .operators import annotate as an
 from .operators import filter as fi
 from .operators import inspect as ins
 from .operators import trim as tr
+from .operators.report import shown
 from .plans.groups import fasta_groups, kit_groups
 from .plans.kit import demux
 from .schema import flat
@@ -65,6 +66,9 @@ def parser() -> argparse.ArgumentParser:
     search(k, True)
     for flag in ("maximize", "gzip", "flip"):
         k.add_argument(f"--{flag}", action="store_true")
+    for verb in verbs.choices.values():
+        verb.add_argument("-t", "--threads", type=int, help="ignored: the cluster decides")
+        verb.add_argument("-v", "--verbose", action="store_true", help="show query groups")
     return top
 
 
@@ -76,6 +80,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if bool(o.kit) == bool(o.queries):
             raise SystemExit("give either a kit or query files")
         groups = kit_groups(o.kit, o.use_extended, o.flank_max_errors) if o.kit else fasta_groups(o.queries, o.barcode_types, o.flank_max_errors)
+        for group in groups if o.verbose else ():
+            print(shown(group))
         write_annotations(an.annotate(read_fastq(spark, o.input), groups, alpha=o.alpha, min_score=o.min_score, min_diff=o.min_score_diff), o.output)
     elif o.verb == "filter":
         texts = [open(p, encoding="utf-8").read() for p in o.file]

@@ -42,16 +42,3 @@ def annotated(reads: DataFrame, groups: list[Group], alpha: float = 0.4, min_sco
 def annotate(reads: DataFrame, groups: list[Group], **how) -> DataFrame:
     """The flat table of matches: read_id, the match's fields, anno_idx."""
     return flat(annotated(reads.select("read_id", "seq"), groups, **how).drop("seq"))
-
-
-def residual_adapters(trimmed: DataFrame, groups: list[Group], flank_edits: int = 15, barcode_edits: int = 4, alpha: float = 0.5) -> DataFrame:
-    """Quality check of trimmed reads: label, reads, and reads that still hold a flank with a barcode.
-
-    Flanks within flank_edits; a barcode within barcode_edits on the same strand.
-    """
-    from dataclasses import replace
-
-    loose = [replace(g, cutoff=flank_edits, tables={}) for g in groups]
-    found = annotated(trimmed.select(F.col("id").alias("read_id"), "label", "seq"), loose, alpha=alpha, collapse=False)
-    bad = found.where(F.exists("matches", lambda m: m["match_type"].endswith("tag") & (m["barcode_cost"] <= barcode_edits))).groupBy("label").agg(F.count(F.lit(1)).alias("residual"))
-    return trimmed.groupBy("label").agg(F.count(F.lit(1)).alias("reads")).join(bad, "label", "left").select("label", "reads", F.coalesce("residual", F.lit(0).cast("long")).alias("residual"))

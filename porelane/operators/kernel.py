@@ -361,6 +361,48 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
     return out
 
 
+def least_with_overhang(tables: np.ndarray, m: int, text: np.ndarray, lengths: np.ndarray, alpha: float) -> np.ndarray:
+    """Least cost (texts, patterns) of each pattern anywhere in each text, overhang at either end allowed."""
+    left = border(m, alpha)
+    cost, final = last_row(tables, m, text, left, lengths)
+    inside = np.arange(len(cost))[:, None, None] <= lengths[None, :, None]
+    least = np.where(inside, cost, np.int16(32000)).min(0).astype(np.int32)
+    here = cost[lengths, np.arange(len(lengths))].astype(np.int32)
+    for i in range(m - 1, -1, -1):  # rows above the last one in each text's last column
+        p, n = final[0][i // 64], final[1][i // 64]
+        here -= ((p >> U(i % 64)) & U(1)).astype(np.int32) - ((n >> U(i % 64)) & U(1)).astype(np.int32)
+        least = np.minimum(least, here + left[m - i])
+    return least
+
+
+def residual_counts(seqs: list[bytes], group: Group, bars: list[str], flank_edits: int, barcode_edits: int, alpha: float, chunk: int = 128) -> list[int]:
+    """How many flank hits of each read hold a bare barcode on the same strand."""
+    from dataclasses import replace
+
+    group = replace(group, cutoff=flank_edits, tables={}).prepared()
+    forward_bars = np.stack([encode(b) for b in bars])
+    tables = {"Fwd": bit_tables(forward_bars), "Rc": bit_tables(COMPLEMENT[forward_bars[:, ::-1]])}
+    out = np.zeros(len(seqs), np.int64)
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    order = [r for r in np.argsort(lengths, kind="stable") if lengths[r]]
+    for a in range(0, len(order), 2000):
+        some = np.array(order[a : a + 2000])
+        size = lengths[some]
+        forward, back = (np.zeros((int(size.max()), len(some)), np.uint8) for _ in "fb")
+        for x, r in enumerate(some):
+            code = encode(seqs[r])
+            forward[: len(code), x], back[: len(code), x] = code, COMPLEMENT[code[::-1]]
+        for strand, text in (("Fwd", forward), ("Rc", back)):
+            hits = flank_hits(group, text, size, alpha, strand)
+            for b in range(0, len(hits["read"]), chunk):
+                read, start, end = (hits[k][b : b + chunk] for k in ("read", "start", "end"))
+                window = gathered(forward, read, start, end)
+                if window.shape[1]:
+                    least = least_with_overhang(tables[strand], forward_bars.shape[1], np.ascontiguousarray(window.T), end - start, alpha)
+                    np.add.at(out, some[read], (least <= barcode_edits).any(1))
+    return out.tolist()
+
+
 def rel_dist(pos: int, n: int) -> int:
     if pos < 0:
         return 1

@@ -297,6 +297,10 @@ ORACLES: dict[str, str] = {
         repeat(translate(md5(k || 'q'), '0123456789abcdef', '56789:;<=>?@ABCD'), 64)[1 : length(seq)] AS qual FROM planted""",
     "listed_matches": f"""WITH {LISTS} SELECT read_id, anno_idx, read_len, rel_dist_to_end, read_start_bar, read_end_bar, read_start_flank, read_end_flank, read_start_bar AS bar_start,
         (read_start_bar + 23)::INTEGER AS bar_end, match_type, flank_cost, barcode_cost, label, strand FROM dist""",
+    "trimmed_ends": f"""WITH {SEQS}, ends AS (SELECT k, seq, CASE WHEN k % 2 = 0 THEN 1 + k * 13 % 20 ELSE 0 END AS a, CASE WHEN k // 3 % 2 = 1 THEN 1 + k * 17 % 20 ELSE 0 END AS b FROM seqs)
+        SELECT 'r' || k AS read_id, (length(seq) - a - b)::INTEGER AS bases, md5(seq[a + 1 : length(seq) - b]) AS seq_md5 FROM ends""",
+    "residual_exact": f"""WITH {READS} SELECT 'read' || k AS read_id, coalesce(label, 'none') AS barcode, length(seq)::INTEGER AS len,
+        CASE scenario WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END::INTEGER AS n_flank FROM planted""",
     "barcode_label_ranges": _spans(),
     "kit_catalog": "SELECT * FROM " + _values([(k, f, len(kits.FAMILIES[f][0]), "double" if kits.FAMILIES[f][1] else "single") for k, f in kits.KITS.items()]) + " t(kit, family, templates, labels)",
     "kit_catalog_expand": _catalog_expand(),

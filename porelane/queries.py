@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from . import kits, synth
 from .functions import dna
 from .functions.patterns import parse
-from .operators.annotate import annotate, annotated, residual_adapters
+from .operators.annotate import annotate, annotated
 from .operators.collapse import collapse_annotations
 from .operators.filter import filter_annotations, filter_from_pattern, filter_reads
 from .operators.inspect import inspect, pattern_counts, read_patterns
 from .operators.kernel import border, encode, bit_tables, last_row
+from .operators.report import normalised, residual_adapters
 from .operators.trim import LabelConfig, counters, failed, label, pull, trim, trim_reads
 from .plans import groups
 from .plans.kit import demux, unmatched_tags
@@ -258,7 +259,18 @@ def annotate_table(spark, sf):
 
 def residual_adapter_qc(spark, sf):
     got = demux(synth.noisy_reads(_spread(spark, sf)), RAPID, maximize=True)
-    return residual_adapters(got.trimmed, groups.kit_groups(RAPID))
+    return residual_adapters(got.trimmed, groups.kit_groups(RAPID)[0])
+
+
+def residual_exact(spark, sf):
+    """Untrimmed error-free reads: how many adapters each holds."""
+    reads = synth.planted_reads(_spread(spark, sf)).select(F.col("read_id").alias("id"), F.coalesce("label", F.lit("none")).alias("label"), "seq")
+    bars = [kits.barcode(x) for x in kits.label_range("RBK01", "RBK96")]
+    return normalised(reads, groups.kit_groups(RAPID)[0], bars)
+
+
+def trimmed_ends(spark, sf):
+    return synth.trimmed_ends(_orders(spark, sf)).select("read_id", F.length("seq").alias("bases"), F.md5("seq").alias("seq_md5"))
 
 
 def kit_right_tags(spark, sf):
@@ -276,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         demux_rapid, fastq_header_split, reverse_complement, iupac_check, rel_dist, edit_cutoff, derive_reads_planted, listed_matches, barcode_label_ranges,
         kit_catalog, kit_catalog_expand, group_flanks, approx_min_cost, barcode_assign_margin, exact_planted_demux, overlap_collapse, overlap_collapse_half,
         cuts_roundtrip, filter_dropped, filter_again, inspect_read_pattern, inspect_topk, inspect_unique, pull_reads, label_variants, stage_counters, failed_reads,
-        demux_noisy_recall, annotate_table, residual_adapter_qc, kit_right_tags,
+        demux_noisy_recall, annotate_table, residual_adapter_qc, residual_exact, trimmed_ends, kit_right_tags,
     )
 } | {name: _filter(p) for name, p in FILTERS.items()} | {
     "trim_pair": _trim(PAIR),

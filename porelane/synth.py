@@ -73,6 +73,15 @@ def noisy_reads(orders: DataFrame, edits: int = 6) -> DataFrame:
     return out.withColumn("qual", quality(F.col("seq"), F.col("read_id")))
 
 
+def trimmed_ends(orders: DataFrame, most: int = 20) -> DataFrame:
+    """listed_reads without 1..most nt at the left if the key is even, and at the right if a third of it is odd."""
+    k = F.col("read_id").substr(F.lit(2), F.length("read_id")).cast("long")
+    out = listed_reads(orders)
+    left, right = F.when(k % 2 == 0, 1 + k * 13 % most).otherwise(0), F.when(F.floor(k / 3) % 2 == 1, 1 + k * 17 % most).otherwise(0)
+    start, size = (1 + left).cast("int"), (F.length("seq") - left - right).cast("int")
+    return out.withColumns({"seq": F.substring("seq", start, size), "qual": F.substring("qual", start, size)})
+
+
 def match_lists(orders: DataFrame) -> DataFrame:
     """A flat table of 1 to 4 matches a read."""
     k = F.col("o_orderkey")

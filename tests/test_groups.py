@@ -78,3 +78,10 @@ def test_fasta(tmp_path):
     assert (got.labels, got.kind, got.cutoff, got.seqs[1]) == (["a", "b"], "Rtag", 2, "AAACCCGGG")
     with pytest.raises(ValueError, match="types"):
         g.fasta_groups([str(path), str(path)], ["Ftag"])
+
+
+def test_a_group_can_be_shown():
+    from porelane.operators.report import shown
+
+    text = shown(g.kit_groups("SQK-RBK001")[0]).splitlines()
+    assert text[0].startswith("TATTGCT" + "-" * 24 + "GTTTT") and text[1] == "BC01:  " + kits.BC[0] and text[-1] == "... and 10 more"

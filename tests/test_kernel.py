@@ -113,3 +113,36 @@ def test_pruning_by_the_score_bound_never_changes_a_result(monkeypatch):
     pruned = k.annotate_reads(reads, [group], 0.4, 0.2, 0.1)
     monkeypatch.setattr(k, "perfect_score", lambda n: 20.0)  # the bound admits all candidates; the group keeps its own perfect score
     assert k.annotate_reads(reads, [group], 0.4, 0.2, 0.1) == pruned
+
+
+def test_residual_adapters_are_counted():
+    group = kit_groups("SQK-RBK110-96")[0]
+    whole = group.prefix + group.seqs[4][10:34] + group.suffix
+    body = "ACGTTGCA" * 30
+    bars = [s[10:34] for s in group.seqs]
+    back = "".join("=AC=G===T"[c] for c in k.COMPLEMENT[k.encode(body + whole)[::-1]])
+    reads = [body, whole + body, whole + body + whole, back, whole[20:] + body, whole[45:] + body, ""]
+    assert k.residual_counts([r.encode() for r in reads], group, bars, 15, 4, 0.5)[:4] == [0, 1, 2, 1]
+    assert k.residual_counts([r.encode() for r in reads], group, bars, 15, 4, 0.5)[5:] == [0, 0]
+
+
+def test_least_cost_with_overhang_equals_the_plain_program():
+    rng = np.random.default_rng(0)
+    for m in (8, 24, 70):
+        p, texts = rng.choice([1, 2, 4, 8], (3, m)).astype(np.uint8), [rng.choice([1, 2, 4, 8], n).astype(np.uint8) for n in (1, 9, 40)]
+        text = np.zeros((40, 3), np.uint8)
+        for i, t in enumerate(texts):
+            text[: len(t), i] = t
+        got = k.least_with_overhang(k.bit_tables(p), m, text, np.array([1, 9, 40]), 0.5)
+        left = k.border(m, 0.5)
+        for i, t in enumerate(texts):
+            for j in range(3):
+                column = left.astype(int)
+                best = column[-1]
+                for c in t:
+                    new = np.zeros(m + 1, int)
+                    for r in range(1, m + 1):
+                        new[r] = min(column[r - 1] + (p[j, r - 1] & c == 0), column[r] + 1, new[r - 1] + 1)
+                    column = new
+                    best = min(best, column[-1])
+                assert got[i, j] == min(best, (column + left[::-1]).min())
