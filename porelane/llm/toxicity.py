@@ -7,9 +7,10 @@ of a window into a logit, and a document scores the sigmoid of its largest windo
 Everything is numpy: inputs are projected once per distinct word of a batch, and the windows
 of a batch go through the recurrence in lockstep.
 
-Training (driver, numpy, Adam): at most `per_class` labelled documents of each class, those of
-smallest hash, of at most `max_bytes` bytes each; a document's gradient goes through its
-highest-scoring window.  Scoring reads whole texts of every document in any partitioning.
+Training (driver, numpy, Adam): at most `clean` and `toxic` labelled documents of the two
+classes, those of smallest hash, of at most `max_bytes` bytes each; a document's gradient goes
+through its highest-scoring window.  A word has a vector of its own if it is in 3 to 10 of these
+documents, more the larger the sample.  Scoring reads whole texts of every document in any partitioning.
 
 Edge cases: null text, empty text or text without words scores as one empty window; null
 labels and null ids are no training rows; without both classes every score is the share of
@@ -35,7 +36,7 @@ U = np.uint64
 class Shape:
     words: int = 20_000
     word_dim: int = 12
-    char_rows: int = 4096
+    char_rows: int = 16_384
     char_dim: int = 6
     hidden: int = 8
     attention: int = 8
@@ -82,13 +83,13 @@ class Network:
     def __init__(self, shape: Shape, vocabulary: np.ndarray, prior: float):
         self.shape, self.vocabulary, self.prior, self.p = shape, vocabulary, prior, None
 
-    def start(self, odds: np.ndarray, seed: int = 1) -> None:
-        """odds: a starting value for each word's first component."""
+    def start(self, odds: np.ndarray, tri_odds: np.ndarray, seed: int = 1) -> None:
+        """odds, tri_odds: starting values of the first component of each word's and each trigram's vector."""
         s, r = self.shape, np.random.default_rng(seed)
         d, h = s.word_dim + s.char_dim, s.hidden
         n = lambda *shape, scale: r.normal(0, scale, shape).astype(np.float32)
         self.p = {"word": n(len(self.vocabulary) + 1, s.word_dim, scale=0.1), "char": n(s.char_rows, s.char_dim, scale=0.3), "att": n(2 * h, s.attention, scale=0.4), "att_b": np.zeros(s.attention, np.float32), "att_v": n(s.attention, scale=0.4), "out": n(2 * h, scale=0.4), "out_b": np.full(1, -1, np.float32)}
-        self.p["word"][1:, 0] = odds
+        self.p["word"][1:, 0], self.p["char"][:, 0] = odds, tri_odds
         for k in "fb":
             self.p |= {f"x{k}": n(d, 3 * h, scale=d**-0.5), f"u{k}": n(h, 3 * h, scale=h**-0.5), f"b{k}": np.zeros(3 * h, np.float32)}
 
@@ -202,26 +203,37 @@ class Network:
         return g, loss
 
 
-def train(texts: list[str], labels: list[int], shape: Shape = Shape(), epochs: int = 5, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Network:
+def train(texts: list[str], labels: list[int], shape: Shape = Shape(), epochs: int = 5, batch: int = 64, steps: int = 300, rate: float = 0.02, seed: int = 1) -> Network:
+    """At least `steps` steps: a small sample goes through in smaller batches, more often."""
     label = np.array(labels, np.float32)
+    batch = min(batch, max(16, len(texts) // 32))
+    epochs = max(epochs, -(-steps * batch // max(1, len(texts))))
     prior = float(label.mean()) if len(label) else 0.0
     if not 0 < prior < 1:
         return Network(shape, np.zeros(0, U), prior)
     cut = [pa.array(texts[i : i + batch], pa.string()) for i in range(0, len(texts), batch)]
     seen, toxic = {}, {}
+    tri_seen, tri_toxic = np.zeros(shape.char_rows), np.zeros(shape.char_rows)
     for i, part in enumerate(cut):
         text = Text(*string_buffers(part), shape)
         for j in range(len(part)):
-            for w in np.unique(text.index[text.bounds[j] : text.bounds[j + 1]]):
+            own = np.unique(text.index[text.bounds[j] : text.bounds[j + 1]])
+            tri = np.unique(np.concatenate([text.tri[:0], *(text.tri[text.tri_at[w] : text.tri_at[w + 1]] for w in own)]))
+            tri_seen[tri] += 1
+            tri_toxic[tri] += label[i * batch + j]
+            for w in own:
                 k = int(text.hash[w])
                 seen[k] = seen.get(k, 0) + 1
                 toxic[k] = toxic.get(k, 0) + int(label[i * batch + j])
     often = sorted(seen, key=lambda k: (-seen[k], k))[: shape.words]
-    vocabulary = np.array(sorted(k for k in often if seen[k] >= 3), U)
+    least = int(min(10, max(3, len(texts) // 400)))
+    vocabulary = np.array(sorted(k for k in often if seen[k] >= least), U)
     net = Network(shape, vocabulary, prior)
     n1, n0 = label.sum(), len(label) - label.sum()
-    odds = [np.log((toxic[int(k)] + 1) / (n1 + 2)) - np.log((seen[int(k)] - toxic[int(k)] + 1) / (n0 + 2)) for k in vocabulary]
-    net.start(np.array(odds, np.float32) / 2, seed)
+    add = least / 2
+    odds = [np.log((toxic[int(k)] + add) / (n1 + 2 * add)) - np.log((seen[int(k)] - toxic[int(k)] + add) / (n0 + 2 * add)) for k in vocabulary]
+    tri_odds = np.log((tri_toxic + add) / (n1 + 2 * add)) - np.log((tri_seen - tri_toxic + add) / (n0 + 2 * add))
+    net.start(np.array(odds, np.float32) / 2, np.where(tri_seen >= least, tri_odds, 0).astype(np.float32), seed)
     rng, m, v, step = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
@@ -246,12 +258,12 @@ def held_out(fold: int = 2, of: int = 4):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> list:
-    """At most per_class labelled documents of each class, in hash order; the limit is what bounds training."""
+def training_rows(docs: DataFrame, labels: DataFrame, clean: int, toxic: int, max_bytes: int) -> list:
+    """At most so many labelled documents of each class, in hash order; the limits are what bounds training."""
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, clean), (1, toxic))]
     some = some[0].unionByName(some[1])
-    # F.broadcast: at most 2 * per_class rows of two numbers
+    # F.broadcast: at most clean + toxic rows of two numbers
     got = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(some), "doc_id")
     return sorted(got.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
 
@@ -270,8 +282,8 @@ def scored(docs: DataFrame, net: Network, text: str = "text", score: str = "scor
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_bytes: int = 6000, shape: Shape = Shape()) -> Network:
-    got = training_rows(docs, labels, per_class, max_bytes)
+def fitted(docs: DataFrame, labels: DataFrame, clean: int = 3000, toxic: int = 1000, max_bytes: int = 6000, shape: Shape = Shape()) -> Network:
+    got = training_rows(docs, labels, clean, toxic, max_bytes)
     net = train([r["text"] for r in got], [r["toxic"] for r in got], shape)
     if net.p is not None:
         # the sample holds the classes in other shares than the labels: shift the logit by the ratio of odds

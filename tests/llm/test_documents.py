@@ -67,7 +67,7 @@ def test_toxicity_learns_and_scores_everything(spark):
         rows.append((i, " ".join(text)))
         marks.append((i, int(toxic)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-    got = toxicity.toxicity(docs, labels, per_class=300).collect()
+    got = toxicity.toxicity(docs, labels, clean=400, toxic=150).collect()
     held = [r for r in got if r["held_out"]]
     assert len(got) == 900 and all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in got)
     assert np.mean([r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held]) > 0.97
@@ -79,7 +79,7 @@ def test_toxicity_gradient():
     texts = ["bad cat sat on the mat", "the cat sat", "x"]
     text = toxicity.Text(*words.string_buffers(pa.array(texts)), shape)
     net = toxicity.Network(shape, np.sort(text.hash)[:4], 0.5)
-    net.start(np.zeros(4, np.float32))
+    net.start(np.zeros(4, np.float32), np.zeros(32, np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     start, size, doc = text.windows(shape)
     label = np.array([1.0, 0.0, 1.0])[doc]
