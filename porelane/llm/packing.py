@@ -250,4 +250,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                 sequence[mine], offset[mine] = start[k] + rank[mine] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in PIECES.names), pa.array(sequence), pa.array(offset)], schema=schema)
 
+    # small tables are dealt out, too: a salt has at most about a 512th of the rows
+    per_salt = max(1, min(per_salt, sum(lengths.values()) // 512))
     return ranked(items, lengths, per_salt).select(*PIECES.names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
