@@ -67,11 +67,13 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, best
 
 
-def visits(x: np.ndarray, home: np.ndarray, centre: np.ndarray, margin: float) -> np.ndarray:
-    """Which cells each unit vector is compared in: its own, and those with a border within the margin."""
-    c = x @ centre.T
-    gap = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)[home]))  # distance of each centre from the home's
-    return c[np.arange(len(x)), home][:, None] - c <= margin * gap
+def visits(x: np.ndarray, home: np.ndarray, centre: np.ndarray, margin: float, cells: np.ndarray | None = None) -> np.ndarray:
+    """Which (of these) cells each unit vector is compared in: its own, and those with a border within the margin."""
+    own = centre[home]
+    some = centre if cells is None else centre[cells]
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (own @ some.T)))  # distance of each centre from the home's
+    cell = np.arange(len(centre)) if cells is None else cells
+    return ((x * own).sum(1)[:, None] - x @ some.T <= margin * gap) | (cell[None, :] == home[:, None])
 
 
 LINKS = pa.schema([("cid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -84,8 +86,9 @@ def cells(classes: DataFrame, centre: np.ndarray, margin: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            step = max(64, min(2048, (1 << 22) // len(sent.value)))  # rows times cells are bounded
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 raw = matrix(part.column("vector"))
                 x = unit(raw)
                 home, _ = nearest(x, sent.value)
@@ -128,7 +131,8 @@ def compared(placed: DataFrame, centre: np.ndarray, margin: float, threshold: fl
             link &= block[:, None] != block[None, :]
         # a pair with two homes counts here unless it also meets in the other home, of smaller number
         here = np.flatnonzero(own)
-        meets = visits(unit(raw[here]), home[here], sent.value, margin)[:, home] if len(here) else np.zeros((0, len(cid)), bool)
+        cells, which = np.unique(home, return_inverse=True)
+        meets = visits(unit(raw[here]), home[here], sent.value, margin, cells)[:, which]
         counted = link.copy()
         counted[here] &= ~(meets & (home < cell)[None, :])
         counted[:, here] = counted[here].T | (counted[:, here] & own[:, None])
