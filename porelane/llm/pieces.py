@@ -3,12 +3,16 @@
 A merge-type model's vocabulary is read from its file.  A text becomes "_" + text with "_"
 for spaces, cut before each run of "_" that follows another character: no piece of the
 vocabulary goes over such a cut.  Each unit's merges come off an agenda, best score first and
-leftmost among equals; a candidate is skipped if its keyed hash - of the seed, the unit, one of
-`variants` draws and the candidate's rank and place - falls below the dropout.  Which draw an
-occurrence uses is a hash of the seed, the document and the occurrence's place, so one
-word is segmented in several ways, and again the same for the same seed; results do not
+leftmost among equals; a candidate is skipped if its keyed hash - of the seed, the document,
+the unit's place in it and the candidate's rank and place - falls below the dropout.  So every
+occurrence of a word draws on its own, and again the same for the same seed; results do not
 depend on partitioning.  Dropout 0 gives the library's own ids.
 
+What is kept between occurrences are runs of a word's agenda under a given set of skips, none
+to begin with: an occurrence tries its draws on the run's candidates, and takes the run's ids
+if it skips none of them, or else goes on to the run with its first skip.  Beyond DEPTH skips an
+occurrence's agenda is run for itself.  That saves work and changes no result.
+
 Characters outside the vocabulary become byte pieces; so does a literal "_" (U+2581), which
 is why decoding restores every text exactly.
 
@@ -39,9 +43,16 @@ MARK = "▁"
 UNIT = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MASK = (1 << 64) - 1
 NO = np.int64(1 << 60)
-STORE = 2_000_000  # segmentations that a worker keeps as arrays, about 50 bytes each, before it forgets them
+STORE = 1_000_000  # runs that a worker keeps as arrays, about 100 bytes each, before it forgets them
 WIDE = 64  # longer units take the heap
-CACHE = 400_000  # units of a generation that a worker remembers; it keeps two, the older one for what is asked again
+CACHE = 400_000  # units whose hashes a worker remembers before it forgets them
+DEPTH = 2  # skips of a run that is kept
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def skipped(key: np.ndarray, entry: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether each key skips its entry of an agenda, as in Pieces.unit."""
+    return ((key ^ entry * ODD) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) < np.uint64(threshold)
 
 
 class Pieces:
@@ -129,9 +140,15 @@ class Pieces:
                 heapq.heappush(agenda, m[0] | h)
         return [i for i in ids if i >= 0]
 
-    def many(self, units: list[str], keys: list[int], threshold: int) -> list[list[int]]:
-        """unit() of many units in lockstep: in each round every unit takes the first entry of its agenda."""
+    def many(self, units: list[str], keys, threshold: int, runs: list | None = None) -> list[list[int]]:
+        """unit() of many units in lockstep: in each round every unit takes the first entry of its agenda.
+
+        With a list `runs`, keys are sets of rounds (bits) whose candidate is skipped, no other
+        one is, and each unit's candidates are put into the list; units of at most WIDE characters.
+        """
         out: list = [None] * len(units)
+        if runs is not None:
+            runs += [[] for _ in units]
         flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         size = np.array([len(u) for u in units])
         start = np.cumsum(size) - size
@@ -144,7 +161,7 @@ class Pieces:
         key = np.array(keys, np.uint64)
         for a in range(0, len(left), 4096):
             some = left[a : a + 4096]
-            self._lockstep(some, symbol, start, size, key, threshold, out)
+            self._lockstep(some, symbol, start, size, key, threshold, out, runs)
         return out
 
     def _home(self, key: np.ndarray) -> np.ndarray:
@@ -169,7 +186,7 @@ class Pieces:
         at = self._pairs(a, b)
         return np.where(at >= 0, self.pair_rank[at], NO)
 
-    def _lockstep(self, some, symbol, start, size, key, threshold, out) -> None:
+    def _lockstep(self, some, symbol, start, size, key, threshold, out, runs=None) -> None:
         width = int(size[some].max()) + 1  # one empty column at the end
         col = np.arange(width)[None, :]
         inside = col < size[some][:, None]
@@ -178,6 +195,7 @@ class Pieces:
         rank = np.full(ids.shape, NO)
         rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
         key = key[some]
+        nth, passed = 0, []
         while len(some):
             i = rank.argmin(1)
             row = np.arange(len(some))
@@ -190,9 +208,13 @@ class Pieces:
                 live = ~done
                 some, ids, place, rank, key, i, least = some[live], ids[live], place[live], rank[live], key[live], i[live], least[live]
                 row = np.arange(len(some))
-            if threshold:
-                entry = (least | place[row, i]).astype(np.uint64)
-                skip = ((key ^ entry * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) < threshold
+            if runs is not None:
+                passed.append((some, least >> 14 | place[row, i]))
+                skip = (key >> np.uint64(nth) & np.uint64(1)).astype(bool) if nth < 64 else np.zeros(len(some), bool)
+                nth += 1
+            elif threshold:
+                skip = skipped(key, (least | place[row, i]).astype(np.uint64), threshold)
+            if runs is not None or threshold:
                 rank[row[skip], i[skip]] = NO
                 row, i = row[~skip], i[~skip]
             if not len(row):
@@ -207,6 +229,13 @@ class Pieces:
             some_left = i > 0
             r, j = row[some_left], i[some_left] - 1
             rank[r, j] = self._ranks(ids[r, j], made[some_left])
+        if passed:
+            who, what = (np.concatenate(x) for x in zip(*passed))
+            order = np.argsort(who, kind="stable")
+            each, at = np.unique(who[order], return_index=True)
+            what = what[order].tolist()
+            for n, a, b in zip(each.tolist(), at.tolist(), [*at[1:].tolist(), len(what)]):
+                runs[n] = what[a:b]
 
     def decode(self, ids) -> str:
         """The text of these ids; without the space that encoding puts first."""
@@ -225,16 +254,19 @@ def vocabulary(path: str) -> Pieces:
 
 
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.pieces, self.threshold, self.seed, self.variants = vocabulary(path), int(dropout * (1 << 32)), seed, variants if dropout else 1
-        self.mark = tuple(self.pieces.byte[b] for b in MARK.encode())
-        self.known: list[dict[str, tuple[int, ...]]] = [{"": self.mark} for _ in range(self.variants)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.held = 0
-        #: the store of encode_column: sorted keys, their rows, and each row's ids in flat
+    """variants: only so many draws in all, instead of one an occurrence."""
+
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
+        self.pieces, self.threshold, self.seed, self.variants = vocabulary(path), int(dropout * (1 << 32)), seed, variants
+        self.mark = [self.pieces.byte[b] for b in MARK.encode()]
+        self.named: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """The store: sorted keys of runs, their rows, each row's ids in flat and its candidates (rank << 6 | place) in path."""
         self.keys, self.key_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.row_start = self.row_end = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.bound, self.path_bound = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.path = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def units(self, text: str) -> list[str]:
         """Units, where the empty one stands for a literal mark. Characters outside the vocabulary stand alone: nothing merges with them."""
@@ -252,55 +284,90 @@ class Encoder:
                 out += [MARK + w for w in rest]
         return out
 
-    def learn(self, asked: list[tuple[str, int]]) -> None:
-        """Segment (unit, draw) pairs that are not known."""
-        if self.held + len(asked) > CACHE and self.held:
-            self.older, self.known, self.held = self.known, [{"": self.mark} for _ in range(self.variants)], 0
+    def draws(self, doc_ids: list, size: np.ndarray, lead: np.ndarray | int = 0) -> np.ndarray:
+        """The key of every unit's draws, for documents of so many units, the first of which is number `lead`."""
+        base = np.array([xxhash.xxh64_intdigest(str(d or 0), seed=self.seed) for d in doc_ids], np.uint64)
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lead, size)
+        key = mix64(nth.astype(np.uint64) + np.repeat(base, size))
+        return key if self.variants is None else mix64(key % np.uint64(self.variants) + np.uint64(xxhash.xxh64_intdigest("", seed=self.seed)))
+
+    def alone(self, units: list[str], keys: list[int]) -> list[list[int]]:
+        """Each unit's agenda run for itself."""
         part = 1 << 18  # places on the agenda have 20 bits: a longer unit goes in parts
-        keys = [xxhash.xxh64_intdigest(u, seed=self.seed * 1024 + v) if self.threshold else 0 for u, v in asked]
-        short = [n for n, (u, _) in enumerate(asked) if len(u) <= part]
-        for n, ids in zip(short, self.pieces.many([asked[n][0] for n in short], [keys[n] for n in short], self.threshold) if short else ()):
-            self.known[asked[n][1]][asked[n][0]] = tuple(ids)  # of numbers alone: the garbage collector passes tuples over
-        for (u, v), key in zip(asked, keys):
-            if len(u) > part:
-                self.known[v][u] = tuple(i for a in range(0, len(u), part) for i in self.pieces.unit(u[a : a + part], key, self.threshold))
-        self.held += len(asked)
-
-    def drawn(self, doc_id: int | None, text: str) -> tuple[list, list[int]]:
-        """Units of a text and the draw that each uses."""
-        if not text:
-            return [], []
-        units = self.units(text)
-        if self.variants == 1:
-            return units, [0] * len(units)
-        base = xxhash.xxh64_intdigest(str(doc_id or 0), seed=self.seed)
-        return units, (mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(base)) % np.uint64(self.variants)).tolist()
+        if max(map(len, units), default=0) <= part:
+            return self.pieces.many(units, keys, self.threshold) if units else []
+        return [[i for a in range(0, len(u), part) for i in self.pieces.unit(u[a : a + part], key + a & MASK, self.threshold)] for u, key in zip(units, keys)]
+
+    def segmented(self, word: np.ndarray, key: np.ndarray, wide: np.ndarray, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all occurrences in a row, and their n+1 bounds.
+
+        word: a hash of each one's unit; key: of its draws; wide: run for themselves, as are all
+        units over WIDE; texts: indices of occurrences -> their units.
+        """
+        if len(self.keys) > STORE:
+            self.forget()
+        row, skips = np.full(len(word), -1), np.zeros(len(word), np.uint64)
+        live = np.flatnonzero(~wide)
+        for depth in range(DEPTH + 1):
+            if not len(live):
+                break
+            name = mix64(word[live] + skips[live] * ODD)
+            each, at, back, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            found = self.rows_of(each)
+            # a run with skips that a single occurrence asks for isn't kept: that one is run for itself
+            new = np.flatnonzero((found < 0) & ((n > 1) | (depth == 0)))
+            if len(new):
+                found[new] = self.add_rows(each[new], texts(live[at[new]]), skips[live[at[new]]])
+            mine = found[back]
+            live, mine = live[mine >= 0], mine[mine >= 0]
+            if not len(live):
+                break
+            if not self.threshold:
+                row[live] = mine
+                live = live[:0]
+                break
+            # candidates after the last skip; frexp gives the bit length of a power of two
+            done = np.where(skips[live] > 0, np.frexp(skips[live].astype(np.float64))[1], 0)
+            lo, n = self.path_bound[mine] + done, np.diff(self.path_bound)[mine] - done
+            total = np.cumsum(n)
+            nth = np.arange(total[-1]) - np.repeat(total - n, n)
+            entry = self.path[np.repeat(lo, n) + nth].astype(np.uint64)
+            hit = np.flatnonzero(skipped(np.repeat(key[live], n), entry >> np.uint64(6) << np.uint64(20) | entry & np.uint64(63), self.threshold))
+            who, first = np.unique(np.repeat(np.arange(len(live)), n)[hit], return_index=True)
+            go = np.zeros(len(live), bool)
+            go[who] = True
+            row[live[~go]] = mine[~go]
+            step = (nth[hit[first]] + done[who]).astype(np.uint64)
+            live = live[who]
+            near = step < 48  # a set of skips is told by 48 bits: exact in a float; later ones are run for themselves
+            live, step = live[near], step[near]
+            skips[live] |= np.uint64(1) << step
+        rest = np.flatnonzero(row < 0)
+        own = self.alone(texts(rest), key[rest].tolist()) if len(rest) else []
+        size = np.where(row >= 0, np.diff(self.bound)[row] if len(self.bound) > 1 else 0, 0)
+        size[rest] = [len(x) for x in own]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        start = np.where(row >= 0, self.bound[row], 0)
+        start[rest] = len(self.flat) + np.cumsum(size[rest]) - size[rest]
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.int32, int(size[rest].sum()))])
+        return flat[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
     def encode_all(self, doc_ids: list, texts: list[str]) -> list[list[int]]:
-        """Ids of every text; units that are new are segmented together."""
+        """Ids of every text; units of 256 texts are segmented together."""
         out = []
         for a in range(0, len(texts), 256):
-            drawn = [self.drawn(d, t) for d, t in zip(doc_ids[a : a + 256], texts[a : a + 256])]
-            known = self.known
-            found = [[known[v].get(u) for u, v in zip(*x)] for x in drawn]
-            asked = {}
-            gaps = [[n for n, g in enumerate(got) if g is None] for got in found]
-            for (units, draw), got, gap in zip(drawn, found, gaps):
-                for n in gap:
-                    u, v = units[n], draw[n]
-                    if (old := self.older[v].get(u)) is not None:
-                        known[v][u] = got[n] = old
-                        self.held += 1
-                    else:
-                        asked[u, v] = True
-            if asked:
-                self.learn(list(asked))
-                known = self.known
-                for (units, draw), got, gap in zip(drawn, found, gaps):
-                    for n in gap:
-                        if got[n] is None:
-                            got[n] = known[draw[n]][units[n]]
-            out += [list(chain.from_iterable(got)) for got in found]
+            each = [self.units(t) if t else [] for t in texts[a : a + 256]]
+            size = np.array([len(x) for x in each])
+            units = list(chain.from_iterable(each))
+            if len(self.named) > CACHE:
+                self.named = {}
+            for u in set(units) - self.named.keys():
+                self.named[u] = xxhash.xxh64_intdigest(u)
+            word = np.array([self.named[u] for u in units], np.uint64)
+            wide = np.array([len(u) > WIDE for u in units], bool)
+            ids, bounds = self.segmented(word, self.draws(doc_ids[a : a + 256], size), wide, lambda at: [units[n] for n in at.tolist()])
+            at = bounds[np.concatenate([[0], np.cumsum(size)])]
+            out += [ids[x:y].tolist() for x, y in zip(at, at[1:])]
         return out
 
     def encode_column(self, doc_ids: list, column) -> list[np.ndarray]:
@@ -308,7 +375,7 @@ class Encoder:
 
         Texts of single spaces and known characters (line ends and other single-byte characters
         outside the vocabulary may stand between words) are handled as arrays of word hashes;
-        the others go through encode_all.  A (word, draw) is known by a 64-bit hash.
+        the others go through encode_all.  A word is known by a 64-bit hash.
         """
         texts = column.to_pylist()
         out: list = [np.zeros(0, np.int32)] * len(texts)
@@ -336,47 +403,37 @@ class Encoder:
         end = np.concatenate([words.end, lone + 1])[order]
         key = np.concatenate([words.hashes(), mix64(data[lone].astype(np.uint64))])[order]
         bounds = np.searchsorted(place, offsets)
-        # a text that begins with a lone character has the first mark as a unit of its own: those are few
-        size = np.diff(bounds)
-        base = np.array([xxhash.xxh64_intdigest(str(doc_ids[i] or 0), seed=self.seed) for i in fast], np.uint64)
-        nth = np.arange(len(place)) - np.repeat(bounds[:-1], size)
-        draw = mix64(nth.astype(np.uint64) + np.repeat(base, size)) % np.uint64(self.variants)
-        key = mix64(key + draw * np.uint64(0x9E3779B97F4A7C15) + np.where(marked, np.uint64(0), np.uint64(0xD6E8FEB86659FD93)))
-        each, at, back = np.unique(key, return_index=True, return_inverse=True)
-        row = self.rows_of(each)
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            raw = data.tobytes()
-            spots = at[new]
-            is_mark = marked[spots].tolist()
-            units = [(MARK if m else "") + raw[a:b].decode() for a, b, m in zip(place[spots].tolist(), end[spots].tolist(), is_mark)]
-            keys = [xxhash.xxh64_intdigest(u, seed=self.seed * 1024 + v) if self.threshold else 0 for u, v in zip(units, draw[spots].tolist())]
-            row[new] = self.add_rows(each[new], self.pieces.many(units, keys, self.threshold))
-        row = row[back]
-        length = self.row_end[row] - self.row_start[row]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.row_start[row] - total[:-1], length) + np.arange(total[-1])]
+        # a text that begins with a lone character has the first mark as a unit of its own
+        lead = apart[data[offsets[:-1]]].astype(np.int64)
+        key = mix64(key + np.where(marked, np.uint64(0), np.uint64(0xD6E8FEB86659FD93)))
+        raw = data.tobytes()
+
+        def units(at: np.ndarray) -> list[str]:
+            return [(MARK if m else "") + raw[x:y].decode() for x, y, m in zip(place[at].tolist(), end[at].tolist(), marked[at].tolist())]
+
+        # bytes, of which a unit has as many as characters at least
+        ids, total = self.segmented(key, self.draws([doc_ids[i] for i in fast], np.diff(bounds), lead), end - place >= WIDE, units)
         for n, i in enumerate(fast):
             out[i] = ids[total[bounds[n]] : total[bounds[n + 1]]]
         return out
 
     def rows_of(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each sorted key in the store, -1 where it is new; a full store is emptied first."""
-        if len(self.keys) > STORE:
-            self.keys, self.key_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.row_start = self.row_end = np.zeros(0, np.int64)
-            self.flat = np.zeros(0, np.int32)
+        """Row of each sorted key in the store, -1 where it is new."""
         if not len(self.keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.key_row[at], -1)
 
-    def add_rows(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
-        size = np.array([len(x) for x in found], np.int64)
-        end = len(self.flat) + np.cumsum(size)
-        rows = len(self.row_start) + np.arange(len(found))
+    def add_rows(self, keys: np.ndarray, units: list[str], skips: np.ndarray) -> np.ndarray:
+        """Runs of units under sets of skips, put into the store; a literal mark (the empty unit) is its bytes."""
+        runs: list = []
+        found = self.pieces.many([u or "\n" for u in units], skips, self.threshold, runs)
+        found = [x if u else self.mark for x, u in zip(found, units)]
+        rows = len(self.bound) - 1 + np.arange(len(found))
+        size, steps = (np.array([len(x) for x in y], np.int64) for y in (found, runs))
+        self.bound, self.path_bound = (np.concatenate([x, x[-1] + np.cumsum(n)]) for x, n in ((self.bound, size), (self.path_bound, steps)))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
-        self.row_start, self.row_end = np.concatenate([self.row_start, end - size]), np.concatenate([self.row_end, end])
+        self.path = np.concatenate([self.path, np.fromiter(chain.from_iterable(runs), np.uint32, int(steps.sum()))])
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         self.keys, self.key_row = all_keys[order], np.concatenate([self.key_row, rows])[order]
@@ -387,7 +444,7 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder_of(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder_of(path: str, dropout: float, seed: int, variants: int | None) -> Encoder:
     """One a worker: what a task has segmented serves the next one."""
     return Encoder(path, dropout, seed, variants)
 
@@ -395,7 +452,7 @@ def encoder_of(path: str, dropout: float, seed: int, variants: int) -> Encoder:
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
+def encoded(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int | None = None) -> DataFrame:
     """doc_id, ids of every text."""
 
     def run(batches):
@@ -426,7 +483,7 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 TRIP = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
 
 
-def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, variants: int | None = None) -> DataFrame:
     """Encode and decode every text: number of pieces, digest of the ids, digest of the decoded text, and whether it is the text."""
 
     def run(batches):

@@ -324,6 +324,29 @@ def test_lockstep_equals_the_agenda_of_one_unit():
         assert p.many(units, [77] * len(units), threshold) == [p.unit(u, 77, threshold) for u in units]
 
 
+def test_every_occurrence_draws_on_its_own():
+    path = tokenizer_path("piece_bpe_32k.model")
+    p, word = pieces.vocabulary(path), "internationalisation"
+    texts = [" ".join([word] * 50)] * 40
+    encoder = pieces.Encoder(path, 0.1, 7)
+    got = [x.tolist() for x in encoder.encode_column(list(range(40)), pa.array(texts))]
+    # each occurrence is the agenda of its unit under its own key
+    keys = encoder.draws(list(range(40)), np.full(40, 50)).tolist()
+    alone = [p.unit("▁" + word, k, encoder.threshold) for k in keys]
+    assert got == [[i for x in alone[50 * d : 50 * d + 50] for i in x] for d in range(40)] == encoder.encode_all(list(range(40)), texts)
+    runs = []
+    p.many(["▁" + word], [0], 0, runs)
+    entry = np.array(runs[0], np.uint64)
+    entry = entry >> np.uint64(6) << np.uint64(20) | entry & np.uint64(63)
+    kept = ~pieces.skipped(np.array(keys, np.uint64)[:, None], entry[None, :], encoder.threshold)
+    assert len(set(map(tuple, alone))) > 20 and abs(kept.all(1).mean() - 0.9 ** len(entry)) < 0.04
+    assert all(x == p.unit("▁" + word, 0, 0) for x, k in zip(alone, kept.all(1)) if k)
+    # one merge: skipped in a tenth of all occurrences, and not in none or a quarter of them
+    short = next(u for u in sorted(p.id) if len(u) == 2 and u[0] == "▁" and u[1].isascii() and u[1].isalpha())
+    ids = encoder.encode(3, " ".join([short[1]] * 4000))
+    assert abs(sum(i != p.id[short] for i in ids) / 2 / 4000 - 0.1) < 0.02
+
+
 # --- 8 licenses
 
 
