@@ -311,6 +311,9 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT o_orderkey, label, levenshtein(w, bar) AS cost, row_number() OVER (PARTITION BY o_orderkey ORDER BY levenshtein(w, bar), label) AS r FROM windows CROSS JOIN bars)
         SELECT a.o_orderkey, a.label, a.cost::INTEGER AS cost, b.cost - a.cost >= 3 AS valid FROM ranked a JOIN ranked b ON a.o_orderkey = b.o_orderkey AND a.r = 1 AND b.r = 2""",
     "exact_planted_demux": f"WITH {READS} SELECT 'read' || k AS id, label, length(body)::INTEGER AS bases, body[1:20] AS head FROM planted JOIN base USING (k) WHERE scenario = 1",
+    "planted_slices": f"""WITH {READS} SELECT 'read' || k AS id, CASE scenario WHEN 3 THEN c.label ELSE planted.label END AS label, length(body)::INTEGER AS bases, md5(body) AS seq_md5,
+        md5(repeat(translate(md5(k || 'q'), '0123456789abcdef', '56789:;<=>?@ABCD'), 64)[length(seq) - length(body) + 1 : length(seq)]) AS qual_md5
+        FROM planted JOIN base USING (k) JOIN bars c ON c.i = (k * 7 + 5) % 96 WHERE scenario IN (1, 2, 3)""",
     "overlap_collapse": _collapse_pairs(8, 10),
     "overlap_collapse_half": _collapse_pairs(1, 2),
     "cuts_roundtrip": f"SELECT o_orderkey, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ',')) END::INTEGER AS n, t AS cuts FROM (SELECT o_orderkey, {_CUT_TEXT} AS t FROM orders)",

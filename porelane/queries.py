@@ -145,6 +145,11 @@ def exact_planted_demux(spark, sf):
     return got.select("id", "label", F.length("seq").alias("bases"), F.substring("seq", 1, 20).alias("head"))
 
 
+def planted_slices(spark, sf):
+    """Error-free reads of all scenarios through the kit, digests of whole slices; exact_planted_demux is bound by its SQL to scenario 1 and heads."""
+    return _digest(demux(synth.planted_reads(_spread(spark, sf)), RAPID, maximize=True).trimmed)
+
+
 def overlap_collapse(spark, sf):
     return collapse_annotations(_lists(spark, sf)).select("read_id", "anno_idx", "read_start_flank", "read_end_flank", "match_type", "label", "barcode_cost", "flank_cost")
 
@@ -286,7 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         demux_rapid, fastq_header_split, reverse_complement, iupac_check, rel_dist, edit_cutoff, derive_reads_planted, listed_matches, barcode_label_ranges,
-        kit_catalog, kit_catalog_expand, group_flanks, approx_min_cost, barcode_assign_margin, exact_planted_demux, overlap_collapse, overlap_collapse_half,
+        kit_catalog, kit_catalog_expand, group_flanks, approx_min_cost, barcode_assign_margin, exact_planted_demux, planted_slices, overlap_collapse, overlap_collapse_half,
         cuts_roundtrip, filter_dropped, filter_again, inspect_read_pattern, inspect_topk, inspect_unique, pull_reads, label_variants, stage_counters, failed_reads,
         demux_noisy_recall, annotate_table, residual_adapter_qc, residual_exact, trimmed_ends, kit_right_tags,
     )
