@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -135,21 +136,6 @@ def best_fit(lengths: Counter, capacity: int) -> Bins:
     return bins
 
 
-def exchanges(source: tuple, target: tuple, free: int):
-    """Moves and swaps that shift 1..free tokens from source to target: (shift, out of source, out of target)."""
-    ones, back = sorted(set(source)), sorted(set(target))
-    pairs = lambda x: {(a, b) for i, a in enumerate(x) for b in x[i + 1 :]}
-    for a in ones:
-        yield a, (a,), ()
-        for b in back:
-            yield a - b, (a,), (b,)
-        for two in pairs(target):
-            yield a - sum(two), (a,), two
-    for two in pairs(source):
-        for b in back:
-            yield sum(two) - b, two, (b,)
-
-
 def without(contents: tuple, out: tuple, new: tuple) -> tuple:
     left = list(contents)
     for x in out:
@@ -157,43 +143,138 @@ def without(contents: tuple, out: tuple, new: tuple) -> tuple:
     return tuple(sorted(left + list(new), reverse=True))
 
 
-def local_search(bins: Bins, steps: int = 3000, wide: int = 400) -> Bins:
-    """Exchange documents between underfull bins while the sum of squared fills grows and bins empty.
+def sums(contents: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths, and distinct sums of two of the documents."""
+    x, n = np.unique(np.array(contents, np.int64), return_counts=True)
+    i, j = np.triu_indices(len(x), 1)
+    return x, np.unique(np.concatenate([x[i] + x[j], 2 * x[n > 1]]))
+
+
+def parts(contents: tuple, total: int) -> tuple:
+    """No, one or two of the documents with this sum."""
+    if not total or total in contents:
+        return (total,) * (total > 0)
+    return next((x, total - x) for x in contents if total - x in contents and (2 * x != total or contents.count(x) > 1))
+
+
+class Receivers:
+    """A row for each class that isn't full: free space, and what may come back, by least size."""
 
-    The emptiest class gives; of up to `wide` receiving classes, those with the most room
-    and those closest to full, the exchange that raises the sum of squared fills most is
-    made.  Every step raises that sum, so the search ends; it also ends at the least
-    possible number of bins, or after `steps` steps: the packing is valid at any time.
+    NEVER = 1 << 24
+
+    def __init__(self, capacity: int):
+        self.capacity, self.row, self.contents, self.spare, self.now = capacity, {}, [], [], 0
+        self.free, self.born = np.zeros(0, np.int64), np.zeros(0, np.int64)  # no free space: no class in this row
+        self.least = np.zeros((0, 2, capacity + 1), np.int32)
+
+    def put(self, contents: tuple) -> None:
+        if not self.spare:
+            n = max(64, len(self.free))
+            self.spare = list(range(len(self.free) + n - 1, len(self.free) - 1, -1))
+            self.contents += [None] * n
+            self.free, self.born = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.free, self.born))
+            self.least = np.concatenate([self.least, np.zeros((n, 2, self.capacity + 1), np.int32)])
+        self.row[contents] = k = self.spare.pop()
+        self.contents[k], self.free[k] = contents, self.capacity - sum(contents)
+        one, two = sums(contents)
+        size = np.full((2, self.capacity + 1), self.NEVER, np.int32)
+        size[:, 0] = 0
+        size[:, one], size[1, two] = one, two
+        # least[k, w, x]: least sum of at most 1 + w documents that is x or more
+        self.least[k] = np.minimum.accumulate(size[:, ::-1], 1)[:, ::-1]
+        self.touch(contents)
+
+    def touch(self, contents: tuple) -> None:
+        self.now += 1
+        self.born[self.row[contents]] = self.now
+
+    def drop(self, contents: tuple) -> None:
+        k = self.row.pop(contents)
+        self.free[k] = 0
+        self.spare.append(k)
+
+    def best(self, source: tuple, twice: bool, since: int) -> tuple | None:
+        """The exchange with a class touched after `since` that raises the sum of squared fills most: target, out of source, out of target."""
+        mine = np.flatnonzero((self.free > 0) & (self.born > since))
+        if not twice:
+            mine = mine[mine != self.row[source]]
+        if not len(mine):
+            return None
+        free, fill, found = self.free[mine], sum(source), (0, None)
+        # one document against at most two, two against at most one; a pair's best shift is its largest
+        for w, out in zip((1, 0), sums(source)):
+            # about a million cells at once
+            for a in range(0, len(out), step := max(1, (1 << 20) // len(mine))):
+                o = out[a : a + step, None]
+                back = self.least[mine, w, np.maximum(o - free, 0)]
+                shift = o - back
+                gain = np.where(shift > 0, shift * (self.capacity - free - fill + shift), 0)
+                at = int(gain.argmax())
+                if (top := int(gain.flat[at])) > found[0]:
+                    i, j = divmod(at, len(mine))
+                    found = top, (self.contents[mine[j]], int(o[i, 0]), int(back[i, j]))
+        if found[1] is None:
+            return None
+        target, out, back = found[1]
+        return target, parts(source, out), parts(target, back)
+
+
+def local_search(bins: Bins) -> Bins:
+    """Exchange documents between underfull bins until no exchange raises the sum of squared fills.
+
+    One document, or two, go to another bin for none, one or two (one) of its documents.  The
+    emptiest class that hasn't been tried gives; of all classes, the one receives with which
+    the sum rises most.  A class without an exchange is tried again with the classes that
+    came later, so the search ends where no two bins have an exchange, or at the least possible
+    number of bins.  Every step raises the sum, so it does end.
     """
     items = sum(sum(c) * n for c, n in bins.count.items())
     least = -(-items // bins.capacity)
-    stuck = set()
-    for _ in range(steps):
-        if bins.total() <= least:
-            break
-        open_ = [c for f in bins.frees if f for c in bins.by_free[f]]
-        source = next((c for c in reversed(open_) if c not in stuck), None)
-        if source is None:
-            break
-        best = None
-        for target in open_ if len(open_) <= wide else open_[: wide // 2] + open_[-(wide - wide // 2) :]:
-            fills = sum(target), sum(source)
-            if fills[0] < fills[1] or target == source and bins.count[source] < 2:
-                continue
-            free = bins.capacity - fills[0]
-            for shift, out, back in exchanges(source, target, free):
-                if 0 < shift <= free and (best is None or shift * (fills[0] - fills[1] + shift) > best[0]):
-                    best = shift * (fills[0] - fills[1] + shift), target, out, back
-        if best is None:
-            stuck.add(source)
+    total, receivers, tried = bins.total(), Receivers(bins.capacity), {}
+    todo: list = []
+
+    def change(contents: tuple, n: int) -> None:
+        before = bins.count.get(contents, 0)
+        bins.add(contents, n)
+        if sum(contents) == bins.capacity:
+            return
+        if not before:
+            receivers.put(contents)
+            heappush(todo, (sum(contents), contents))
+        elif before + n == 0:
+            receivers.drop(contents)
+            tried.pop(contents, None)
+        elif before == 1:
+            receivers.touch(contents)  # two of a class may exchange between them
+
+    for contents in [c for f in bins.frees if f for c in bins.by_free[f]]:
+        receivers.put(contents)
+        todo.append((sum(contents), contents))
+    heapify(todo)
+    while total > least:
+        if not todo:
+            todo += [(sum(c), c) for c in receivers.row if tried[c] < receivers.now]
+            heapify(todo)
+            if not todo:
+                break
+        source = todo[0][1]
+        if source not in receivers.row or tried.get(source, -1) == receivers.now:
+            heappop(todo)
+            continue
+        found = receivers.best(source, bins.count[source] > 1, tried.get(source, -1))
+        if found is None:
+            tried[source] = receivers.now
+            heappop(todo)
             continue
-        _, target, out, back = best
+        target, out, back = found
         n = bins.count[source] // 2 if target == source else min(bins.count[source], bins.count[target])
-        bins.add(source, -n)
-        bins.add(target, -n)
+        change(source, -n)
+        change(target, -n)
         if left := without(source, out, back):
-            bins.add(left, n)
-        bins.add(without(target, back, out), n)
+            change(left, n)
+        else:
+            total -= n
+        change(without(target, back, out), n)
     return bins
 
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on invented prose and on rough rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -443,6 +444,38 @@ def test_local_search_empties_bins():
         assert held == lengths
 
 
+def exchange_left(source, target, capacity):
+    """Whether one or two documents of source can go for none, one or two (one) of target's, with more squared fill."""
+    f, t = sum(source), sum(target)
+    ones = lambda x: set(x)
+    twos = lambda x: {a + b for a, b in itertools.combinations(x, 2)}
+    shifts = {a - b for a in ones(source) for b in {0} | ones(target) | twos(target)} | {a - b for a in twos(source) for b in {0} | ones(target)}
+    return any(0 < s <= capacity - t and s > f - t for s in shifts)
+
+
+@pytest.mark.parametrize("n, low, high", [(3000, 180, 700), (300, 5, 600), (400, 300, 500), (60, 400, 900)])
+def test_local_search_ends_where_no_exchange_is_left(n, low, high):
+    rng = np.random.default_rng(n)
+    lengths = Counter(int(x) for x in rng.integers(low, high + 1, n))
+    least = -(-sum(k * v for k, v in lengths.items()) // 1024)
+    after = packing.local_search(packing.best_fit(lengths, 1024))
+    held = Counter()
+    for contents, k in after.count.items():
+        assert k > 0 and sum(contents) <= 1024
+        for x in contents:
+            held[x] += k
+    assert held == lengths
+    open_ = [c for c in after.count if sum(c) < 1024]
+    assert after.total() == least or not any(exchange_left(a, b, 1024) for a in open_ for b in open_ if a != b or after.count[a] > 1)
+
+
+def test_local_search_isnt_cut_on_many_classes():
+    rng = np.random.default_rng(0)
+    lengths = Counter(int(x) for x in rng.integers(180, 701, 200_000))
+    least = -(-sum(k * v for k, v in lengths.items()) // 1024)
+    assert packing.local_search(packing.best_fit(lengths, 1024)).total() <= 1.001 * least
+
+
 # --- 10 language model
 
 
