@@ -1,7 +1,9 @@
 """Operator 1: toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word's input is its own vector (words of the training sample) next to the mean vector of
-its character trigrams (hashed, so unseen words have one too).  Both directions of a GRU run
+all its byte trigrams (hashed, so unseen words have one too).  Words end at white space and
+punctuation, those of Unicode too; a run of more than RUN bytes without either, as in scripts
+without spaces, is a sequence of pieces that hold all of its trigrams.  Both directions of a GRU run
 over windows of `window` words that start every `stride` words, attention pools the states
 of a window into a logit, and a document scores the sigmoid of its largest window logit.
 Everything is numpy: inputs are projected once per distinct word of a batch, and the windows
@@ -20,6 +22,7 @@ with any toxic label row counts as toxic.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +33,9 @@ from pyspark.sql import functions as F
 from .words import PUNCTUATION, Words, mix64, slices, string_buffers
 
 U = np.uint64
+RUN, PIECE = 48, 24  # bytes: longest word that is one input, and the pieces of longer ones
+#: white space and punctuation outside ASCII, by code point
+_BREAK = np.array([c > 127 and (c in (0x85, 0x200B) or unicodedata.category(chr(c))[0] in "ZP") for c in range(0x10000)])
 
 
 @dataclass(frozen=True)
@@ -48,17 +54,57 @@ def sigmoid(x):
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
+def spaced(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with blanks instead of the white space and punctuation outside ASCII."""
+    at = np.flatnonzero(data >= 0xC2)
+    if not len(at):
+        return data
+    raw = np.concatenate([data, [0, 0]]).astype(np.int64)
+    a, b, c = raw[at], raw[at + 1] & 63, raw[at + 2] & 63
+    two, three = a < 0xE0, (a >= 0xE0) & (a < 0xF0)
+    code = np.where(two, (a & 31) << 6 | b, np.where(three, (a & 15) << 12 | b << 6 | c, 0))
+    gone = _BREAK[code]
+    out = data.copy()
+    for k in range(3):
+        out[at[gone & three if k == 2 else gone] + k] = 32
+    return out
+
+
+def cut_runs(words: Words) -> None:
+    """Words of more than RUN bytes become pieces that start every PIECE bytes, at a character, and hold all trigrams together.
+
+    A piece goes two bytes into the next one.
+    """
+    long = np.flatnonzero(words.end - words.start > RUN)
+    if not len(long):
+        return
+    start, end = [words.start], [words.end.copy()]
+    for w in long.tolist():
+        a, b = int(words.start[w]), int(words.end[w])
+        at = np.arange(a + PIECE, b - PIECE // 2, PIECE)
+        for _ in range(3):
+            at -= (words.data[at] & 0xC0) == 0x80  # a continuation byte
+        end[0][w] = at[0] + 2
+        start.append(at)
+        end.append(np.append(at[1:] + 2, b))
+    start, end = np.concatenate(start), np.concatenate(end)
+    order = np.argsort(start, kind="stable")
+    words.start, words.end = start[order], end[order]
+    words.bounds = np.searchsorted(words.start, words.offsets)
+
+
 class Text:
     """Distinct words of a batch, the word sequence as indices into them, and char trigrams."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, shape: Shape):
-        words = Words(data, offsets, True, PUNCTUATION)
+        words = Words(spaced(data), offsets, True, PUNCTUATION)
+        cut_runs(words)
         h = words.hashes()
         self.hash, first, self.index = np.unique(h, return_index=True, return_inverse=True)
         self.bounds = words.bounds
         start, end = words.start[first], words.end[first]
         # trigrams of a word with one edge mark at either side: a word of n bytes has n
-        size = np.minimum(end - start, 24)
+        size = end - start
         at = np.concatenate([[0], np.cumsum(size)])
         pos = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
         owner = np.repeat(np.arange(len(size)), size)

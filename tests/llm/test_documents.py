@@ -107,6 +107,37 @@ def test_toxicity_windows_overlap_and_cover():
         assert all(b - a == 4 for a, b in zip(start, start[1:]))
 
 
+def text_of(*texts, shape=toxicity.Shape()):
+    return toxicity.Text(*words.string_buffers(pa.array(texts)), shape)
+
+
+def test_toxicity_takes_all_of_a_word():
+    net = toxicity.Network(toxicity.Shape(), np.zeros(0, np.uint64), 0.5)
+    net.start(np.zeros(0, np.float32), np.zeros(16_384, np.float32))
+    # only bytes after the 24th differ
+    for a, b in (("a" * 30 + "vile", "a" * 30 + "mild"), ("漢字仮名交" * 4 + "死", "漢字仮名交" * 4 + "生"), ("漢" * 500 + "死", "漢" * 500 + "生"), ("x" * 5000 + "vile" + "x" * 5000, "x" * 10_004)):
+        assert not np.array_equal(net.window_logits(text_of(a))[0], net.window_logits(text_of(b))[0]), a[-5:]
+    # words apart by white space and punctuation outside ASCII
+    want = text_of("two vile words")
+    for mark in "\u00a0\u0085\u1680\u2003\u200b\u2028\u202f\u205f\u3000、。—“…":
+        got = text_of(mark.join(["two", "vile", "words"]) + mark)
+        assert (got.hash[got.index] == want.hash[want.index]).all(), mark
+    assert len(text_of("naïve Ünï漢字é").index) == 2
+
+
+def test_toxicity_pieces_of_a_run_hold_all_trigrams():
+    rng = np.random.default_rng(4)
+    shape = toxicity.Shape()
+    for n in (16, 17, 40, 300):
+        run = "".join(rng.choice(list("abcdé漢字仮😀"), n))
+        text = text_of("before " + run, run + " after", shape=shape)
+        raw = run.encode()
+        key = np.array([raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2)], np.uint64)
+        assert set((words.mix64(key) % np.uint64(shape.char_rows)).tolist()) <= set(text.tri.tolist())
+        k = text.bounds[1]
+        assert (text.index[1:k] == text.index[k:-1]).all() and (text.tri_n <= toxicity.RUN).all()
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 0)], [(1, None), (None, 1)], [(i, i % 2) for i in range(1, 19)] + [(1, 1)]])
 def test_toxicity_on_rough_rows(spark, rough, none, marks):
     labels = spark.createDataFrame(marks, "doc_id long, toxic int")
