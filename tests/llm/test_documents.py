@@ -45,10 +45,39 @@ def test_words_and_hashes_agree_with_a_plain_split():
         assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
 
 
+def thue_morse(n, a="a", b="b"):
+    """n letters (a power of two) on which every polynomial modulo 2**64 agrees with their complement's."""
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join(b if x else a for x in out)
+
+
+#: pairs of different words that a polynomial modulo 2**64 can't tell apart
+ALIKE = [(thue_morse(1 << k), thue_morse(1 << k, "b", "a")) for k in range(5, 14)]
+
+
+def test_hashes_tell_structured_values_apart():
+    flat = [w for pair in ALIKE for w in pair] + ["a", "a\0", "\0", "\0\0", "a" * 8, "a" * 9, "a" * 256, "a" * 257, "a" * 264]
+    w = words.Words(*words.string_buffers(pa.array([" ".join(flat), *flat])), True)
+    h = w.hashes()
+    assert len(set(h[: len(flat)].tolist())) == len(flat) and (h[: len(flat)] == h[len(flat) :]).all()
+    # runs: every window of two words in Thue-Morse order and its complement
+    for k in (2, 4, 5, 18, 32, 35, 64):
+        texts = [" ".join(thue_morse(128)), " ".join(thue_morse(128, "b", "a"))]
+        v = words.Words(*words.string_buffers(pa.array(texts)), False)
+        run, at = words.runs(v.hashes(), v.bounds, k)
+        by = {}
+        for i, t in enumerate(texts):
+            for j in range(129 - k):
+                by.setdefault(tuple(t.split()[j : j + k]), set()).add(int(run[at[i] + j]))
+        assert all(len(x) == 1 for x in by.values()) and len({x for y in by.values() for x in y}) == len(by)
+
+
 def test_hashes_do_not_depend_on_the_block(monkeypatch):
     column = words.string_buffers(pa.array([t for _, t in ROWS], pa.string()))
     whole = words.Words(*column, True).hashes()
-    monkeypatch.setattr(words, "BLOCK", 100)
+    monkeypatch.setattr(words, "BLOCK", 10)
     assert (words.Words(*column, True).hashes() == whole).all()
 
 
@@ -455,6 +484,20 @@ def test_ids_are_those_of_tokenizers(prose):
         assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "x" * 300_000, "a" + "\u3000" * 200_000 + "b", "!" * 300_000, "\u0301" * 100_000, ("word " * 900 + " " * 5000 + "\t\n" * 3000) * 20])
+def test_ids_of_long_runs_are_those_of_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_runs_are_measured_inside_a_text():
+    n = packing.RUN
+    texts = ["", None, " " * n, " " * (n + 1), "x" * n, "x" * (n + 1), "x" * n, " " * n, "a " * n, "a" + " " * (n + 1), " " * (n + 1) + "a", "", "\u3000" * n]
+    assert packing.without_long_runs(pa.array(texts)).tolist() == [True, True, True, False, True, False, True, True, True, False, False, True, False]
+
+
 def test_local_search_empties_bins():
     bins = packing.Bins(10)
     for contents in ((6, 3), (6, 3), (5, 4), (1, 1, 1)):
