@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows, written
+from .words import Words, slices, string_buffers
+
+RUN = 4096
 
 # The word pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,7 +40,9 @@ def encoder(path: str):
     """text -> ids as the tokenizers library gives them for this file, without special tokens added.
 
     The vocabulary's ranks go to tiktoken, which yields the same ids about four times as
-    fast; a text that holds an added token's string goes through tokenizers itself.
+    fast; a text that holds an added token's string goes through tokenizers itself, and so does
+    one with a run of more than RUN bytes of white space or of anything else: tiktoken's
+    pattern tracks back over white space until it fails, and its merges take quadratic time.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -53,14 +58,27 @@ def encoder(path: str):
     fast = tiktoken.Encoding("porelane", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(path)
 
-    def encode(text: str) -> np.ndarray:
-        if any(x in text for x in added):
+    def encode(text: str, plain: bool | None = None) -> np.ndarray:
+        """plain: that the text has no long run, where that is known."""
+        if plain is None:
+            plain = bool(without_long_runs(pa.array([text]))[0])
+        if not plain or any(x in text for x in added):
             return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
         return fast.encode_to_numpy(text).astype("<u4", copy=False)
 
     return encode
 
 
+def without_long_runs(column) -> np.ndarray:
+    """Which texts have no more than RUN bytes in a row between the ends of words, white space or not."""
+    data, offsets = string_buffers(column)
+    words = Words(data, offsets, False)
+    edge = np.sort(np.concatenate([words.start, words.end, offsets]))
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, edge[:-1][np.diff(edge) > RUN], side="right") - 1] = False
+    return out
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -69,10 +87,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
 
     def cut(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             out = {n: [] for n in PIECES.names}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.array([end_id], "<u4"))
+            for doc, text, plain in zip(batch.column(0).to_pylist(), batch.column(1), without_long_runs(batch.column(1)).tolist()):
+                ids = np.append(encode(text.as_py() or "", plain), np.array([end_id], "<u4"))
                 n = len(ids)
                 first = n % capacity or capacity
                 bounds = [0, *range(first, n + 1, capacity)]
