@@ -377,6 +377,22 @@ def test_arrays_and_lists_encode_alike(prose, monkeypatch):
         assert [x.tolist() for x in got] == want
 
 
+def test_long_and_structured_words_are_encoded_whole(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcdest"), 300_000)), *(" ".join(pair) for pair in ALIKE), *(w for pair in ALIKE for w in pair)]
+    got = [x.tolist() for x in pieces.Encoder(path, 0.0, 7).encode_column(list(range(len(texts))), pa.array(texts))]
+    assert got == [model.encode(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts[1:])), "doc_id long, text string")
+    assert all(r["lossless"] for r in pieces.round_trip(df, path).collect())
+    # places beyond 20 bits
+    long = "".join(rng.choice(list("abcdest"), 1_100_000))
+    assert pieces.vocabulary(path).unit("▁" + long, 1, 0) == model.encode(long)
+
+
 def test_lockstep_equals_the_agenda_of_one_unit():
     path = tokenizer_path("piece_bpe_32k.model")
     p = pieces.vocabulary(path)
