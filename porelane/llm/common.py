@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_BUCKETS = 50_000  # Spark refuses more than 100,000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir; a folder of our own only where that is unset (local runs)."""
+    """The shared folder: spark.checkpoint.dir; a folder of our own only where that is unset and the run is local."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_porelane_scratch", "")
         if not root:
             root = spark.sparkContext._porelane_scratch = "file://" + tempfile.mkdtemp(prefix="porelane-")
@@ -46,6 +52,29 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int, **options) -> DataFrame:
+    """Like written, dealt into buckets by the column: a join on it doesn't shuffle this side again.
+
+    Spark writes buckets only through the catalog; the entry goes at once (the table is external,
+    so the files stay, and the returned plan has them resolved).
+    """
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path, entry = f"{scratch_root(spark)}/porelane/{unique}", f"porelane_{unique.replace('-', '_')}"
+    df.write.bucketBy(buckets, column).option("path", path).options(**options).saveAsTable(entry)
+    out = spark.table(entry)
+    assert out.schema is not None  # analysed before the entry goes
+    spark.sql(f"DROP TABLE {entry}")
+    out._porelane_path = path
+    return out
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver's garbage collected, so that Spark deletes shuffle files that only tables already written came from."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in the whole table; sizes partitions, never results."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
@@ -140,13 +169,13 @@ def value_of_task(task: int, buckets: int) -> int:
 def chunk_table(docs: DataFrame, name: str, text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
     """docs as a scratch table of chunks: part, seq, docs (whole rows, about max_bytes of text, as one Arrow stream).
 
-    It is bucketed by part (one part a task and bucket), so what is joined to it by part is
-    shuffled and the texts are not; the JVM handles compressed bytes only.
+    It is bucketed by part (one part a task; one part a bucket up to MOST_BUCKETS of them), so what is
+    joined to it by part is shuffled and the texts are not; the JVM handles compressed bytes only.
     """
     from .words import slices
 
     spark = docs.sparkSession
-    n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(MOST_BUCKETS, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches):
         from pyspark import TaskContext
@@ -172,12 +201,7 @@ def chunk_table(docs: DataFrame, name: str, text: str = "text", max_bytes: int =
             yield chunk()
         trimmed_memory()
 
-    path = f"{scratch_root(spark)}/porelane/{name}-{uuid.uuid4().hex}"
-    table = f"porelane_{name}_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, "part long, seq int, docs binary").write.bucketBy(n, "part").option("path", path).option("compression", "none").option("parquet.block.size", 16 << 20).saveAsTable(table)
-    out = spark.table(table)
-    out._porelane_path = path
-    return out
+    return bucketed(docs.mapInArrow(run, "part long, seq int, docs binary"), name, "part", n, compression="none", **{"parquet.block.size": 16 << 20})
 
 
 def chunk_docs(batch: pa.RecordBatch):

@@ -4,8 +4,9 @@ A payload becomes 8-bit mono PCM WAV bytes (44-byte header, then one sample a by
 A rolling gear hash cuts the stored form where its low bits are zero, chunk digests are
 deduplicated by an aggregate and joined back, and each document's ordered chunk list is
 joined to the chunk store, concatenated, verified against the digest taken at writing, parsed
-and measured.  Chunks travel compressed, with a dictionary trained on a bounded sample
-(`sample` texts of smallest hash); it changes what is shuffled, never a result.  The list of a
+and measured.  Lists and chunk store are tables in the shared folder: what is measured is read
+back from there.  Chunks are stored compressed, with a dictionary trained on a bounded sample
+(`sample` texts of smallest hash, 32,768 characters of each); it changes what is stored, never a result.  The list of a
 document of one chunk is complete after the join, so only longer ones are brought together.
 
 Hot groups: copies of a text share one list; the store keeps one row a digest (partial
@@ -13,6 +14,8 @@ aggregation drops copies in each map task); a chunk of very many lists is joined
 the final join on the text's key has one row on one side, so adaptive execution splits a hot
 key.  A text's chunks meet in one row, which is no larger than the text.
 
+A text is known by its SHA-256.
+
 Edge cases: null text is empty (64 zero bytes); repeated rows are returned each; an empty
 table gives no rows; extra columns are ignored.  A failed check raises.
 """
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, trimmed_memory, written
+from .common import MOST_BUCKETS, bucketed, released, rows, trimmed_memory, written
 from .words import mix64
 
 BLOCK = 64  # payloads are padded to a multiple of this; also the gear hash's window
@@ -80,8 +83,8 @@ def cuts(data: bytes, low: int = 2048, bits: int = 12, high: int = 32768) -> lis
     return out
 
 
-CHUNKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("n_chunks", pa.int32()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
-CHUNKS_SQL = "k1 long, k2 long, n_bytes long, whole binary, n_chunks int, ord int, digest binary, packed binary"
+CHUNKS = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("whole", pa.binary()), ("n_chunks", pa.int32()), ("ord", pa.int32()), ("digest", pa.binary()), ("packed", pa.binary())])
+CHUNKS_SQL = "key binary, n_bytes long, whole binary, n_chunks int, ord int, digest binary, packed binary"
 
 
 def dictionary(docs: DataFrame, sample: int, size: int = 65_536) -> bytes | None:
@@ -115,7 +118,7 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
         for batch in batches:
             out = {n: [] for n in CHUNKS.names}
             seen, size = set(), 0
-            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
                 data = (text.as_py() or "").encode()
                 media = to_wav(payload(data))
                 at, whole = 0, None if store else hashlib.sha256(media).digest()
@@ -131,7 +134,7 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
                         seen.add(digest)
                         packed = pack.compress(piece)
                         size += len(packed)
-                    for k, v in zip(CHUNKS.names, (k1, k2, len(data), whole, len(ends), i, digest, packed)):
+                    for k, v in zip(CHUNKS.names, (key, len(data), whole, len(ends), i, digest, packed)):
                         out[k].append(v)
                 if size > 1 << 23:
                     yield rows(CHUNKS, **out)
@@ -143,8 +146,8 @@ def chunked(docs: DataFrame, store: bool, words: bytes | None = None) -> DataFra
     return docs.mapInArrow(cut, CHUNKS_SQL)
 
 
-FEATURES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64())])
-FEATURES_SQL = "k1 long, k2 long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+FEATURES = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_chunks", pa.int64())])
+FEATURES_SQL = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 
 
 def feature(samples: np.ndarray) -> str:
@@ -155,7 +158,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def reread(found: DataFrame, words: bytes | None) -> DataFrame:
-    """Rows (k1, k2, n_bytes, whole, list of (ord, digest, packed)): the media put together, verified and measured."""
+    """Rows (key, n_bytes, whole, list of (ord, digest, packed)): the media put together, verified and measured."""
 
     def read(batches):
         import zstandard
@@ -164,7 +167,7 @@ def reread(found: DataFrame, words: bytes | None) -> DataFrame:
         for batch in batches:
             out = {n: [] for n in FEATURES.names}
             for r in range(batch.num_rows):
-                k1, k2, n_bytes, whole, parts = (batch.column(c)[r].as_py() for c in ("k1", "k2", "n_bytes", "whole", "list"))
+                key, n_bytes, whole, parts = (batch.column(c)[r].as_py() for c in ("key", "n_bytes", "whole", "list"))
                 pieces = []
                 for part in sorted(parts, key=lambda x: x["ord"]):
                     piece = unpack.decompress(part["packed"])
@@ -175,41 +178,58 @@ def reread(found: DataFrame, words: bytes | None) -> DataFrame:
                 if hashlib.sha256(stored).digest() != whole:
                     raise ValueError(f"the chunk list doesn't give the media {whole.hex()}")
                 samples = from_wav(stored)
-                values = (k1, k2, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(stored), whole.hex(), feature(np.frombuffer(samples, np.uint8)), len(parts))
+                values = (key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(stored), whole.hex(), feature(np.frombuffer(samples, np.uint8)), len(parts))
                 for k, v in zip(FEATURES.names, values):
                     out[k].append(v)
             yield rows(FEATURES, **out)
             trimmed_memory()
 
-    return found.select("k1", "k2", "n_bytes", "whole", "list").mapInArrow(read, FEATURES_SQL)
+    return found.select("key", "n_bytes", "whole", "list").mapInArrow(read, FEATURES_SQL)
 
 
-def media(docs: DataFrame, sample: int = 1000, hot: int = 20_000) -> DataFrame:
-    """Store every text as chunked media, read it back from the chunk store and measure it.
+def stored(docs: DataFrame, sample: int = 1000) -> tuple[DataFrame, DataFrame, bytes | None]:
+    """Chunk lists (key, n_bytes, whole, n_chunks, ord, digest), chunk store (digest, packed) and the packing's dictionary.
 
-    Lists are kept once for each distinct text (a key of 128 bits), so exact copies are one.
-    A chunk in more than `hot` lists is joined apart, its lists dealt out by a salt.
+    docs: key, text.  Both are tables in the shared folder; lists are kept once for each distinct text.
     """
+    spark = docs.sparkSession
     words = dictionary(docs, sample)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
-    listed = chunked(keyed, False).groupBy("k1", "k2", "n_chunks", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"))
-    store = chunked(keyed, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
+    listed = chunked(docs, False).groupBy("key", "n_chunks", "ord").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("digest").alias("digest"))
     listed = written(listed, "lists")
+    store = chunked(docs, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
+    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store = bucketed(store, "store", "digest", buckets, compression="none")
+    released(spark)
+    return listed, store, words
+
+
+def assembled(listed: DataFrame, store: DataFrame, hot: int) -> DataFrame:
+    """key, n_bytes, whole, list of (ord, digest, packed): every list with its chunks.
+
+    A chunk in more than `hot` lists is joined apart, its lists dealt out by a salt.
+    """
     often = written(listed.groupBy("digest").count().where(F.col("count") > hot), "hot")
     found = [(listed, store, ["digest"])]
     n = often.count()
     if n:
         often = F.broadcast(often) if n <= 100_000 else often  # checked: 40 bytes a row; a shuffled join beyond it
         salts = F.ceil(F.col("count") / hot)
-        apart = listed.join(often, "digest").withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), salts)).drop("count")
+        apart = listed.join(often, "digest").withColumn("salt", F.pmod(F.xxhash64("key"), salts)).drop("count")
         dealt = store.join(often, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("count")
         found = [(listed.join(often, "digest", "left_anti"), store, ["digest"]), (apart, dealt, ["digest", "salt"])]
     part = F.struct("ord", "digest", "packed")
-    columns = "k1", "k2", "n_bytes", "whole"
+    columns = "key", "n_bytes", "whole"
     one = [a.where("n_chunks = 1").join(b, on).select(*columns, F.array(part).alias("list")) for a, b, on in found]
     more = [a.where("n_chunks > 1").join(b, on).select(*columns, "n_chunks", part.alias("part")) for a, b, on in found]
-    whole = reduce(DataFrame.unionByName, more).groupBy("k1", "k2").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("n_chunks").alias("n_chunks"), F.collect_list("part").alias("list"))
+    whole = reduce(DataFrame.unionByName, more).groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.first("whole").alias("whole"), F.first("n_chunks").alias("n_chunks"), F.collect_list("part").alias("list"))
     whole = whole.where(F.when(F.size("list") == F.col("n_chunks"), True).otherwise(F.raise_error(F.lit("a chunk is not in the store")).cast("boolean")))
-    features = reread(reduce(DataFrame.unionByName, [*one, whole.select(*columns, "list")]), words)
-    return keyed.select("doc_id", "k1", "k2").join(features, ["k1", "k2"]).drop("k1", "k2")
+    return reduce(DataFrame.unionByName, [*one, whole.select(*columns, "list")])
+
+
+def media(docs: DataFrame, sample: int = 1000, hot: int = 20_000) -> DataFrame:
+    """Store every text as chunked media, read it back from the chunk store and measure it."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
+    listed, store, words = stored(keyed.select("key", "text"), sample)
+    features = reread(assembled(listed, store, hot), words)
+    return keyed.select("doc_id", "key").join(features, "key").drop("key")

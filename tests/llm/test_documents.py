@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from porelane.llm import jaccard, licenses, lm, media, packing, phrases, pieces, toxicity, trie, words
 from porelane.llm.queries import tokenizer_path
@@ -200,6 +202,23 @@ def test_media(prose, rough, none):
     assert media.media(none).count() == 0
 
 
+def test_media_come_from_the_stored_tables(spark):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("abcdefghij \n"), 60_000))
+    rows = [("a", base), ("b", base), ("c", base[:30_000] + "x" + base[30_000:]), ("d", "")]
+    df = spark.createDataFrame(rows, "name string, text string").selectExpr("encode(name, 'UTF-8') AS key", "text")
+    tables = {t.name for t in spark.catalog.listTables()}
+    listed, store, words = media.stored(df)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    digests = [r["digest"] for r in store.select("digest").collect()]
+    lists = listed.collect()
+    assert len(digests) == len(set(digests)) and {r["digest"] for r in lists} == set(digests) and len(digests) < len(lists)
+    # a chunk that has changed in the store is noticed
+    bad = store.withColumn("packed", F.lit(bytearray(zstandard.compress(b"other"))))
+    with pytest.raises(Exception, match="differs from its digest"):
+        media.reread(media.assembled(listed, bad, 20_000), None).collect()
+
+
 def test_a_hot_chunk_is_joined_with_a_salt(spark):
     head = " ".join(f"word{i}" for i in range(3000))
     rows = [(i, f"{head} {i}") for i in range(30)] + [(100 + i, "short") for i in range(20)] + [(200, None)]
