@@ -215,8 +215,9 @@ SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("seq", pa.int32
 
 
 def send_values(part: int, seq: int, values: np.ndarray, num: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's sorted distinct 64-bit values, each with a number, dealt out by their highest bits."""
-    cut = np.searchsorted((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    """A chunk's sorted distinct 64-bit values (or rows that begin with one), each with a number, dealt out by their highest bits."""
+    first = values if values.ndim == 1 else values[:, 0]
+    cut = np.searchsorted((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
     s = [slice(a, b) for a, b in zip(cut, cut[1:])]
     full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
     if full:

@@ -5,16 +5,16 @@ A window of 35 words is removed if its word sequence starts anywhere else, too.
 1. Seeds.  Of the 18 runs of 18 words in a window, the one of smallest hash is the window's
    seed (a content-defined choice, the same in every copy).  Seeds that occur twice in the
    table are found by counting distinct hashes of chunks in hash buckets.
-2. Confirmation.  Only windows with a recurring seed are hashed whole and counted the same
-   way: what occurs twice is a recurring passage.
-3. Automata.  The documents are sharded into chunks of bounded size.  Each shard's recurring
-   passages are cut into phrases of one window, compiled into an Aho-Corasick automaton over
-   the shard's word numbers, and every document of the shard is streamed through it: each
-   occurrence of a phrase marks its words.
-
-A chunk sends a hash at most once, so a passage that a third of all documents share is one
+2. Confirmation.  Only windows with a recurring seed are hashed whole, in 128 bits, and counted
+   the same way: what occurs twice is a recurring passage.
+3. Automata.  The documents are sharded into chunks of bounded size.  Each shard's confirmed
+   passages are cut into phrases of one window and compiled into an Aho-Corasick automaton
+   over word numbers (equal words have one number, told by their bytes).  Every document of
+   the shard is streamed through it whole, and the words of each hit go.
+
+A chunk sends a value at most once, so a passage that a third of all documents share is one
 value a chunk.  The texts are written once as a bucketed table and are not shuffled again.
-Two window sequences share a 64-bit hash with probability 2**-64.
+Seeds have 64 bits; a false equality among them only lets a window through to step 2.
 
 Edge cases: null and empty texts have no words; texts shorter than a window keep all words;
 repeated rows are each other's copies, so both lose what is long enough; an empty table
@@ -34,6 +34,7 @@ from .words import Words, runs, string_buffers
 
 U = np.uint64
 PER_BUCKET = 500_000
+SECOND = 0x2545F4914F6CDD1D  # seed of a window's second hash
 
 
 def sliding(x: np.ndarray, k: int, best) -> np.ndarray:
@@ -65,17 +66,32 @@ class Windows:
         first = np.cumsum(n) - n
         return low[np.arange(n.sum()) + np.repeat(at[:-1] - first, n)] if n.sum() else low[:0]
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        return runs(self.hash, self.words.bounds, self.window)
+    def whole(self) -> np.ndarray:
+        """A row of two hashes for every window."""
+        return np.stack([runs(self.hash, self.words.bounds, self.window, seed)[0] for seed in (0, SECOND)], 1)
 
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """part, seq, bucket, ans: a byte a value, 1 if the value occurs twice or more in all."""
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First index of each distinct value (rows of one or two hashes), in order; where each went; how often each is there."""
+    if values.ndim == 1 or values.shape[1] == 1:
+        return np.unique(values.reshape(-1), return_index=True, return_inverse=True, return_counts=True)[1:]
+    _, first, inverse, n = np.unique(values[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    if (values[first[inverse], 1] == values[:, 1]).all():
+        return first, inverse, n
+    order = np.lexsort((values[:, 1], values[:, 0]))
+    head = np.concatenate([[True], (values[order[1:]] != values[order[:-1]]).any(1)])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(head) - 1
+    return order[head], inverse, np.bincount(inverse)
+
+
+def repeated(sent: DataFrame, hashes: int) -> DataFrame:
+    """part, seq, bucket, ans: a byte a value (of so many hashes), 1 if the value occurs twice or more in all."""
 
     def count(group: pa.Table) -> pa.Table:
         trimmed_memory()
-        values = [unblob(x, U) for x in group.column("val")]
-        _, inverse = np.unique(np.concatenate(values), return_inverse=True)
+        values = [unblob(x, U).reshape(-1, hashes) for x in group.column("val")]
+        _, inverse, _ = grouped(np.concatenate(values))
         total = np.bincount(inverse, np.concatenate([unblob(x, np.uint8) for x in group.column("num")]))
         many = (total >= 2).astype(np.uint8)[inverse]
         at = np.cumsum([0] + [len(v) for v in values])
@@ -84,12 +100,6 @@ def repeated(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(count, "part long, seq int, bucket int, ans binary")
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, the number of each (2 stands for more), and where each value went."""
-    got, inverse, n = np.unique(values, return_inverse=True, return_counts=True)
-    return got, np.minimum(n, 2).astype(np.uint8), inverse
-
-
 def send_seeds(chunks: DataFrame, text: str, window: int, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -116,8 +126,10 @@ def send_windows(chunks: DataFrame, text: str, window: int, buckets: int) -> Dat
                 made = Windows(docs, text, window)
                 _, inverse = np.unique(made.seeds(), return_inverse=True)
                 live = answers_for(batch, r, np.uint8)[inverse] > 0
-                values, num, _ = distinct(made.whole()[0][live])
-                yield from send_values(batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), values, num, buckets)
+                values = made.whole()[live]
+                first, _, n = grouped(values)
+                # 2 stands for more
+                yield from send_values(batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), values[first], np.minimum(n, 2).astype(np.uint8), buckets)
                 trimmed_memory()
 
     return chunks.mapInArrow(run, SENT_SQL)
@@ -144,25 +156,24 @@ def phrases_of(start: np.ndarray, window: int) -> np.ndarray:
     return start[((start - first) % window == 0) | last]
 
 
-def covered(made: Windows, recurring: np.ndarray) -> np.ndarray:
-    """Which words of the chunk are in an occurrence of a recurring passage. recurring: of every window."""
-    window = made.window
-    _, at = made.whole()
-    n = np.diff(at)
-    start = np.arange(at[-1]) + np.repeat(made.words.bounds[:-1] - at[:-1], n)
-    # the last window of a document and the first of the next are a window apart: their passages stay apart
-    doc = np.repeat(np.arange(len(n)), n)[recurring]
-    start = start[recurring]
+def covered(made: Windows, texts: list[list[bytes]], recurring: np.ndarray) -> np.ndarray:
+    """Which words of the chunk are in an occurrence of a confirmed passage.
+
+    texts: the words of each document; recurring: which windows hold a confirmed passage.
+    """
+    window, bounds = made.window, made.words.bounds
+    n = np.maximum(np.diff(bounds) - (window - 1), 0)
+    at = np.cumsum(n) - n
+    start = (np.arange(n.sum()) + np.repeat(bounds[:-1] - at, n))[recurring]
     depth = np.zeros(len(made.hash) + 1, np.int64)
     if not len(start):
         return depth[:-1] > 0
-    number = np.unique(made.hash, return_inverse=True)[1]
-    shard = automaton({tuple(number[s : s + window].tolist()) for s in phrases_of(start, window)})
-    bounds = made.words.bounds
-    # only documents with a recurring passage hold an occurrence: such a passage is a recurring window there
-    for d in np.unique(doc):
-        a, b = int(bounds[d]), int(bounds[d + 1])
-        ends = np.fromiter((e for e, _ in shard.iter(tuple(number[a:b].tolist()))), np.int64)
+    known: dict[bytes, int] = {}
+    numbers = [tuple([known.setdefault(w, len(known)) for w in words]) for words in texts]
+    flat = [x for words in numbers for x in words]
+    shard = automaton({tuple(flat[s : s + window]) for s in phrases_of(start, window).tolist()})
+    for a, words in zip(bounds.tolist(), numbers):
+        ends = np.fromiter((e for e, _ in shard.iter(words)), np.int64) if len(words) >= window else np.zeros(0, np.int64)
         depth[a + ends + 1 - window] += 1
         np.subtract.at(depth, a + ends + 1, 1)
     return np.cumsum(depth[:-1]) > 0
@@ -178,8 +189,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, prefi
     volume = text_bytes(docs, text)
     seed_buckets, window_buckets = 1 + volume // 6 // 9 // PER_BUCKET, 1 + volume // 6 // 3 // PER_BUCKET
     chunks = chunk_table(docs, "texts", text)
-    seeds = written(repeated(send_seeds(chunks, text, window, seed_buckets)), "seeds")
-    windows = written(repeated(send_windows(with_answers(chunks, seeds), text, window, window_buckets)), "windows")
+    seeds = written(repeated(send_seeds(chunks, text, window, seed_buckets), 1), "seeds")
+    windows = written(repeated(send_windows(with_answers(chunks, seeds), text, window, window_buckets), 2), "windows")
     both = with_answers(with_answers(chunks, seeds, "seed_answers"), windows)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType())))])
 
@@ -190,12 +201,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, prefi
                 _, inverse = np.unique(made.seeds(), return_inverse=True)
                 live = answers_for(batch, r, np.uint8, "seed_answers")[inverse] > 0
                 recurring = np.zeros(len(live), bool)
-                recurring[live] = answers_for(batch, r, np.uint8)[distinct(made.whole()[0][live])[2]] > 0
-                gone = covered(made, recurring)
+                recurring[live] = answers_for(batch, r, np.uint8)[grouped(made.whole()[live])[1]] > 0
                 words, kept, total, removed = made.words, [], np.diff(made.words.bounds), []
                 raw = words.data.tobytes()
-                for i, (a, b) in enumerate(zip(words.bounds, words.bounds[1:])):
-                    list_ = raw[words.offsets[i] : words.offsets[i + 1]].split()
+                texts = [raw[a:b].split() for a, b in zip(words.offsets, words.offsets[1:])]
+                gone = covered(made, texts, recurring)
+                for list_, a, b in zip(texts, words.bounds, words.bounds[1:]):
                     off = gone[a:b]
                     n = int(off.sum())
                     removed.append(n)

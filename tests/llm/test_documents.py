@@ -345,6 +345,24 @@ def test_substring_dedup(prose, rough, none):
     assert phrases.substring_dedup(none).count() == 0
 
 
+def test_words_that_look_alike_to_a_polynomial_stay_apart(spark):
+    a, b = ALIKE[-3]
+    head = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join([*head, a, *head[::-1]])), (1, " ".join([*head[5:], b, *head[::-1][:30]])), (2, " ".join([a] * 40)), (3, " ".join([b] * 40)), (4, " ".join([a, b] * 20)), (5, " ".join([b, a] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(phrases.digest(phrases.substring_dedup(df)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+
+
+def test_values_of_two_hashes_are_grouped_exactly():
+    rng = np.random.default_rng(0)
+    for top in (1 << 60, 5):
+        v = rng.integers(0, top, (200, 2)).astype(np.uint64)
+        v = np.concatenate([v, v[:50]])
+        first, inverse, n = phrases.grouped(v)
+        assert (v[first][inverse] == v).all() and len({tuple(x) for x in v.tolist()}) == len(first) and n.sum() == len(v)
+        assert sorted(map(tuple, v[first].tolist())) == list(map(tuple, v[first].tolist()))
+
+
 def test_automata_locate_overlapping_occurrences(spark):
     a = [f"w{i}" for i in range(100)]
     rows = [(0, " ".join(a[:60])), (1, " ".join(a[20:90])), (2, " ".join(a[50:])), (3, " ".join(["r"] * 90)), (4, " ".join(["r"] * 34)), (5, " ".join(["r"] * 35))]
