@@ -227,19 +227,19 @@ def send_values(part: int, seq: int, values: np.ndarray, num: np.ndarray, bucket
 SENT_SQL = "bucket int, part long, seq int, val binary, num binary"
 
 
-def with_answers(chunks: DataFrame, answered: DataFrame, name: str = "answers") -> DataFrame:
-    """chunks with the answers (seq, bucket, ans) to each chunk's values as one more column.
+def with_answers(chunks: DataFrame, answered: DataFrame, name: str = "answers", values: tuple[str, ...] = ("ans",)) -> DataFrame:
+    """chunks with the answers (seq, bucket, values) to each chunk's questions as one more column.
 
     The join is on part, which chunks are bucketed by; each row keeps its own answers only.
     """
-    listed = answered.groupBy("part").agg(F.collect_list(F.struct("seq", "bucket", "ans")).alias("__all"))  # one small row a part
+    listed = answered.groupBy("part").agg(F.collect_list(F.struct("seq", "bucket", *values)).alias("__all"))  # one small row a part
     own = F.filter("__all", lambda a: a["seq"] == F.col("seq"))
     return chunks.join(listed, "part", "left").select(*chunks.columns, own.alias(name))
 
 
-def answers_for(batch: pa.RecordBatch, r: int, dtype, name: str = "answers", read=None) -> np.ndarray:
-    """The answers to row r's values, in the values' order. read: of one answer's bytes."""
-    mine = sorted((x["bucket"], x["ans"]) for x in batch.column(name)[r].as_py() or [])
+def answers_for(batch: pa.RecordBatch, r: int, dtype, name: str = "answers", read=None, value: str = "ans") -> np.ndarray:
+    """The answers to row r's questions, in their order. read: of one answer's bytes."""
+    mine = sorted((x["bucket"], x[value]) for x in batch.column(name)[r].as_py() or [])
     return np.concatenate([np.zeros(0, dtype), *((read or unblob)(x, dtype) for _, x in mine)])
 
 

@@ -1,19 +1,26 @@
 """Operator 10: n-gram language-model scoring with an Elias-Fano trie.
 
-p1(w) = (c(w) + 1) / (N + V + 1), one unseen word counted in;
-p(w | v) = (1 - rest(v)) c(v w) / c(v) + rest(v) p1(w), which sums to 1 before quantisation.
-rest is estimated for each class of context counts (powers of two): the share of pairs seen
-once among all pairs in contexts of the class, kept within LIMITS.  A text's score is the log10 probability of its words and its end.
+p1(w) = (c(w) + 1) / (N + V + 1), one unseen word counted in, and for each longer context h,
+with h' one word shorter, p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m); an unseen h leaves
+p(w | h').  Orders go up to `order` (3: two words of context), m is the order's entry in
+`prior`; probabilities sum to 1 before quantisation.  A text's score is the log10 probability
+of its words and its end.
 
 1. Every chunk of documents sends its distinct words with their training counts; word-hash
    buckets sum them, give every training word an id, and answer with id and count.
-2. Chunks send their distinct (previous id, id) pairs with training counts.  A bucket sums
-   them, builds the trie (see trie.py), maps it and answers one quantised code for each pair.
-   A context whose count is above a bucket's share is dealt over as many buckets as it fills.
+2. For each order, chunks send their distinct n-grams with training counts, the count of the
+   context and the lower order's code.  A bucket of contexts sums them, builds the trie of its
+   smoothed probabilities (see trie.py), maps it and answers a code for each n-gram, and its
+   count, which is the next order's context count.  A context whose count is above a bucket's
+   share is dealt over as many buckets as it fills.  N-grams whose context or lower-order
+   n-gram no training text holds need no question.
 3. Chunks sum the log probabilities of each document.
 
 The model is as large as the corpus makes it and never on one machine: a bucket holds its
-share of the trie.  Texts are written once as a bucketed table and are not shuffled again.
+share of the trie, in a file that only its own task maps.  Texts are written once as a
+bucketed table and are not shuffled again; shuffle files go before the next order's.  Words
+are known by 64-bit hashes: of 2**32 distinct words, the most there may be, one pair in two
+corpora would share counts.
 
 Edge cases: null and empty texts are one end token; a null doc_id is never learned from;
 without training rows N = V = 0 and every token is unseen; repeated rows are learned from
@@ -29,16 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, in_batches, rows, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
-from .trie import MEANS, with_trie
+from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, in_batches, released, rows, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
+from .trie import MEANS, quantised, with_trie
 from .words import Words, mix64, string_buffers
 
 U = np.uint64
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 START, FIRST = 1, 2  # ids: 0 unseen, 1 the start of a text, training words from 2
 PER_BUCKET = 1_000_000
-LIMITS = 0.02, 0.95
-CLASSES = 64
+PRIOR = (4.0, 1.0)  # m of orders 2, 3, ...
 
 
 def squeezed(values: np.ndarray, sorted_: bool = False) -> bytes:
@@ -74,26 +80,50 @@ class Tokens:
         self.words, self.inverse = np.unique(self.hash, return_inverse=True)
         del self.hash
 
-    def pairs(self, answers: np.ndarray, buckets: int):
-        """With the answers (id, count) to the words: per token id, count, context id, context count; distinct pairs in bucket order."""
+    def known(self, answers: np.ndarray, n_tokens: int, n_types: int) -> None:
+        """With the answers (id, count) to the words: id, count and first-order probability of each token."""
         known = answers.reshape(-1, 2)
         self.total = int(known[np.searchsorted(self.words, END), 1]) if len(self.words) else 0
-        self.id, self.count = known[self.inverse, 0], known[self.inverse, 1]
-        before, n_before = np.roll(self.id, 1), np.roll(self.count, 1)
-        before[self.at[:-1]], n_before[self.at[:-1]] = START, self.total  # as many starts as ends
-        self.n_before = n_before
-        key = before.astype(U) << U(32) | self.id.astype(U)
-        self.key, first, self.of = np.unique(key, return_index=True, return_inverse=True)
-        self.num = np.bincount(self.of, self.train, len(self.key)).astype(np.uint32)
-        self.key_before = n_before[first]
-        share = max(1, int(self.n_tokens_hint) // buckets)
-        salts = (1 + self.key_before // share).astype(U)
-        bucket = (mix64(self.key >> U(32)) + mix64(self.key & U(0xFFFFFFFF)) % salts) % U(buckets)
-        # pairs that no training text can hold need no answer
-        self.asked = ((self.key >> U(32)) > 0) & ((self.key & U(0xFFFFFFFF)) > 0)
-        self.bucket = np.where(self.asked, bucket, U(buckets)).astype(np.int64)
-        self.order = np.argsort(self.bucket, kind="stable")
-        self.cut = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
+        self.id, self.count = known[self.inverse, 0].astype(U), known[self.inverse, 1]
+        self.p = (self.count + 1) / (n_tokens + n_types + 1)
+        self.order, self.context, self.n_context = 1, None, None
+
+    def deeper(self, share: int, buckets: int, counts: np.ndarray | None = None) -> None:
+        """To the next order. counts: of each token's n-gram of this order; first-order counts are known."""
+        counts = self.count if counts is None else counts
+        first = self.at[:-1]
+        # the word before, and as context count that of the n-gram which ends there
+        before, n_before = np.roll(self.id, self.order), np.roll(counts, 1)
+        for k in range(self.order):
+            before[np.minimum(first + k, len(before) - 1)[self.size > k]] = START
+        n_before[first] = self.total  # as many starts as ends
+        if self.context is None:
+            self.context = before
+        else:
+            self.context = before << U(32) | self.context & U(0xFFFFFFFF)
+        asked = np.flatnonzero((n_before > 0) & (counts > 0))
+        self.n_context, self.asked, self.order = n_before, asked, self.order + 1
+        context, back = np.unique(self.context[asked], return_inverse=True)
+        _, at, self.of = np.unique(back.astype(U) << U(32) | self.id[asked], return_index=True, return_inverse=True)
+        self.num = np.bincount(self.of, self.train[asked], len(at)).astype(np.uint32)
+        some = asked[at]
+        self.gram = self.context[some], self.id[some], n_before[some], quantised(self.p[some])
+        salts = (1 + self.gram[2] // share).astype(U)
+        bucket = ((mix64(self.gram[0]) + mix64(self.gram[1]) % salts) % U(buckets)).astype(np.int64)
+        self.in_order = np.argsort(bucket, kind="stable")
+        self.cut = np.searchsorted(bucket[self.in_order], np.arange(buckets + 1))
+
+    def each(self, answers: np.ndarray) -> np.ndarray:
+        """Of each token, the answer to its n-gram; 0 where none was asked."""
+        out, gram = np.zeros(len(self.id), answers.dtype), np.empty(len(answers), answers.dtype)
+        gram[self.in_order] = answers
+        out[self.asked] = gram[self.of]
+        return out
+
+    def smoothed(self, codes: np.ndarray, m: float) -> None:
+        """Probabilities of this order from each token's code."""
+        low = m * self.p / (np.maximum(self.n_context, 0) + m)
+        self.p = np.where(self.n_context > 0, np.where(codes > 0, MEANS[codes], low), self.p)
 
 
 def send_words(chunks: DataFrame, of: int, fold: int, buckets: int) -> DataFrame:
@@ -130,99 +160,126 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(count, "part long, seq int, bucket int, ans binary, n_tokens long, n_types long")
 
 
-PAIRS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("key", pa.binary()), ("num", pa.binary()), ("context", pa.binary()), ("of", pa.binary())])
+GRAMS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("context", pa.binary()), ("runs", pa.binary()), ("of", pa.binary()), ("word", pa.binary()), ("num", pa.binary()), ("lower", pa.binary())])
+GRAMS_SQL = "bucket int, part long, seq int, context binary, runs binary, of binary, word binary, num binary, lower binary"
 
 
-def send_pairs(answered: DataFrame, of: int, fold: int, buckets: int, n_tokens: int) -> DataFrame:
+def send_grams(answered: DataFrame, tokens, buckets: int) -> DataFrame:
+    """tokens: (batch, row, documents) -> Tokens that have gone to the order that is asked."""
+
     def run(batches):
         for batch in batches:
             for r, docs in chunk_docs(batch):
-                t = Tokens(docs, of, fold)
-                t.n_tokens_hint = n_tokens
-                t.pairs(answers_for(batch, r, np.int64, read=expanded), buckets)
-                made = {n: [] for n in PAIRS.names}
-                for b in range(buckets):
-                    mine = t.order[t.cut[b] : t.cut[b + 1]]
-                    if len(mine):
-                        context, first = np.unique(t.key[mine] >> U(32), return_index=True)
-                        for n, v in zip(PAIRS.names, (b, batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), squeezed(t.key[mine], True), squeezed(t.num[mine]), squeezed(context, True), squeezed(t.key_before[mine][first]))):
-                            made[n].append(v)
+                t = tokens(batch, r, docs)
+                made = {n: [] for n in GRAMS.names}
+                for b in np.flatnonzero(np.diff(t.cut)).tolist():
+                    mine = t.in_order[t.cut[b] : t.cut[b + 1]]
+                    context, word, of, lower = (x[mine] for x in t.gram)
+                    head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                    values = (b, batch.column("part")[r].as_py(), batch.column("seq")[r].as_py(), squeezed(context[head], True), squeezed(np.diff(np.append(head, len(mine))).astype(np.uint32)), squeezed(of[head]), squeezed(word.astype(np.uint32)), squeezed(t.num[mine]), squeezed(lower))
+                    for n, v in zip(GRAMS.names, values):
+                        made[n].append(v)
                 if made["bucket"]:
-                    yield from in_batches(made, PAIRS)
+                    yield from in_batches(made, GRAMS)
                 trimmed_memory()
 
-    return answered.mapInArrow(run, "bucket int, part long, seq int, key binary, num binary, context binary, of binary")
-
+    return answered.mapInArrow(run, GRAMS_SQL)
 
-def classes(count: np.ndarray) -> np.ndarray:
-    return np.frexp(count)[1] - 1  # floor(log2)
 
-
-def codes(sent: DataFrame) -> DataFrame:
-    """part, seq, bucket, ans: a code a pair, from the trie of the bucket's training pairs.
-
-    once, mass: pairs seen once, and all pairs, by class of context count; on one row of the bucket.
-    """
+def codes(sent: DataFrame, order: int, m: float) -> DataFrame:
+    """part, seq, bucket, ans, counts: a code and a count for each n-gram, from the trie of the bucket's training n-grams."""
 
     def answer(group: pa.Table) -> pa.Table:
         trimmed_memory()
-        keys = [expanded(x.as_py(), U, True) for x in group.column("key")]
-        each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([expanded(x.as_py(), np.uint32) for x in group.column("num")]), len(each))
-        del inverse
-        context = np.concatenate([expanded(x.as_py(), U, True) for x in group.column("context")])
-        context, first = np.unique(context, return_index=True)
-        n_context = np.concatenate([expanded(x.as_py(), np.int64) for x in group.column("of")])[first]
+
+        def column(name: str, dtype, sorted_: bool = False) -> list[np.ndarray]:
+            return [expanded(x.as_py(), dtype, sorted_) for x in group.column(name)]
+
+        contexts, sizes = column("context", U, True), column("runs", np.uint32)
+        context, at, back = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+        n_context = np.concatenate(column("of", np.int64))[at]
+        words = column("word", np.uint32)
+        key = np.repeat(back.astype(U), np.concatenate(sizes)) << U(32) | np.concatenate(words).astype(U)
+        each, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        del key, back
+        total = np.bincount(inverse, np.concatenate(column("num", np.uint32)), len(each)).astype(np.int64)
+        lower = np.concatenate(column("lower", np.uint8))[at]
+        counts, low = total[inverse], U(0xFFFFFFFF)
+        del inverse, at
         seen = total > 0
-        each, total = each[seen], total[seen]
-        before = each >> U(32)
-        n_before = n_context[np.searchsorted(context, before)]
-        p = total / n_before
-        z = classes(n_before)
-        once, mass = (np.bincount(z, x, CLASSES).tolist() for x in (total == 1, total))
-        low = U(0xFFFFFFFF)
-        found = with_trie(before, each & low, p, lambda trie: [trie.lookup(k >> U(32), k & low) for k in keys])
-        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(x) for x in found], pa.binary()), "once": pa.array([once] + [None] * (len(keys) - 1), pa.list_(pa.float64())), "mass": pa.array([mass] + [None] * (len(keys) - 1), pa.list_(pa.float64()))})
+        each, total, lower = each[seen], total[seen], lower[seen]
+        row = (each >> U(32)).astype(np.int64)
+        p = (total + m * MEANS[lower]) / (n_context[row] + m)
+
+        def split(of: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+            return [of >> U(32), of & low, word][3 - order :]
+
+        def ask(trie) -> list[np.ndarray]:
+            return [trie.lookup(split(np.repeat(c, n), w.astype(U))) for c, n, w in zip(contexts, sizes, words)]
 
-    return sent.groupBy("bucket").applyInArrow(answer, "part long, seq int, bucket int, ans binary, once array<double>, mass array<double>")
+        found = with_trie(split(context[row], each & low), p, ask)
+        end = np.cumsum([0] + [len(x) for x in found])
+        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(x) for x in found], pa.binary()), "counts": pa.array([squeezed(counts[a:b]) for a, b in zip(end, end[1:])], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(answer, "part long, seq int, bucket int, ans binary, counts binary")
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, max_bytes: int = 3_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    docs = docs.select("doc_id", "text")
+def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, prior: tuple[float, ...] = PRIOR, max_bytes: int = 3_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    prior: m of orders 2 and 3; (m,) stops at order 2, () at order 1.
+    """
+    if len(prior) > 2:
+        raise ValueError("a context key has two words")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     volume = text_bytes(docs)
-    word_buckets, pair_buckets = 1 + volume // 6 // 5 // PER_BUCKET, 1 + volume // 6 * 3 // 4 // PER_BUCKET
+    word_buckets = 1 + volume // 6 // 5 // PER_BUCKET
+    buckets = [1 + volume // 6 * (3, 4)[n] // 4 // PER_BUCKET for n in range(len(prior))]
     chunks = chunk_table(docs, "lm", "text", max_bytes)
     words = written(vocabulary(send_words(chunks, of, fold, word_buckets), word_buckets), "words")
+    released(spark)
     n_tokens, n_types = (x or 0 for x in words.agg(F.sum("n_tokens"), F.sum("n_types")).first())
-    answered = with_answers(chunks, words)
-    pairs = written(codes(send_pairs(answered, of, fold, pair_buckets, n_tokens)), "codes")
-    sums = pairs.where("once is not null").select(F.posexplode(F.arrays_zip("once", "mass")).alias("class", "x")).groupBy("class").agg(F.sum("x.once").alias("once"), F.sum("x.mass").alias("mass")).collect()  # CLASSES rows
-    share = np.full(CLASSES, LIMITS[1])
-    for r in sums:
-        if r["mass"]:
-            share[r["class"]] = min(max(r["once"] / r["mass"], LIMITS[0]), LIMITS[1])
-    both = with_answers(answered.withColumnRenamed("answers", "word_answers"), pairs)
+    answered = with_answers(chunks, words, "order1")
+    shares = [max(1, n_tokens // n) for n in buckets]
+
+    def upto(order: int):
+        """Tokens that have the answers up to this order, and questions of the next one if there is one."""
+
+        def tokens(batch: pa.RecordBatch, r: int, got: pa.RecordBatch) -> Tokens:
+            t = Tokens(got, of, fold)
+            t.known(answers_for(batch, r, np.int64, "order1", expanded), n_tokens, n_types)
+            counts = None
+            for n in range(len(prior)):
+                if n + 1 > order:
+                    break
+                if n:
+                    t.smoothed(t.each(answers_for(batch, r, np.uint8, f"order{n + 1}", expanded)), prior[n - 1])
+                    counts = t.each(answers_for(batch, r, np.int64, f"order{n + 1}", expanded, "counts"))
+                t.deeper(shares[n], buckets[n], counts)
+            return t
+
+        return tokens
+
+    for n, m in enumerate(prior):
+        grams = written(codes(send_grams(answered, upto(n + 1), buckets[n]), n + 2, m), f"order{n + 2}")
+        released(spark)
+        answered = with_answers(answered, grams, f"order{n + 2}", ("ans", "counts") if n + 1 < len(prior) else ("ans",))
 
     def run(batches):
+        tokens = upto(len(prior))
         for batch in batches:
             for r, got in chunk_docs(batch):
-                t = Tokens(got, of, fold)
-                t.n_tokens_hint = n_tokens
-                t.pairs(answers_for(batch, r, np.int64, "word_answers", expanded), pair_buckets)
-                code = np.zeros(len(t.key), np.uint8)
-                asked = t.order[: t.cut[-1]]
-                code[asked] = answers_for(batch, r, np.uint8, read=expanded)
+                t = tokens(batch, r, got)
                 p1 = (t.count + 1) / (n_tokens + n_types + 1)
-                rest = np.where(t.n_before > 0, share[classes(np.maximum(t.n_before, 1))], 1.0)
-                p = (1 - rest) * MEANS[code[t.of]] + rest * p1
+                if prior:
+                    t.smoothed(t.each(answers_for(batch, r, np.uint8, f"order{len(prior) + 1}", expanded)), prior[-1])
                 at = t.at[:-1]
-                yield rows(SCORES, doc_id=got.column("doc_id"), n_tokens=t.size, n_known=np.add.reduceat((t.count > 0).astype(np.int64), at), base_score=np.add.reduceat(np.log10(p1), at), score=np.add.reduceat(np.log10(p), at))
+                yield rows(SCORES, doc_id=got.column("doc_id"), n_tokens=t.size, n_known=np.add.reduceat((t.count > 0).astype(np.int64), at), base_score=np.add.reduceat(np.log10(p1), at), score=np.add.reduceat(np.log10(t.p), at))
                 trimmed_memory()
 
-    out = both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = answered.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
