@@ -44,7 +44,7 @@ U = np.uint64
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 START, FIRST = 1, 2  # ids: 0 unseen, 1 the start of a text, training words from 2
 PER_BUCKET = 1_000_000
-PRIOR = (4.0, 1.0)  # m of orders 2, 3, ...
+PRIOR = (100.0, 4.0)  # m of orders 2 and 3
 
 
 def squeezed(values: np.ndarray, sorted_: bool = False) -> bytes:
