@@ -75,6 +75,14 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, or with underscores before it where columns have it (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in the whole table; sizes partitions, never results."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

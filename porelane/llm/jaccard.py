@@ -1,29 +1,34 @@
 """Operator 3: exact n-gram Jaccard join by filters under several global token orders.
 
 A text's tokens are its distinct word shingles (64-bit hashes).  Texts with equal sets form
-one class; classes are what is compared.  For any global order of tokens, two sets of
-similarity t share a token among the first |x| - ceil(t|x|) + 1 of each (with k more tokens,
-k + 1 shared ones).  Three orders are used and their filters intersected:
+one class (told by 128 bits); classes are what is compared.  For any global order of tokens,
+two sets of similarity t share a token among the first |x| - ceil(t|x|) + 1 of each (with k
+more tokens, k + 1 shared ones).  Three orders are used and their filters intersected:
 
 A  hash order, with a lengthened prefix: classes that share too few prefix tokens with any
    other class leave.
 B  rarest first (a logarithmic class of the number of surviving classes that hold a token,
-   then hash): classes that share a prefix token are connected; a similar pair always falls
-   into one cluster, and clusters are found without forming pairs.
-C  rarest first with another hash: each cluster is split into what is still connected.
+   then hash).
+C  rarest first with another hash.
 
-Inside a cluster all pairs are verified exactly, as blocked products of token incidence
-matrices: a pair of blocks is a task, and yields each member's links and one edge to its root
-in that block pair, never a row for each pair.
+A prefix token of at most SHORT classes yields its pairs, at most SHORT / 2 for each posting; a
+pair is a candidate if it comes under B and C both.  A more frequent token, as in a group of
+thousands of near copies, yields no pairs: its classes are tied to one of them.  Candidates
+and ties are connected into clusters, and a pair of one cluster is verified if it shares a
+prefix token under A, B and C each: all in blocked products of incidence matrices, first of
+the three prefixes, then of the whole sets that are left.  A pair of blocks is a task and
+yields each member's links and one edge to its root in that block pair, never a row for each pair.
 
 Scale: no step gathers a token's or a class's documents in one task.  In each map task at
 most two postings a token are sent on (others are counted there), tokens are counted in hash
-buckets of bounded size, and membership is joined on a class with one row on one side.
+buckets of bounded size, and membership is joined on a class with one row on one side.  Two
+given different shingles share a hash with probability 2**-64, which is what a verified pair
+depends on.
 
 Edge cases: null or empty text and text without words has an empty set, its own component
 and no links; a null doc_id gets n_shingles and null component_id, and links with nothing;
-repeated rows are documents of one class; an empty table gives no rows; extra columns are
-ignored.
+repeated rows are documents of one class, rows of one doc_id with different texts are of
+several; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +38,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blob, components, dropped, in_batches, rows, split_by, text_bytes, trimmed_memory, unblob, written
+from .common import blob, components, dropped, free, in_batches, released, rows, text_bytes, trimmed_memory, unblob, written
 from .words import Words, mix64, shingles, slices, string_buffers
 
 U = np.uint64
 PER_BUCKET = 1_000_000  # tokens a bucket of postings holds, about
 BLOCK = 256  # members a block of a cluster holds, about
+SHORT = 16  # classes of a prefix token that yields pairs
+TASK = 2000  # members of small clusters in a task, about
 
 
 def need(n, percent):
@@ -55,25 +63,31 @@ def token_sets(batches, k: int):
             yield part.column("doc_id"), shingles(words.hashes(), words.bounds, k)
 
 
-def class_id(tokens: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+def class_key(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
+def short_key(key: bytes) -> int:
+    """64 bits of a class's key: filter A may confuse classes by it, which keeps more of them."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("short", pa.int64())])
 
 
 def members(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, cid (hash of the set; null where the set is empty)."""
+    """doc_id, n, key (of the set; null where the set is empty) and 64 bits of it."""
 
     def run(batches):
         for ids, sets in token_sets(batches, k):
-            yield rows(MEMBERS, doc_id=ids, n=[len(s) for s in sets], cid=[class_id(s) if len(s) else None for s in sets])
+            keys = [class_key(s) if len(s) else None for s in sets]
+            yield rows(MEMBERS, doc_id=ids, n=[len(s) for s in sets], key=keys, short=[x and short_key(x) for x in keys])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, short long")
 
 
 POSTINGS = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("ref", pa.binary()), ("cid", pa.binary()), ("known", pa.binary())])
-SHARED = pa.schema([("cid", pa.int64()), ("shared", pa.int64())])
+SHARED = pa.schema([("short", pa.int64()), ("shared", pa.int64())])
 
 
 def prefix_a(n: int, percent: int, longer: float) -> int:
@@ -82,7 +96,7 @@ def prefix_a(n: int, percent: int, longer: float) -> int:
 
 
 def shared_counts(docs: DataFrame, k: int, percent: int, longer: float, buckets: int) -> DataFrame:
-    """cid, shared: how many tokens of its prefix under order A another class has in its own, at least."""
+    """short, shared: how many tokens of its prefix under order A another class has in its own, at least."""
 
     def send(batches):
         def chunk():
@@ -92,21 +106,26 @@ def shared_counts(docs: DataFrame, k: int, percent: int, longer: float, buckets:
             tok, ref = tok[order], ref[order]
             head = np.concatenate([[True], tok[1:] != tok[:-1]])
             tail = np.concatenate([head[1:], [True]])
-            known = np.bincount(ref[~(head | tail)], minlength=len(cid)).astype(np.uint32)
+            known = np.bincount(ref[~(head | tail)], minlength=len(cid)).astype(np.int64)
             tok, ref = tok[head | tail], ref[head | tail]
             # the highest bits: sorted tokens are in order of buckets
             cut = np.searchsorted((tok >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1))
             made = {n: [] for n in POSTINGS.names}
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 s = slice(cut[b], cut[b + 1])
-                for name, v in zip(POSTINGS.names, (b, blob(tok[s]), blob(ref[s]), blob(cid), blob(known) if b == abs(cids[0]) % buckets else None)):
+                own, at = np.unique(ref[s], return_inverse=True)  # only the classes with a token in the bucket
+                for name, v in zip(POSTINGS.names, (b, blob(tok[s]), blob(at.astype(np.uint32)), blob(cid[own]), None)):
+                    made[name].append(v)
+            if known.any():
+                own = np.flatnonzero(known)
+                for name, v in zip(POSTINGS.names, (abs(cids[0]) % buckets, b"", b"", blob(cid[own]), blob(known[own]))):
                     made[name].append(v)
             return in_batches(made, POSTINGS)
 
         toks, cids, seen, size = [], [], set(), 0
         for _, sets in token_sets(batches, k):
             for s in sets:
-                if len(s) and (c := class_id(s)) not in seen:
+                if len(s) and (c := short_key(class_key(s))) not in seen:
                     seen.add(c)
                     cids.append(c)
                     toks.append(s[: prefix_a(len(s), percent, longer)])
@@ -120,13 +139,14 @@ def shared_counts(docs: DataFrame, k: int, percent: int, longer: float, buckets:
 
     def count(group: pa.Table) -> pa.Table:
         trimmed_memory()
-        toks, owners, out = [], [], [np.zeros((0, 2), np.int64)]
+        toks, owners, out = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for tok, ref, cid, known in zip(*(group.column(c).to_pylist() for c in ("tok", "ref", "cid", "known"))):
             cid = unblob(cid, np.int64)
-            toks.append(unblob(tok, U))
-            owners.append(cid[unblob(ref, np.uint32)])
-            if known is not None and (got := unblob(known, np.uint32)).any():
-                out.append(np.stack([cid[got > 0], got[got > 0].astype(np.int64)], 1))
+            if known is None:
+                toks.append(unblob(tok, U))
+                owners.append(cid[unblob(ref, np.uint32)])
+            else:
+                out.append(np.stack([cid, unblob(known, np.int64)], 1))
         tok, owner = np.concatenate(toks), np.concatenate(owners)
         if len(tok):
             order = np.argsort(tok, kind="stable")
@@ -136,10 +156,10 @@ def shared_counts(docs: DataFrame, k: int, percent: int, longer: float, buckets:
             got, n = np.unique(owner[np.repeat(many, np.diff(np.append(head, len(tok))))], return_counts=True)
             out.append(np.stack([got, n], 1))
         out = np.concatenate(out)
-        return pa.table({"cid": pa.array(out[:, 0]), "shared": pa.array(out[:, 1])}, schema=SHARED)
+        return pa.table({"short": pa.array(out[:, 0]), "shared": pa.array(out[:, 1])}, schema=SHARED)
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, tok binary, ref binary, cid binary, known binary")
-    return sent.groupBy("bucket").applyInArrow(count, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("bucket").applyInArrow(count, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
 
 
 CHUNK = pa.schema([("chunk", pa.int64()), ("cid", pa.binary()), ("size", pa.binary()), ("tok", pa.binary())])
@@ -157,11 +177,10 @@ def set_chunks(docs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
             return rows(CHUNK, chunk=[nth], cid=[blob(np.array(cids, np.int64))], size=[blob(np.array([len(t) for t in toks], np.int64))], tok=[blob(np.concatenate(toks))])
 
         for batch in batches:
-            wanted = dict(zip(range(batch.num_rows), batch.column("cid").to_pylist()))
-            at = 0
+            wanted, keys, at = batch.column("cid").to_pylist(), batch.column("key").to_pylist(), 0
             for _, sets in token_sets([batch.select(["doc_id", "text"])], k):
                 for s in sets:
-                    if len(s) and class_id(s) == wanted[at]:
+                    if len(s) and class_key(s) == keys[at]:
                         cids.append(wanted[at])
                         toks.append(s)
                         size += len(s)
@@ -172,8 +191,8 @@ def set_chunks(docs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
         if toks:
             yield chunk()
 
-    few = alive.count() <= 200_000  # checked: 16 bytes a row; a shuffled join beyond it
-    wanted = alive.select(F.col("rep").alias("doc_id"), "cid")
+    few = alive.count() <= 200_000  # checked: 32 bytes a row; a shuffled join beyond it
+    wanted = alive.select(F.col("rep").alias("doc_id"), "cid", "key")
     return docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(run, "chunk long, cid binary, size binary, tok binary")
 
 
@@ -190,8 +209,9 @@ def rarities(chunks: DataFrame, buckets: int) -> DataFrame:
                 tok, n = np.unique(unblob(batch.column("tok")[r], U), return_counts=True)
                 cut = np.searchsorted((tok >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1))
                 chunk = batch.column("chunk")[r].as_py()
-                s = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
-                yield from in_batches({"bucket": list(range(buckets)), "chunk": [chunk] * buckets, "tok": [blob(tok[x]) for x in s], "count": [blob(n[x].astype(np.uint32)) for x in s]}, TOKENS)
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                s = [slice(cut[b], cut[b + 1]) for b in full]
+                yield from in_batches({"bucket": full, "chunk": [chunk] * len(full), "tok": [blob(tok[x]) for x in s], "count": [blob(n[x].astype(np.uint32)) for x in s]}, TOKENS)
 
     def count(group: pa.Table) -> pa.Table:
         trimmed_memory()
@@ -205,11 +225,16 @@ def rarities(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.mapInArrow(send, "bucket int, chunk long, tok binary, count binary").groupBy("bucket").applyInArrow(count, "chunk long, bucket int, rarity binary")
 
 
+SETS = pa.schema([("cid", pa.int64()), ("tok", pa.binary()), ("flag", pa.binary())])
 PREFIX = pa.schema([("ord", pa.int32()), ("tok", pa.int64()), ("cid", pa.int64())])
+ORDERS = 2  # orders by rarity: bits 0 and 1 of a token's flag; bit 2: the hash order
+
 
+def prefixed(chunks: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """cid, tok, flag: every surviving class with its tokens, each with the orders under which it is in the prefix.
 
-def prefixes(chunks: DataFrame, counted: DataFrame, percent: int, orders: int) -> DataFrame:
-    """ord, tok, cid: prefix tokens under each of the orders by rarity that another class has, too."""
+    Under the orders by rarity only tokens that another surviving class has, too, are flagged.
+    """
     back = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "rarity"))).alias("back"))  # one small row a bucket
 
     def run(batches):
@@ -220,62 +245,93 @@ def prefixes(chunks: DataFrame, counted: DataFrame, percent: int, orders: int) -
                 rarity = rarity[np.unique(tok, return_inverse=True)[1]].astype(U)
                 size, cid = unblob(batch.column("size")[r], np.int64), unblob(batch.column("cid")[r], np.int64)
                 owner = np.repeat(np.arange(len(size)), size)
-                start, keep = np.cumsum(size) - size, size - need(size, percent) + 1
-                made = []
-                for o in range(orders):
-                    other = mix64(tok + U(o)) if o else tok
-                    order = np.lexsort((other, rarity, owner))
-                    mine = order[np.arange(len(tok)) - start[owner] < keep[owner]]
-                    mine = mine[rarity[mine] > 0]
-                    made.append((np.full(len(mine), o, np.int32), tok[mine].view(np.int64), cid[owner[mine]]))
-                parts = [np.concatenate(x) for x in zip(*made)]
-                for a in range(0, len(parts[0]), 1 << 17):
-                    yield rows(PREFIX, **{n: x[a : a + (1 << 17)] for n, x in zip(PREFIX.names, parts)})
-
-    return chunks.join(back, "chunk").mapInArrow(run, "ord int, tok long, cid long")
-
-
-def clusters(postings: DataFrame, orders: int) -> DataFrame:
-    """cid, cluster: classes connected by shared prefix tokens under every order, one order after another."""
-    out = None
-    for o in range(orders):
-        mine = postings.where(F.col("ord") == o).select("tok", "cid")
-        mine = mine.withColumn("cluster", F.lit(0).cast("long")) if out is None else mine.join(out, "cid")
-        low = mine.groupBy("cluster", "tok").agg(F.min("cid").alias("low"), F.max("cid").alias("top")).where("low <> top").drop("top")
-        edges = mine.join(low, ["cluster", "tok"]).select("cid", "low").distinct()
-        got = components(edges, "cid", "low").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-        if out is not None:
-            dropped(out)
-        out = written(got, "clusters")
+                at, keep = np.concatenate([[0], np.cumsum(size)]), size - need(size, percent) + 1
+                nth = np.arange(len(tok)) - at[owner]
+                flag = (nth < keep[owner]).astype(np.uint8) << ORDERS  # a set's tokens are in hash order
+                for o in range(ORDERS):
+                    order = np.lexsort((mix64(tok + U(o)) if o else tok, rarity, owner))
+                    mine = order[nth < keep[owner]]
+                    flag[mine[rarity[mine] > 0]] |= 1 << o
+                yield from in_batches({"cid": cid.tolist(), "tok": [blob(tok[a:b]) for a, b in zip(at, at[1:])], "flag": [blob(flag[a:b]) for a, b in zip(at, at[1:])]}, SETS, 512)
+
+    return chunks.join(back, "chunk").mapInArrow(run, "cid long, tok binary, flag binary")
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """ord, tok, cid: flagged tokens under the orders by rarity."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                toks, flags = ([unblob(x, t) for x in part.column(c)] for c, t in (("tok", np.int64), ("flag", np.uint8)))
+                cid = np.repeat(part.column("cid").to_numpy(), [len(t) for t in toks])
+                tok, flag = np.concatenate(toks), np.concatenate(flags)
+                for o in range(ORDERS):
+                    mine = np.flatnonzero(flag >> o & 1)
+                    yield rows(PREFIX, ord=np.full(len(mine), o, np.int32), tok=tok[mine], cid=cid[mine])
+
+    return sets.mapInArrow(run, "ord int, tok long, cid long")
+
+
+def clusters(sets: DataFrame) -> DataFrame:
+    """cid, cluster: classes connected by candidate pairs, and by frequent prefix tokens."""
+    listed = written(postings(sets), "postings")
+    hot = written(listed.groupBy("ord", "tok").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("low")).where(F.col("n") > SHORT).drop("n"), "hot")
+    few = hot.count() <= 500_000  # checked: 20 bytes a row; a shuffled join beyond it
+    often = F.broadcast(hot) if few else hot
+    ties = listed.join(often, ["ord", "tok"]).select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()
+    each = listed.join(often, ["ord", "tok"], "left_anti").groupBy("ord", "tok").agg(F.sort_array(F.collect_set("cid")).alias("c")).where("size(c) > 1")  # at most SHORT
+    pair = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = each.select("ord", F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("under"))
+    # a pair under one order alone shares no prefix token under the other, unless a frequent one, which ties it
+    edges = pairs.where(F.col("under") == (1 << ORDERS) - 1).select("a", "b").unionByName(ties)
+    out = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    dropped(listed, hot)
     return out
 
 
-SETS = pa.schema([("cid", pa.int64()), ("tok", pa.binary())])
 LINKS = pa.schema([("cid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def compare(cid: np.ndarray, copies: np.ndarray, toks: list[np.ndarray], half: np.ndarray, percent: int):
+def products(n: int, row: np.ndarray, col: np.ndarray, masks: list[np.ndarray], step: int = 4096) -> list[np.ndarray]:
+    """For each mask, how many of its tokens each two of n sets have in common. row, col: sorted by col."""
+    out = [np.zeros((n, n), np.float32) for _ in masks]  # exact: counts below 2**24
+    cut = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + step + 1, step))
+    for i, (a, b) in enumerate(zip(cut, cut[1:])):
+        if a == b:
+            continue
+        for both, mask in zip(out, masks):
+            m = np.zeros((n, min(step, int(col[b - 1]) - i * step + 1)), np.float32)
+            m[row[a:b], col[a:b] - i * step] = mask[a:b]
+            both += m @ m.T
+    return out
+
+
+def compare(cid: np.ndarray, copies: np.ndarray, toks: list[np.ndarray], flags: list[np.ndarray], half: np.ndarray, percent: int):
     """Exact links among the sets, or between halves 0 and 1: (root, links) of each."""
     n, size = len(cid), np.array([len(t) for t in toks])
+    flag = np.concatenate(flags)
     _, col = np.unique(np.concatenate(toks), return_inverse=True)
     row = np.repeat(np.arange(n), size)
     often = np.bincount(col) > 1
     new = np.cumsum(often) - 1
-    row, col = row[often[col]], new[col[often[col]]]
+    keep = often[col]
+    row, col, flag = row[keep], new[col[keep]], flag[keep]
     order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((n, n), np.float32)  # exact: counts below 2**24
-    step = 4096
-    cut = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + step + 1, step))
-    for i, (a, b) in enumerate(zip(cut, cut[1:])):
-        m = np.zeros((n, step), np.float32)
-        m[row[a:b], col[a:b] - i * step] = 1
-        both += m @ m.T
-    both = both.astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    linked &= cid[:, None] != cid[None, :]
+    row, col, flag = row[order], col[order], flag[order]
+    # candidates: pairs that share a prefix token under every order
+    some = np.flatnonzero(flag)
+    found = products(n, row[some], np.unique(col[some], return_inverse=True)[1], [flag[some] >> o & 1 for o in range(ORDERS + 1)])
+    asked = np.logical_and.reduce([x > 0 for x in found]) & (cid[:, None] != cid[None, :])
     if half.any():
-        linked &= half[:, None] != half[None, :]
+        asked &= half[:, None] != half[None, :]
+    left = asked.any(1)
+    if not left.any():
+        return cid, np.zeros(n, np.int64)
+    mine = left[row]
+    both = products(n, row[mine], np.unique(col[mine], return_inverse=True)[1], [np.ones(mine.sum(), np.float32)])[0].astype(np.int64)
+    linked = asked & (100 * both >= percent * (size[:, None] + size[None, :] - both))
     root, old = cid.copy(), None
     while old is None or (old != root).any():
         old = root
@@ -283,78 +339,98 @@ def compare(cid: np.ndarray, copies: np.ndarray, toks: list[np.ndarray], half: n
     return root, (linked * copies[None, :]).sum(1)
 
 
-def verified(chunks: DataFrame, members_: DataFrame, percent: int) -> DataFrame:
+def verified(sets: DataFrame, members_: DataFrame, n_members: int, percent: int) -> DataFrame:
     """cid, root, links over every block pair of every cluster. members_: cid, copies, cluster."""
-
-    def single(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                cid, size, tok = (unblob(batch.column(c)[r], t) for c, t in (("cid", np.int64), ("size", np.int64), ("tok", U)))
-                at = np.concatenate([[0], np.cumsum(size)])
-                yield from in_batches({"cid": cid.tolist(), "tok": [blob(tok[a:b]) for a, b in zip(at, at[1:])]}, SETS, 512)
-
     sizes = members_.groupBy("cluster").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK)
     placed = members_.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
     # small clusters go many to a task; a large one is compared block pair by block pair
     small = F.col("blocks") == 1
-    task = F.when(small, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(4096)).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")))
+    task = F.when(small, F.struct(F.pmod(F.xxhash64("cluster"), F.lit(1 + n_members // TASK)).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     spread = placed.select("*", other).withColumn("task", F.coalesce(task, F.struct(F.col("cluster").alias("a"), (1 + F.least("block", "other")).alias("b"), (1 + F.greatest("block", "other")).alias("c"))))
     spread = spread.withColumn("half", (~small & (F.col("block") > F.col("other"))).cast("int"))
-    sets = chunks.mapInArrow(single, "cid long, tok binary").join(spread.select("cid", "copies", "cluster", "half", "task"), "cid")
+    joined = sets.join(spread.select("cid", "copies", "cluster", "half", "task"), "cid")
 
     def verify(group: pa.Table) -> pa.Table:
         trimmed_memory()
         cid, copies, cluster, half = (group.column(c).to_numpy() for c in ("cid", "copies", "cluster", "half"))
-        toks = [unblob(x, U) for x in group.column("tok")]
+        toks, flags = ([unblob(x, t) for x in group.column(c)] for c, t in (("tok", U), ("flag", np.uint8)))
         order, out = np.argsort(cluster, kind="stable"), []
         for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
             at = at[np.unique(cid[at], return_index=True)[1]]
-            root, links = compare(cid[at], copies[at], [toks[i] for i in at], half[at], percent)
+            root, links = compare(cid[at], copies[at], [toks[i] for i in at], [flags[i] for i in at], half[at], percent)
             out.append((cid[at], root, links))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], schema=LINKS)
 
-    return sets.groupBy("task").applyInArrow(verify, "cid long, root long, links long")
+    return joined.groupBy("task").applyInArrow(verify, "cid long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 2, longer: float = 0.5) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every document."""
+def grouped(docs: DataFrame, words: int, percent: int, longer: float) -> DataFrame:
+    """doc_id, key, n, component_id, n_links, stays: a row a document; of a component's rows, those of one doc_id and class stay."""
+    spark = docs.sparkSession
     buckets = 1 + text_bytes(docs) // 6 // 3 // PER_BUCKET  # a word has about six bytes; about a third of the tokens are in a prefix
     of = written(members(docs, words), "members")
-    classes = of.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = of.where("key is not null and doc_id is not null").groupBy("key").agg(F.first("short").alias("short"), F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     shared = shared_counts(docs.where("doc_id is not null"), words, percent, longer, buckets)
     least = F.ceil(F.col("n") * percent / 100)  # of a partner's size
     k = 1 + F.floor(F.lit(longer) * (least - F.ceil(least * percent / 100) + 1))
-    alive = written(classes.join(shared, "cid").where(F.col("shared") >= k).select("cid", "rep", "n", "copies"), "alive")
+    alive = written(classes.join(shared, "short").where(F.col("shared") >= k).select("cid", "key", "rep", "n", "copies"), "alive")
     chunks = written(set_chunks(docs, alive, words), "sets")
-    postings = written(prefixes(chunks, rarities(chunks, buckets), percent, orders), "prefixes")
-    grouped = clusters(postings, orders)
-    links = written(verified(chunks, alive.select("cid", "copies").join(grouped, "cid"), percent), "links")
+    sets = written(prefixed(chunks, rarities(chunks, buckets), percent), "prefixed")
+    dropped(chunks)
+    released(spark)
+    found = clusters(sets)
+    links = written(verified(sets, alive.select("cid", "copies").join(found, "cid"), alive.count(), percent), "links")
+    released(spark)
     found = components(links, "cid", "root").select(F.col("node").alias("cid"), "component")
-    low = found.join(classes.select("cid", "rep"), "cid")
-    low = low.join(low.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component_id")
-    per_class = classes.select("cid", "rep", "copies").join(low, "cid", "left").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
-    per_class = written(per_class.select(F.col("cid"), F.coalesce("component_id", "rep").alias("class_component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("class_links")), "classes")
-    dropped(alive, chunks, postings, grouped, links)
-    got = of.join(per_class, "cid", "left")
-    ok = F.col("doc_id").isNotNull()
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(ok, F.coalesce("class_component", "doc_id")).alias("component_id"), F.when(ok, F.coalesce("class_links", F.lit(0).cast("long"))).alias("n_links"))
+    low = found.join(classes.select("cid", "rep", "key"), "cid")
+    low = low.join(low.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("low")), "component").select("cid", "low")
+    per_class = classes.join(low, "cid", "left").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+    first = F.coalesce("low", F.struct("rep", "key"))
+    per_class = written(per_class.select("key", first["rep"].alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (first["key"] == F.col("key")).alias("first")), "per-class")
+    dropped(alive, sets, links, classes)
+    some = of.where("key is not null and doc_id is not null").join(per_class, "key")
+    some = some.select("doc_id", "key", "n", "component_id", "n_links", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    # a null key: no words
+    rest = of.where("key is null or doc_id is null")
+    return some.unionByName(rest.select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), 0).cast("long").alias("n_links"), F.lit(True).alias("stays")))
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, longer: float = 0.5) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every document."""
+    return grouped(docs, words, percent, longer).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents that a similar one of smaller doc_id stands for.
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, longer: float = 0.5) -> DataFrame:
+    """docs with one document of each component: of its smallest doc_id (of several texts under it, one).
 
-    Of rows with one doc_id and one text, one stays.  Texts without words and rows without a
-    doc_id all stay.
+    Rows are told by doc_id and text, so a row of the same doc_id with another text is judged by
+    itself; of rows with one doc_id and one text that have copies, one stays.  Texts without words
+    and rows without a doc_id all stay.  Extra columns are kept, whatever their names.
     """
-    groups = jaccard_join(docs, **how)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= 500_000 else ids  # noqa: E731  checked: 8 bytes a row; a shuffled join beyond it
-    out = docs.join(small(gone), "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        twice = out.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(small(repeated), "doc_id", "left_anti").unionByName(twice)
-    return out.select(docs.columns)
+    found = written(grouped(docs, words, percent, longer).where("key is not null and doc_id is not null").select("doc_id", "key", "stays"), "found")
+    gone = found.where("not stays")
+    repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = gone.join(repeated, "doc_id", "left_anti").select("doc_id")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= 500_000 else ids  # noqa: E731  checked: 24 bytes a row; a shuffled join beyond it
+    out = docs.join(small(once), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return out
+    key = free("key", docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+
+    def keyed(batches):
+        for batch in batches:
+            for part in slices(batch):
+                (_, sets), = token_sets([part.select(["doc_id", "text"])], words)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([class_key(s) if len(s) else None for s in sets], pa.binary())], names=[*part.schema.names, key])
+
+    ids = small(repeated)
+    twice = out.join(ids, "doc_id", "left_semi").select(docs.columns).mapInArrow(keyed, schema)
+    gone = gone.join(ids, "doc_id", "left_semi").select("doc_id", F.col("key").alias(key)).distinct()
+    twice = twice.join(gone, ["doc_id", key], "left_anti")
+    worded = twice.where(F.col(key).isNotNull()).dropDuplicates(["doc_id", "text"])
+    both = worded.unionByName(twice.where(F.col(key).isNull()))
+    return out.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(both.select(docs.columns))

@@ -315,11 +315,48 @@ def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
     assert rows_of(jaccard.jaccard_join(df), "doc_id", "n_shingles", "component_id", "n_links") == brute_jaccard(rows)
 
 
+def test_jaccard_tells_alike_words_apart(spark):
+    rows = [(i, t) for i, t in enumerate(x for pair in ALIKE for x in (*pair, f"a b c d {pair[0]} e f g h", f"a b c d {pair[1]} e f g h"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.jaccard_join(df), "doc_id", "n_shingles", "component_id", "n_links") == brute_jaccard(rows)
+
+
+@pytest.mark.parametrize("short", [1, 3])
+def test_jaccard_frequent_prefix_tokens_lose_nothing(prose, monkeypatch, short):
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    assert rows_of(jaccard.jaccard_join(prose[0]), "doc_id", "n_shingles", "component_id", "n_links") == brute_jaccard(prose[1])
+
+
+def test_candidates_share_a_prefix_token_under_every_order():
+    toks = [np.arange(10, dtype=np.uint64)] * 3
+    flags = [np.full(10, f, np.uint8) for f in (7, 7, 3)]
+    cid, ones, half = np.arange(3), np.ones(3, np.int64), np.zeros(3, np.int64)
+    root, links = jaccard.compare(cid, ones, toks, flags, half, 80)
+    assert root.tolist() == [0, 0, 2] and links.tolist() == [1, 1, 0]
+
+
 def test_one_of_each_group_stays(rough):
-    kept = [r["doc_id"] for r in jaccard.one_of_each(rough).select("doc_id").collect()]
+    got = jaccard.one_of_each(rough)
+    kept = [r["doc_id"] for r in got.select("doc_id").collect()]
+    assert got.columns == rough.columns
     assert sorted(map(str, kept)) == sorted(map(str, [1, 5, 6, 7, 8, 10, 11, 13, None, None, 15, 16, 17, 18]))
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    near = a + " more"
+    cases = [
+        ([(1, a), (5, a), (5, b)], [(1, a), (5, b)]),
+        ([(5, a), (5, a), (5, b), (7, b)], [(5, a), (5, b)]),
+        ([(2, b), (5, a), (5, b), (5, c), (5, None), (5, "")], [(2, b), (5, a), (5, c), (5, None), (5, "")]),
+        ([(3, a), (3, near), (4, near)], 1),
+    ]
+    for rows, want in cases:
+        df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key int")
+        got = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect()]
+        assert len(got) == want if isinstance(want, int) else sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 5 substrings
 
 
