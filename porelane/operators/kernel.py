@@ -309,7 +309,7 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
     rel = group.bar_region[0] - group.pad_region[0], group.bar_region[1] - group.pad_region[0]
     strict = int(np.float32(m) * np.float32(0.4))
     unit = np.arange(m + 1)
-    #: the most that an alignment of this many edits can score: all its matches in one run
+    #: the most that an alignment without this many of its matches can score: the others in one run
     most = np.array([perfect_score(m - e) for e in range(m + 1)]) / (group.perfect or 1)
     for a in range(0, n, chunk):
         s = slice(a, a + chunk)
@@ -337,7 +337,10 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
         first = np.where(ok, least, 32000).argmin(1)
         scored(np.arange(len(read)), first)
         top = score[np.arange(len(read)), first]
-        more = ok & (score == -1.0) & (most[np.minimum(least, m)] > (top - min_diff)[:, None])
+        # of e edits, those that insert lose no match; there are at most size - m more of them than
+        # deletions, so (e - (size - m)) / 2 edits lose one each, at least
+        lost = np.clip(-(-(least - (size - m)[:, None]) // 2), 0, m)
+        more = ok & (score == -1.0) & (most[lost] > (top - min_diff)[:, None] - 1e-9)
         scored(*np.nonzero(more))
         best = score.argmax(1)
         rows = np.arange(len(read))

@@ -115,6 +115,32 @@ def test_pruning_by_the_score_bound_never_changes_a_result(monkeypatch):
     assert k.annotate_reads(reads, [group], 0.4, 0.2, 0.1) == pruned
 
 
+@pytest.mark.parametrize("apart", [1, 3, None])
+def test_the_bound_holds_with_insertions_and_deletions(monkeypatch, apart):
+    """Barcodes some bases apart, reads with bases put in, taken out and changed inside the barcode."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(8)
+    group = kit_groups("SQK-RBK110-96")[0]
+    if apart:
+        near = list(group.seqs[0])
+        for at in range(apart):
+            near[20 + 4 * at] = "ACGT"["CGTA".index(near[20 + 4 * at])]
+        group = replace(group, labels=["A", "B", "C"], seqs=[group.seqs[0], "".join(near), group.seqs[5]], tables={})
+    reads = []
+    for i in range(120):
+        bar = list(group.seqs[i % len(group.seqs)][10:34])
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(1, len(bar) - 1))
+            kind = rng.integers(4)
+            bar[at : at + (kind != 0)] = list(rng.choice(list("ACGT"), int(rng.integers(1, 9)))) if kind == 0 else [] if kind == 1 else ["ACGT"[rng.integers(4)]]
+        reads.append((group.prefix + "".join(bar) + group.suffix + "".join(rng.choice(list("ACGT"), 150))).encode())
+    pruned = k.annotate_reads(reads, [group], 0.4, 0.2, 0.1)
+    monkeypatch.setattr(k, "perfect_score", lambda n: 20.0)
+    assert k.annotate_reads(reads, [group], 0.4, 0.2, 0.1) == pruned
+    assert len({m["label"] for ms in pruned for m in ms}) >= 2
+
+
 def test_residual_adapters_are_counted():
     group = kit_groups("SQK-RBK110-96")[0]
     whole = group.prefix + group.seqs[4][10:34] + group.suffix
