@@ -308,8 +308,8 @@ ORACLES: dict[str, str] = {
     "approx_min_cost": _edit_distance(kits.BC[0], 64),
     "barcode_assign_margin": f"""WITH bars(i, label, bar) AS {_BC24},
         windows AS (SELECT o_orderkey, {_dna('o_orderkey', 'e')}[1 : o_orderkey % 9] || bar[o_orderkey % 9 + 1 : 24] AS w FROM orders JOIN bars ON i = o_orderkey % 24),
-        ranked AS (SELECT o_orderkey, label, levenshtein(w, bar) AS cost, row_number() OVER (PARTITION BY o_orderkey ORDER BY levenshtein(w, bar), label) AS r FROM windows CROSS JOIN bars)
-        SELECT a.o_orderkey, a.label, a.cost::INTEGER AS cost, b.cost - a.cost >= 3 AS valid FROM ranked a JOIN ranked b ON a.o_orderkey = b.o_orderkey AND a.r = 1 AND b.r = 2""",
+        costs AS (SELECT o_orderkey, bars.i, bars.label, levenshtein(w, bars.bar) AS cost FROM windows CROSS JOIN bars)
+        SELECT o_orderkey, arg_min(label, cost * 100 + i) AS label, min(cost)::INTEGER AS cost, list_sort(list(cost))[2] - min(cost) >= 3 AS valid FROM costs GROUP BY o_orderkey""",
     "exact_planted_demux": f"WITH {READS} SELECT 'read' || k AS id, label, length(body)::INTEGER AS bases, body[1:20] AS head FROM planted JOIN base USING (k) WHERE scenario = 1",
     "planted_slices": f"""WITH {READS} SELECT 'read' || k AS id, CASE scenario WHEN 3 THEN c.label ELSE planted.label END AS label, length(body)::INTEGER AS bases, md5(body) AS seq_md5,
         md5(repeat(translate(md5(k || 'q'), '0123456789abcdef', '56789:;<=>?@ABCD'), 64)[length(seq) - length(body) + 1 : length(seq)]) AS qual_md5

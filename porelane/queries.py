@@ -19,7 +19,7 @@ from .operators.report import normalised, residual_adapters
 from .operators.trim import LabelConfig, counters, failed, label, pull, trim, trim_reads
 from .plans import groups
 from .plans.kit import demux, unmatched_tags
-from .schema import gathered
+from .schema import gathered, held
 
 RAPID = "SQK-RBK110-96"
 PAIR = ["Ftag[fw, *, @left(0..250), >>]__Ftag[<<, *, @right(0..250)]"]
@@ -133,7 +133,8 @@ def barcode_assign_margin(spark, sf):
     edits = F.substring(synth.dna(k, "e"), F.lit(1), (k % 9).cast("int"))
     window = F.concat(edits, F.substring(own, F.length(edits) + 1, F.lit(24)))
     cost = F.array_sort(F.array(*(F.struct(F.levenshtein("window", F.lit(s)).alias("cost"), F.lit(f"BC{i + 1:02d}").alias("label")) for i, s in enumerate(kits.BC[:24]))))
-    out = _orders(spark, sf).select("o_orderkey", window.alias("window")).select("o_orderkey", cost.alias("c"))
+    # the window and the distances are computed once a row, spread over all cores
+    out = held(held(_spread(spark, sf).select("o_orderkey"), "window", window), "c", cost)
     first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
     return out.select("o_orderkey", first["label"].alias("label"), first["cost"].alias("cost"), (second["cost"] - first["cost"] >= 3).alias("valid"))
 
