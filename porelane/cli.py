@@ -6,7 +6,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kits
@@ -72,6 +72,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def summary(counts: DataFrame, top_n: int) -> None:
+    """How many patterns there are, and the most frequent ones."""
+    print(f"{counts.count()} patterns")
+    for r in counts.orderBy(F.desc("count"), "pattern").limit(top_n).collect():  # the top n
+        print(f"{r['count']}\t{r['pattern']}")
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     o = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("porelane").getOrCreate()
@@ -89,6 +96,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_annotations(out.where("kept"), o.output)
         if o.dropped:
             write_annotations(out.where("not kept"), o.dropped)
+        out.unpersist()
     elif o.verb in ("trim", "pull"):
         config = tr.LabelConfig(not o.no_label, not o.no_orientation, not o.no_flanks, o.sort_labels, o.only_side)
         reads, annotations = read_fastq(spark, o.reads), read_annotations(spark, o.input)
@@ -98,12 +106,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             write_lines(tr.failed(reads, annotations), o.failed_out)
     elif o.verb == "inspect":
         patterns = ins.read_patterns(read_annotations(spark, o.input), o.bucket_size).persist()
-        counts = ins.pattern_counts(patterns)
-        print(f"{counts.count()} patterns")
-        for r in counts.orderBy(F.desc("count"), "pattern").limit(o.top_n).collect():  # the top n
-            print(f"{r['count']}\t{r['pattern']}")
+        summary(ins.pattern_counts(patterns), o.top_n)
         if o.read_pattern_out:
             write_patterns(patterns, o.read_pattern_out)
+        patterns.unpersist()
     else:
         kits.family(o.kit)
         got = demux(read_fastq(spark, o.input), o.kit, o.maximize, o.use_extended, o.flank_max_errors, o.alpha, o.min_score, o.min_score_diff, o.flip, keep=True)
@@ -111,6 +117,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_annotations(flat(got.filtered.where("kept").select("read_id", "matches")), f"{o.output}/filtered")
         write_patterns(got.annotated.select("read_id", ins.structure(F.col("matches")).alias("pattern")), f"{o.output}/pattern_per_read")
         write_fastq(got.trimmed, f"{o.output}/reads", o.gzip)
+        summary(got.patterns, 10)
+        got.annotated.unpersist()
     return 0
 
 

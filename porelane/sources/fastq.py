@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import gzip
 import io
+import json
 import os
 import re
 import shutil
@@ -68,10 +69,10 @@ def batches(lines: Iterator[str], name: str, size: int = 2000) -> Iterator[pa.Re
         yield batch()
 
 
-def files_of(path: str) -> list[str]:
-    """Files of a comma-separated list of paths, patterns and folders; none at all is an error."""
+def files_of(path: str | list[str]) -> list[str]:
+    """Files of a list (or a comma-separated one) of paths, patterns and folders; none at all is an error."""
     out = []
-    for p in filter(None, (x.strip() for x in path.split(","))):
+    for p in filter(None, (x.strip() for x in path.split(","))) if isinstance(path, str) else path:
         p = p.removeprefix("file://")
         found = sorted(glob.glob(p))
         if not found:
@@ -89,7 +90,7 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str | list[str]):
         self.files = files_of(path)
 
     def partitions(self):
@@ -153,7 +154,7 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(json.loads(self.options["paths"]) if "paths" in self.options else self.options["path"])
 
     def writer(self, schema, overwrite):
         return _Writer(dict(self.options), overwrite)
@@ -161,7 +162,9 @@ class FastqSource(DataSource):
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").load(paths if isinstance(paths, str) else ",".join(paths))
+    if isinstance(paths, str):
+        return spark.read.format("fastq").load(paths)
+    return spark.read.format("fastq").option("paths", json.dumps(paths)).load()
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -183,12 +186,16 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fastq(trimmed: DataFrame, path: str, compressed: bool = False, files_per_label: int = 1, mode: str = "overwrite") -> None:
-    """<path>/<label>.trimmed.fastq[.gz]; a frequent label can be spread over several files, numbered from 0."""
+    """<path>/<label>.trimmed.fastq[.gz]; a frequent label can be spread over several files, numbered from 0.
+
+    In file names "_" stands for the characters of a label that would leave the folder or hide the file.
+    """
     from ..operators.trim import fastq_text
 
     trimmed.sparkSession.dataSource.register(FastqSource)
     os.makedirs(path.removeprefix("file://"), exist_ok=True)
     part = F.pmod(F.xxhash64("id"), F.lit(files_per_label))
-    name = F.concat("label", F.lit(".trimmed") if files_per_label == 1 else F.concat(F.lit(".trimmed."), part.cast("string")), F.lit(".fastq"))
+    safe = F.regexp_replace("label", r"^\.|[/\\\x00-\x1f]", "_")
+    name = F.concat(safe, F.lit(".trimmed") if files_per_label == 1 else F.concat(F.lit(".trimmed."), part.cast("string")), F.lit(".fastq"))
     rows = fastq_text(trimmed.withColumn("label", name)).withColumnRenamed("label", "file")
     rows.repartition("file").sortWithinPartitions("file").write.format("fastq").option("path", path).option("gzip", str(compressed).lower()).mode(mode).save()

@@ -125,3 +125,14 @@ def test_plans_of_a_kit_shuffle_only_to_sum_up(spark):
     reads = spark.createDataFrame([("a", "", "ACGT", "IIII")], "read_id string, desc string, seq string, qual string")
     plan = demux(reads, "SQK-RBK110-96").trimmed._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_labels_stay_inside_the_folder_and_paths_may_hold_commas(spark, tmp_path):
+    rows = [("r1", "../up", "ACGT", "IIII"), ("r2", "a/b", "AC", "II"), ("r3", ".hid", "G", "I")]
+    out = tmp_path / "out"
+    trimmed = spark.createDataFrame(rows, "id string, label string, seq string, qual string")
+    fastq.write_fastq(trimmed.withColumn("desc", trimmed["id"]), str(out))
+    assert sorted(p.name for p in out.iterdir()) == ["_._up.trimmed.fastq", "_hid.trimmed.fastq", "a_b.trimmed.fastq"]
+    odd = tmp_path / "x,y.fastq"
+    odd.write_text("@r1\nACGT\n+\nIIII\n")
+    assert [r["seq"] for r in fastq.read_fastq(spark, [str(odd)]).collect()] == ["ACGT"]
