@@ -12,7 +12,7 @@ square root of the classes.
 Within a cell blocks are compared by matrix products in double precision; a pair of blocks is
 a task, so a hot cell is spread, and a task yields one row a member: its links and one edge
 to its root in the task, never a row for each pair.  A pair that meets in two cells counts in
-one.  Products within 1e-9 of the threshold are computed again from the unscaled vectors.
+one.  Products within 1e-9 of the threshold are computed again in extended precision.
 
 Edge cases: null, empty, zero and non-finite vectors and null components link with nothing
 (component_id = vec_id, kept); a null vec_id has component_id null and is kept; vectors of
@@ -105,8 +105,11 @@ def linked(raw: np.ndarray, threshold: float) -> np.ndarray:
     x = unit(raw)
     c = x @ x.T
     out = c >= threshold
+    # scaled by powers of two, which is exact: components of any size neither overflow nor vanish
+    _, power = np.frexp(np.abs(raw).max(1))
     for i, j in zip(*np.nonzero(np.abs(c - threshold) < 1e-9)):
-        out[i, j] = raw[i] @ raw[j] / (np.sqrt(raw[i] @ raw[i]) * np.sqrt(raw[j] @ raw[j])) >= threshold
+        a, b = (np.ldexp(raw[k], -power[k]).astype(np.longdouble) for k in (i, j))
+        out[i, j] = np.double(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b))) >= threshold
     return out
 
 

@@ -116,6 +116,26 @@ ORACLES: dict[str, str] = {
                    || ',"status":' || to_json(CASE WHEN answered THEN 'ok' ELSE 'no result' END) || '}' AS json
         FROM judged
     """,
+    "op3_ngram_jaccard_join": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i : i + 4], ' '))
+                                                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+            FROM split
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), reached AS (
+            SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+        ), lowest AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id))::BIGINT AS component_id, coalesce(degree.n, 0)::BIGINT AS n_links
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON lowest.a = doc_id LEFT JOIN degree ON degree.a = doc_id
+    """,
     "op5_substring_dedup": """
         WITH split AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words

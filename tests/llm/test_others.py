@@ -256,3 +256,12 @@ def test_registered_queries():
     names = list(e.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
     assert {n for n in e.oracle_sql() if n.startswith("op")} == {"op5_substring_dedup", "op7_tool_calls", "op8_license_scan"}
+
+
+def test_links_next_to_the_threshold_at_any_scale():
+    from porelane.llm import embeddings
+
+    # (3, 4) and (4, 3): cosine 0.96; scaled so that plain products overflow or vanish
+    pair = np.array([[3.0, 4.0], [4.0, 3.0]])
+    for scale in (1.0, 1e200, 1e-200, 1e300):
+        assert embeddings.linked(pair * scale, 0.96).all() and not embeddings.linked(pair * scale, 0.96 + 1e-12)[0, 1]
