@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go when it is written: the table stands in their place."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table in the shared folder and return the reread table: lineage ends here."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/porelane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._porelane_path = path
     return out
@@ -61,7 +74,8 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int, **options) ->
     spark = df.sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
     path, entry = f"{scratch_root(spark)}/porelane/{unique}", f"porelane_{unique.replace('-', '_')}"
-    df.write.bucketBy(buckets, column).option("path", path).options(**options).saveAsTable(entry)
+    with freeing_shuffles(spark):
+        df.write.bucketBy(buckets, column).option("path", path).options(**options).saveAsTable(entry)
     out = spark.table(entry)
     assert out.schema is not None  # analysed before the entry goes
     spark.sql(f"DROP TABLE {entry}")
@@ -69,12 +83,6 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int, **options) ->
     return out
 
 
-def released(spark: SparkSession) -> None:
-    """Have the driver's garbage collected, so that Spark deletes shuffle files that only tables already written came from."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def free(name: str, columns: list[str]) -> str:
     """The name, or with underscores before it where columns have it (Spark doesn't tell cases apart)."""
     taken = {c.lower() for c in columns}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob, components, dropped, free, in_batches, released, rows, text_bytes, trimmed_memory, unblob, written
+from .common import blob, components, dropped, free, in_batches, rows, text_bytes, trimmed_memory, unblob, written
 from .words import Words, mix64, shingles, slices, string_buffers
 
 U = np.uint64
@@ -368,7 +368,6 @@ def verified(sets: DataFrame, members_: DataFrame, n_members: int, percent: int)
 
 def grouped(docs: DataFrame, words: int, percent: int, longer: float) -> DataFrame:
     """doc_id, key, n, component_id, n_links, stays: a row a document; of a component's rows, those of one doc_id and class stay."""
-    spark = docs.sparkSession
     buckets = 1 + text_bytes(docs) // 6 // 3 // PER_BUCKET  # a word has about six bytes; about a third of the tokens are in a prefix
     of = written(members(docs, words), "members")
     classes = of.where("key is not null and doc_id is not null").groupBy("key").agg(F.first("short").alias("short"), F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
@@ -380,10 +379,8 @@ def grouped(docs: DataFrame, words: int, percent: int, longer: float) -> DataFra
     chunks = written(set_chunks(docs, alive, words), "sets")
     sets = written(prefixed(chunks, rarities(chunks, buckets), percent), "prefixed")
     dropped(chunks)
-    released(spark)
     found = clusters(sets)
     links = written(verified(sets, alive.select("cid", "copies").join(found, "cid"), alive.count(), percent), "links")
-    released(spark)
     found = components(links, "cid", "root").select(F.col("node").alias("cid"), "component")
     low = found.join(classes.select("cid", "rep", "key"), "cid")
     low = low.join(low.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("low")), "component").select("cid", "low")

@@ -2,9 +2,8 @@
 
 p1(w) = (c(w) + 1) / (N + V + 1), one unseen word counted in, and for each longer context h,
 with h' one word shorter, p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m); an unseen h leaves
-p(w | h').  Orders go up to `order` (3: two words of context), m is the order's entry in
-`prior`; probabilities sum to 1 before quantisation.  A text's score is the log10 probability
-of its words and its end.
+p(w | h').  Orders go up to 2 or 3, as `prior` has entries, which are the m; probabilities sum
+to 1 before quantisation.  A text's score is the log10 probability of its words and its end.
 
 1. Every chunk of documents sends its distinct words with their training counts; word-hash
    buckets sum them, give every training word an id, and answer with id and count.
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, in_batches, released, rows, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
+from .common import SENT_SQL, answers_for, blob, chunk_docs, chunk_table, in_batches, rows, send_values, text_bytes, trimmed_memory, unblob, with_answers, written
 from .trie import MEANS, quantised, with_trie
 from .words import Words, mix64, string_buffers
 
@@ -44,7 +43,7 @@ U = np.uint64
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 START, FIRST = 1, 2  # ids: 0 unseen, 1 the start of a text, training words from 2
 PER_BUCKET = 1_000_000
-PRIOR = (100.0, 4.0)  # m of orders 2 and 3
+PRIOR = (100.0,)  # m of order 2; a second entry adds order 3
 
 
 def squeezed(values: np.ndarray, sorted_: bool = False) -> bytes:
@@ -52,13 +51,16 @@ def squeezed(values: np.ndarray, sorted_: bool = False) -> bytes:
 
     if sorted_ and len(values):
         values = np.concatenate([values[:1], np.diff(values)])
-    return zstandard.ZstdCompressor(level=1).compress(blob(values))
+    values = np.ascontiguousarray(values).reshape(-1)
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T  # bytes of one weight together
+    return zstandard.ZstdCompressor(level=1).compress(blob(planes))
 
 
 def expanded(value, dtype, sorted_: bool = False) -> np.ndarray:
     import zstandard
 
-    out = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    out = np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
     return np.cumsum(out, dtype=dtype) if sorted_ else out
 
 
@@ -109,7 +111,7 @@ class Tokens:
         some = asked[at]
         self.gram = self.context[some], self.id[some], n_before[some], quantised(self.p[some])
         salts = (1 + self.gram[2] // share).astype(U)
-        bucket = ((mix64(self.gram[0]) + mix64(self.gram[1]) % salts) % U(buckets)).astype(np.int64)
+        bucket = ((mix64(self.gram[0]) + mix64(self.gram[1]) % salts) % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         self.in_order = np.argsort(bucket, kind="stable")
         self.cut = np.searchsorted(bucket[self.in_order], np.arange(buckets + 1))
 
@@ -186,8 +188,8 @@ def send_grams(answered: DataFrame, tokens, buckets: int) -> DataFrame:
     return answered.mapInArrow(run, GRAMS_SQL)
 
 
-def codes(sent: DataFrame, order: int, m: float) -> DataFrame:
-    """part, seq, bucket, ans, counts: a code and a count for each n-gram, from the trie of the bucket's training n-grams."""
+def codes(sent: DataFrame, order: int, m: float, counted: bool) -> DataFrame:
+    """part, seq, bucket, ans, counts: a code and (if counted) a count for each n-gram, from the trie of the bucket's training n-grams."""
 
     def answer(group: pa.Table) -> pa.Table:
         trimmed_memory()
@@ -204,22 +206,19 @@ def codes(sent: DataFrame, order: int, m: float) -> DataFrame:
         del key, back
         total = np.bincount(inverse, np.concatenate(column("num", np.uint32)), len(each)).astype(np.int64)
         lower = np.concatenate(column("lower", np.uint8))[at]
-        counts, low = total[inverse], U(0xFFFFFFFF)
-        del inverse, at
-        seen = total > 0
-        each, total, lower = each[seen], total[seen], lower[seen]
-        row = (each >> U(32)).astype(np.int64)
-        p = (total + m * MEANS[lower]) / (n_context[row] + m)
-
-        def split(of: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-            return [of >> U(32), of & low, word][3 - order :]
+        del at
+        row, seen = (each >> U(32)).astype(np.int64), total > 0
 
-        def ask(trie) -> list[np.ndarray]:
-            return [trie.lookup(split(np.repeat(c, n), w.astype(U))) for c, n, w in zip(contexts, sizes, words)]
+        def split(some) -> list[np.ndarray]:
+            of = context[row[some]]
+            return [of >> U(32), of & U(0xFFFFFFFF), each[some] & U(0xFFFFFFFF)][3 - order :]
 
-        found = with_trie(split(context[row], each & low), p, ask)
-        end = np.cumsum([0] + [len(x) for x in found])
-        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(x) for x in found], pa.binary()), "counts": pa.array([squeezed(counts[a:b]) for a, b in zip(end, end[1:])], pa.binary())})
+        p = (total[seen] + m * MEANS[lower[seen]]) / (n_context[row[seen]] + m)
+        # every distinct question once; the answers then go back to each chunk's questions
+        code, counts = with_trie(split(seen), p, lambda trie: trie.lookup(split(slice(None))))[inverse], total[inverse]
+        end = np.cumsum([0] + [len(x) for x in words])
+        found = [code[a:b] for a, b in zip(end, end[1:])]
+        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"), "ans": pa.array([squeezed(x) for x in found], pa.binary()), "counts": pa.array([squeezed(counts[a:b]) if counted else None for a, b in zip(end, end[1:])], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(answer, "part long, seq int, bucket int, ans binary, counts binary")
 
@@ -230,7 +229,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known"
 def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, prior: tuple[float, ...] = PRIOR, max_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    prior: m of orders 2 and 3; (m,) stops at order 2, () at order 1.
+    prior: m of each order from 2 on, at most of two; () stops at order 1.
     """
     if len(prior) > 2:
         raise ValueError("a context key has two words")
@@ -240,7 +239,6 @@ def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, prior: tuple[float, .
     buckets = [1 + volume // 6 * (3, 4)[n] // 4 // PER_BUCKET for n in range(len(prior))]
     chunks = chunk_table(docs, "lm", "text", max_bytes)
     words = written(vocabulary(send_words(chunks, of, fold, word_buckets), word_buckets), "words")
-    released(spark)
     n_tokens, n_types = (x or 0 for x in words.agg(F.sum("n_tokens"), F.sum("n_types")).first())
     answered = with_answers(chunks, words, "order1")
     shares = [max(1, n_tokens // n) for n in buckets]
@@ -264,8 +262,7 @@ def lm_scores(docs: DataFrame, of: int = 7, fold: int = 2, prior: tuple[float, .
         return tokens
 
     for n, m in enumerate(prior):
-        grams = written(codes(send_grams(answered, upto(n + 1), buckets[n]), n + 2, m), f"order{n + 2}")
-        released(spark)
+        grams = written(codes(send_grams(answered, upto(n + 1), buckets[n]), n + 2, m, n + 1 < len(prior)), f"order{n + 2}")
         answered = with_answers(answered, grams, f"order{n + 2}", ("ans", "counts") if n + 1 < len(prior) else ("ans",))
 
     def run(batches):

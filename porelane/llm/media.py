@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BUCKETS, bucketed, released, rows, trimmed_memory, written
+from .common import MOST_BUCKETS, bucketed, rows, trimmed_memory, written
 from .words import mix64
 
 BLOCK = 64  # payloads are padded to a multiple of this; also the gear hash's window
@@ -199,7 +199,6 @@ def stored(docs: DataFrame, sample: int = 1000) -> tuple[DataFrame, DataFrame, b
     store = chunked(docs, True, words).select("digest", "packed").groupBy("digest").agg(F.first("packed").alias("packed"))
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store = bucketed(store, "store", "digest", buckets, compression="none")
-    released(spark)
     return listed, store, words
 
 
