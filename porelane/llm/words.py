@@ -6,7 +6,7 @@ handled as one byte array with offsets, so no Python string is built per word.
 Hashes have 64 bits: a word is folded in lanes of eight bytes and a run of words by doubling,
 each step a multiplication, a shift that mixes high bits into low ones, and another
 multiplication; words of more than LONG bytes take xxh3.  Two given values share a hash with
-probability 2**-64; among n distinct values some n * n / 2**65 pairs do, 1.4 of 10**10 values.
+probability 2**-64; among n distinct values some n * n / 2**65 pairs do, 2.7 of 10**10 values.
 Operators whose results may not depend on that use 128 bits or compare the words.
 """
 
