@@ -53,9 +53,9 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toolcalls import conversation_tools
+    from .toolcalls import conversation_links
 
-    return conversation_tools(table(spark, sf_dir, "conversations"))
+    return conversation_links(table(spark, sf_dir, "conversations"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,18 @@ ORACLES: dict[str, str] = {
                    || ',"level":' || level || ',"name":' || to_json(name) || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END
                    || ',"status":' || to_json(CASE WHEN answered THEN 'ok' ELSE 'no result' END) || '}' AS json
         FROM judged
+        UNION ALL
+        SELECT NULL, NULL, call_id, NULL, NULL, NULL, status, NULL,
+               '{"count":' || n || ',"id":' || to_json(call_id) || CASE WHEN text IS NULL THEN '' ELSE ',"result":' || to_json(text) END || ',"status":' || to_json(status) || '}'
+        FROM (
+            SELECT conv_id || ':' || (turn - 1) AS call_id, text, CASE WHEN called THEN 'repeated result' ELSE 'orphan result' END AS status,
+                   copies - CASE WHEN called AND place = 1 THEN 1 ELSE 0 END AS n
+            FROM (
+                SELECT u.conv_id, u.turn, u.text, ids.turn IS NOT NULL AS called, count(*) AS copies, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY u.text NULLS LAST) AS place
+                FROM conversations u LEFT JOIN ids ON ids.conv_id = u.conv_id AND ids.turn = u.turn - 1
+                WHERE role = 'user' GROUP BY u.conv_id, u.turn, u.text, ids.turn
+            )
+        ) WHERE n > 0
     """,
     "op3_ngram_jaccard_join": """
         WITH RECURSIVE split AS (

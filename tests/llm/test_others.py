@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from porelane.llm import common, embeddings, toolcalls
 
@@ -165,12 +166,112 @@ def test_rough_conversations(spark):
     assert toolcalls.conversation_tools(empty).count() == 0
 
 
+def brute_levels(rows):
+    """Longest ways back by plain recursion; None in or behind a cycle."""
+    ups = {}
+    for c, after in rows:
+        ups.setdefault(c, set()).update(x for x in after or [] if x is not None)
+    known, open_ = {}, set()
+
+    def level(c):
+        if c in open_:
+            return None
+        if c not in known:
+            open_.add(c)
+            below = [level(u) for u in ups[c] if u in ups]
+            known[c] = None if None in below else max((x + 1 for x in below), default=0)
+            open_.discard(c)
+        return known[c]
+
+    # what lies behind a cycle is seen from a fresh start for each call
+    out = {}
+    for c in ups:
+        known.clear()
+        v = level(c)
+        out[c] = (v, "cycle" if v is None else "missing call" if ups[c] - set(ups) else None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_any_graph_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(12):
+        n, backward = int(rng.integers(1, 14)), 0.1 if g % 3 == 0 else 0.0
+        for i in range(n):
+            after = [f"{g}.{int(rng.integers(0, n) if rng.random() < backward else rng.integers(0, i))}" for _ in range(int(rng.integers(0, 4))) if i]
+            rows.append((f"{g}.{i}", after + [None] * (i % 2) + ["gone"] * (rng.random() < 0.05)))
+    # a ladder of calls that wait for two, fed by a chain; many that wait for one; repeats and nulls
+    rows += [("l0", None), ("l1", ["l0"])] + [(f"l{i}", [f"l{i - 1}", f"l{i - 2}"]) for i in range(2, 7)] + [("l8", ["l6", "l6"]), ("l9", ["l8"])]
+    rows += [(f"s{i}", ["l9", "l0"] if i % 2 else ["l9"]) for i in range(30)] + [("l0", []), ("l9", ["s0"] if seed == 2 else [])]
+    got = {r["call_id"]: (r["level"], r["status"]) for r in toolcalls.levels(spark.createDataFrame([*rows, (None, ["l0"])], "call_id string, after array<string>").repartition(3)).collect()}
+    assert got == brute_levels(rows)
+
+
+def test_schemas_are_data(spark):
+    where = {"type": "object", "properties": {"city": {"type": "string", "enum": ["Bern", "Köln"]}, "at": {"type": "array", "minItems": 2, "maxItems": 2, "items": {"type": "number", "maximum": 90}}}, "required": ["city"], "additionalProperties": False}
+    schemas = {"go": {"type": "object", "properties": {"where": where, "fast": {"type": "boolean"}, "it's": {"type": "integer", "minimum": 2}}, "required": ["where", "also"]}, "free": {}}
+    cases = [
+        ("go", '{"where":{"city":"Köln","at":[1,2.5]},"also":null,"fast":true,"it\'s":2}', ""),
+        ("go", '{"where":{"city":"Rom","at":[1,"x",95],"c":1,"b":2},"fast":0,"it\'s":1}', "where.city: not one of the values allowed; where.at: items above 2; where.at[1]: not of type number; where.at[2]: value above 90; where.b: unknown; where.c: unknown; fast: not of type boolean; it's: value below 2; also: missing"),
+        ("go", '{"where":[],"also":1,"it\'s":2.5}', "where: not of type object; it's: not of type integer"),
+        ("go", "[1]", "arguments: not of type object"),
+        ("go", None, "where: missing; also: missing"),
+        ("go", '{"a":1,"a":2}', "arguments: not JSON"),
+        ("free", '{"z":[{"b":1,"a":"x"}],"a":{"d":null,"c":true}}', ""),
+        (None, "{}", "unknown tool"),
+        ("free", "", "arguments: not JSON"),
+    ]
+    rows = [(1, i, f"c{i}", n, [f"c{i - 1}", None, f"c{i - 1}", "c0"] if i else [], a, "x") for i, (n, a, _) in enumerate(cases)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, after array<string>, arguments string, parsed string")
+    got = {r["turn"]: r for r in toolcalls.linked(calls, spark.createDataFrame([("c1", "r")], "call_id string, content string"), schemas).collect()}
+    assert [got[i]["errors"] for i in range(len(cases))] == [e for *_, e in cases]
+    assert [got[i]["level"] for i in range(len(cases))] == list(range(len(cases))) and got[2]["after"] == ["c0", "c1"] and got[0]["after"] is None
+    for i, (_, a, error) in enumerate(cases):
+        line = json.loads(got[i]["json"])
+        assert got[i]["json"] == json.dumps(line, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert line.get("unparsed" if error == "arguments: not JSON" else "arguments") == (a if error == "arguments: not JSON" else a and json.loads(a))
+    with pytest.raises(ValueError):
+        toolcalls.linked(calls, calls.select("call_id", F.lit("x").alias("content")), {"go": {"pattern": "x"}})
+
+
+def test_unlinked_results(spark):
+    calls = spark.createDataFrame([("a",), ("a",), ("b",), ("n",), (None,)], "call_id string")
+    results = [("a", "2"), ("a", "1"), ("a", "1"), ("a", None), ("b", "x"), ("n", None), ("n", None), ("o", "y"), ("o", "y"), (None, None)]
+    got = Counter((r["call_id"], r["status"], r["json"]) for r in toolcalls.unlinked(calls, spark.createDataFrame(results, "call_id string, content string")).collect())
+    line = lambda **x: json.dumps(x, separators=(",", ":"))
+    again, alone = "repeated result", "orphan result"
+    assert got == Counter([
+        ("a", again, line(count=1, id="a", result="1", status=again)), ("a", again, line(count=1, id="a", result="2", status=again)), ("a", again, line(count=1, id="a", status=again)),
+        ("n", again, line(count=1, id="n", status=again)), ("o", alone, line(count=2, id="o", result="y", status=alone)), (None, alone, line(count=1, status=alone)),
+    ])
+    none = spark.createDataFrame([], "call_id string, content string")
+    assert toolcalls.unlinked(calls, none).count() == 0
+
+
+def test_tool_calls_equal_their_sql(spark, tmp_path):
+    import duckdb
+    import __spark_entry__ as e
+
+    rows = [(c, t, ("user", "assistant", "system")[(t + c // 7) % (2 + (c % 5 == 0))], f"{'wörd ' * (c * t % 90)}\t\"{t % 3}\"\n") for c in range(60) for t in range(c % 11)]
+    rows += [(3, 0, "user", "again"), (4, 2, "user", "again"), (4, 2, "user", "again"), (5, 9, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(e.oracle_sql()["op7_tool_calls"])
+    names = [c[0] for c in want.description]
+    got = e.queries()["op7_tool_calls"](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, got.select(names).collect())) == sorted(str(r) for r in spark.createDataFrame(want.fetchall(), got.select(names).schema).collect())
+
+
 def test_native_operators_run_no_python(spark):
     from porelane.llm import licenses
 
     turns = spark.createDataFrame([(1, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
-    for df in (toolcalls.conversation_tools(turns), licenses.license_scan(docs)):
+    for df in (toolcalls.conversation_tools(turns), toolcalls.conversation_links(turns), licenses.license_scan(docs)):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
@@ -255,7 +356,7 @@ def test_registered_queries():
 
     names = list(e.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
-    assert {n for n in e.oracle_sql() if n.startswith("op")} == {"op5_substring_dedup", "op7_tool_calls", "op8_license_scan"}
+    assert {n for n in e.oracle_sql() if n.startswith("op")} == {"op3_ngram_jaccard_join", "op5_substring_dedup", "op7_tool_calls", "op8_license_scan"}
 
 
 def test_links_next_to_the_threshold_at_any_scale():
