@@ -281,6 +281,13 @@ def _group_flanks() -> str:
                greatest(0, ceil(0.51 * (pre + suf) - 1.7312 * sqrt(pre + suf)))::INTEGER AS cutoff FROM g"""
 
 
+def _planted(kept: str) -> str:
+    """What follows the last adapter at the left of all planted reads of the scenarios that are kept."""
+    return f"""WITH {READS} SELECT 'read' || k AS id, CASE scenario WHEN 3 THEN c.label ELSE planted.label END AS label, length(body)::INTEGER AS bases, md5(body) AS seq_md5,
+        md5(repeat(translate(md5(k || 'q'), '0123456789abcdef', '56789:;<=>?@ABCD'), 64)[length(seq) - length(body) + 1 : length(seq)]) AS qual_md5
+        FROM planted JOIN base USING (k) JOIN bars c ON c.i = (k * 7 + 5) % 96 WHERE scenario IN ({kept})"""
+
+
 _BC24 = _values([(i, f"BC{i + 1:02d}", s) for i, s in enumerate(kits.BC[:24])])
 _CUT_TEXT = "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'After(' || o_orderkey % 5 || '):0' ELSE 'Before(' || o_orderkey % 4 || '):1,After(2):' || o_orderkey % 7 END"
 
@@ -310,10 +317,8 @@ ORACLES: dict[str, str] = {
         windows AS (SELECT o_orderkey, {_dna('o_orderkey', 'e')}[1 : o_orderkey % 9] || bar[o_orderkey % 9 + 1 : 24] AS w FROM orders JOIN bars ON i = o_orderkey % 24),
         costs AS (SELECT o_orderkey, bars.i, bars.label, levenshtein(w, bars.bar) AS cost FROM windows CROSS JOIN bars)
         SELECT o_orderkey, arg_min(label, cost * 100 + i) AS label, min(cost)::INTEGER AS cost, list_sort(list(cost))[2] - min(cost) >= 3 AS valid FROM costs GROUP BY o_orderkey""",
-    "exact_planted_demux": f"WITH {READS} SELECT 'read' || k AS id, label, length(body)::INTEGER AS bases, body[1:20] AS head FROM planted JOIN base USING (k) WHERE scenario = 1",
-    "planted_slices": f"""WITH {READS} SELECT 'read' || k AS id, CASE scenario WHEN 3 THEN c.label ELSE planted.label END AS label, length(body)::INTEGER AS bases, md5(body) AS seq_md5,
-        md5(repeat(translate(md5(k || 'q'), '0123456789abcdef', '56789:;<=>?@ABCD'), 64)[length(seq) - length(body) + 1 : length(seq)]) AS qual_md5
-        FROM planted JOIN base USING (k) JOIN bars c ON c.i = (k * 7 + 5) % 96 WHERE scenario IN (1, 2, 3)""",
+    "exact_planted_demux": _planted("1, 2"),
+    "planted_slices": _planted("1, 2, 3"),
     "overlap_collapse": _collapse_pairs(8, 10),
     "overlap_collapse_half": _collapse_pairs(1, 2),
     "cuts_roundtrip": f"SELECT o_orderkey, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ',')) END::INTEGER AS n, t AS cuts FROM (SELECT o_orderkey, {_CUT_TEXT} AS t FROM orders)",

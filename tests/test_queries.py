@@ -58,11 +58,12 @@ def test_flagship_counts(spark, sf):
     assert sum(r["reads"] for r in rows) >= 200 and all(r["bases"] % 10 == 0 for r in rows)
 
 
-def test_planted_slices_are_whole_and_of_all_scenarios(spark, sf):
+@pytest.mark.parametrize("name, scenarios", [("exact_planted_demux", (1, 2)), ("planted_slices", (1, 2, 3))])
+def test_planted_slices_are_whole_and_of_all_scenarios(spark, sf, name, scenarios):
     reads = {r["read_id"]: r for r in queries.derive_reads_planted(spark, sf).collect()}
-    got = {r["id"]: r for r in queries.planted_slices(spark, sf).collect()}
-    # kept: one adapter at the left, cut or not, and two next to each other; the slice is what follows the last one
-    assert set(got) == {i for i, r in reads.items() if r["scenario"] in (1, 2, 3)}
+    got = {r["id"]: r for r in queries.QUERIES[name](spark, sf).collect()}
+    # kept: one adapter at the left, cut or not, and with `maximize` two next to each other; the slice is what follows the last one
+    assert set(got) == {i for i, r in reads.items() if r["scenario"] in scenarios}
     for i, r in got.items():
         seq, qual = (reads[i][c][-640:] for c in ("seq", "qual"))
         assert (r["bases"], r["seq_md5"], r["qual_md5"]) == (640, hashlib.md5(seq.encode()).hexdigest(), hashlib.md5(qual.encode()).hexdigest())
