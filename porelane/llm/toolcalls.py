@@ -202,15 +202,16 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every assistant turn as a call that waits for the assistant's turn two before; the next user turn is its result.
 
     Identifiers are conv_id:turn; where a (conv_id, turn) repeats, each row is a call of its own
-    text, and the smallest text is the result.  Joins are on (conv_id, turn): no conversation is gathered.
+    text, and the smallest text is the result.  Joins are on identifiers: no conversation is gathered.
     """
     key = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
-    said = turns.where("role = 'assistant' and conv_id is not null and turn is not null")
-    before = said.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("follows")).distinct()
+    said = turns.where("role = 'assistant' and conv_id is not null and turn is not null").withColumn("call_id", key(F.col("turn")))
+    # joined by identifier, as results and levels are afterwards: texts are shuffled once
+    before = said.select(key(F.col("turn") + 2).alias("call_id"), F.lit(True).alias("follows")).distinct()
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     words = F.when(plain == "", 0).otherwise(F.size(F.split(plain, " ")))
     name = F.element_at(F.array(*map(F.lit, sorted(SCHEMAS))), (1 + F.pmod(F.col("turn"), F.lit(len(SCHEMAS)))).cast("int"))
-    calls = said.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", key(F.col("turn")).alias("call_id"), name.alias("name"), F.when(F.col("follows"), key(F.col("turn") - 2)).alias("after"), "text", F.when(F.col("text").isNotNull(), words).alias("words"))
+    calls = said.join(before, "call_id", "left").select("conv_id", "turn", "call_id", name.alias("name"), F.when(F.col("follows"), key(F.col("turn") - 2)).alias("after"), "text", F.when(F.col("text").isNotNull(), words).alias("words"))
     results = turns.where("role = 'user'").select(key(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
