@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -152,6 +152,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
+def with_least(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """df with the least value of all rows of each row's key, which isn't null; no key's rows meet in one task.
+
+    Keys with more than a thousandth of all rows are broadcast, fewer than a thousand of them at any
+    size; the others are joined by key.
+    """
+    df = written(df, "grouped")
+    least = written(df.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__rows")), "least")
+    total = least.agg(F.sum("__rows")).first()[0] or 0
+    hot = least.where(F.col("__rows") * 1000 > total).drop("__rows")
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(F.col("__rows") * 1000 <= total).drop("__rows"), key)
+    return df.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def spark_hash(values: np.ndarray) -> np.ndarray:
     """Spark's hash of a long column (Murmur3, seed 42), by which tables are bucketed."""
     m = np.uint64(0xFFFFFFFF)

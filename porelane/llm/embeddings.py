@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, rows, written
+from .common import components, dropped, rows, with_least, written
 
 BLOCK = 1024
 
@@ -169,7 +169,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, sample: int = 20_00
         links = classes.select("cid", F.col("cid").alias("root"), F.lit(0).cast("long").alias("links")).limit(0)
     links = written(links, "links")
     found = components(links, "cid", "root").select(F.col("node").alias("cid"), "component").join(classes.select("cid", "rep"), "cid")
-    low = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component_id")
+    low = with_least(found, "component", F.col("rep"), "component_id").select("cid", "component_id")
     per_class = classes.select("cid", "rep", "copies").join(low, "cid", "left").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
     per_class = written(per_class.select("cid", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     dropped(classes, links)

@@ -366,3 +366,16 @@ def test_links_next_to_the_threshold_at_any_scale():
     pair = np.array([[3.0, 4.0], [4.0, 3.0]])
     for scale in (1.0, 1e200, 1e-200, 1e300):
         assert embeddings.linked(pair * scale, 0.96).all() and not embeddings.linked(pair * scale, 0.96 + 1e-12)[0, 1]
+
+
+@pytest.mark.parametrize("rows", [0, 5, 3000])
+def test_least_of_each_key_with_hot_keys(spark, rows):
+    # a key with a third of all rows, some with a few hundred, many with one to three
+    keys = [0 if i % 3 == 0 else i % 7 if i % 3 == 1 and i % 2 else i // 3 + 10 for i in range(rows)]
+    data = [(k, i * 7919 % 5003, f"x{i}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "k long, v long, rest string").repartition(4)
+    least = {}
+    for k, v, _ in data:
+        least[k] = min(v, least.get(k, v))
+    got = common.with_least(df, "k", F.col("v"), "low")
+    assert Counter(tuple(r) for r in got.select("k", "v", "rest", "low").collect()) == Counter((k, v, x, least[k]) for k, v, x in data)
