@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob, components, dropped, free, in_batches, rows, text_bytes, trimmed_memory, unblob, written
+from .common import blob, components, dropped, free, in_batches, rows, text_bytes, trimmed_memory, unblob, with_least, written
 from .words import Words, mix64, shingles, slices, string_buffers
 
 U = np.uint64
@@ -383,7 +383,7 @@ def grouped(docs: DataFrame, words: int, percent: int, longer: float) -> DataFra
     links = written(verified(sets, alive.select("cid", "copies").join(found, "cid"), alive.count(), percent), "links")
     found = components(links, "cid", "root").select(F.col("node").alias("cid"), "component")
     low = found.join(classes.select("cid", "rep", "key"), "cid")
-    low = low.join(low.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("low")), "component").select("cid", "low")
+    low = with_least(low, "component", F.struct("rep", "key"), "low").select("cid", "low")
     per_class = classes.join(low, "cid", "left").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
     first = F.coalesce("low", F.struct("rep", "key"))
     per_class = written(per_class.select("key", first["rep"].alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (first["key"] == F.col("key")).alias("first")), "per-class")
