@@ -39,11 +39,12 @@ def label(annos: Column, config: LabelConfig) -> Column:
     return F.when(F.size(parts) == 0, F.lit("none")).otherwise(joined)
 
 
-def with_slices(reads: DataFrame) -> DataFrame:
+def with_slices(reads: DataFrame, bases: Column | None = None) -> DataFrame:
     """reads (seq, matches, ...) with slices, in order of their cut groups: array of (start, end, annos).
 
-    annos are indices of the matches that bound the slice.
+    annos are indices of the matches that bound the slice. bases: a read's length, of seq by default.
     """
+    bases = F.length("seq") if bases is None else bases
     none = F.array().cast("array<struct<direction:string,group_id:int,match_idx:int>>")
 
     def of_match(m: Column, i: Column) -> Column:
@@ -66,7 +67,7 @@ def with_slices(reads: DataFrame) -> DataFrame:
         before = F.aggregate(earlier, F.get(earlier, F.lit(0)), lambda x, c: F.when(c["end"] >= x["end"], c).otherwise(x))
         after = F.aggregate(later, F.get(later, F.lit(0)), lambda x, c: F.when(c["start"] < x["start"], c).otherwise(x))
         left = F.when(i > 0, of(before["end"], one["start"], before["anno"], one["anno"])).otherwise(of(F.lit(0), one["start"], one["anno"]))
-        right = F.when(i < F.size(members) - 1, of(one["end"], after["start"], one["anno"], after["anno"])).otherwise(of(one["end"], F.length("seq"), one["anno"]))
+        right = F.when(i < F.size(members) - 1, of(one["end"], after["start"], one["anno"], after["anno"])).otherwise(of(one["end"], bases, one["anno"]))
         single = F.when(one["direction"] == "Before", left).otherwise(right)
         return F.when(F.size(mine) == 2, of(edge(one), edge(two), one["anno"], two["anno"])).when(F.size(mine) == 1, single)
 
@@ -94,10 +95,15 @@ def trim_reads(reads: DataFrame, config: LabelConfig = LabelConfig(), skip_trim:
     return cut.select("read_id", "slice_idx", name.alias("id"), "desc", seq.alias("seq"), qual.alias("qual"), label(F.col("annos"), config).alias("label"))
 
 
+def _by_read(annotations: DataFrame) -> DataFrame:
+    """Matches to be merged with reads: Spark takes a derived string for 20 bytes and would broadcast whole reads."""
+    return gathered(annotations).hint("merge")
+
+
 def with_reads(reads: DataFrame, annotations: DataFrame) -> DataFrame:
     """Reads that have matches, with them: one row a read. A read without quality raises."""
     qual = F.when(F.col("qual").isNull(), F.raise_error(F.concat(F.lit("read without quality: "), F.col("read_id"))).cast("string")).otherwise(F.col("qual"))
-    return reads.select("read_id", "desc", "seq", qual.alias("qual")).join(gathered(annotations), "read_id")
+    return reads.select("read_id", "desc", "seq", qual.alias("qual")).join(_by_read(annotations), "read_id")
 
 
 def trim(reads: DataFrame, annotations: DataFrame, config: LabelConfig = LabelConfig(), skip_trim: bool = False, flip: bool = False) -> DataFrame:
@@ -109,14 +115,20 @@ def pull(reads: DataFrame, annotations: DataFrame, config: LabelConfig = LabelCo
     return trim(reads, annotations, config, skip_trim=True)
 
 
+def slice_counts(reads: DataFrame, annotations: DataFrame) -> DataFrame:
+    """read_id, n: how many slices each read with matches yields. Only lengths of reads travel."""
+    sizes = reads.select("read_id", F.length("seq").alias("bases")).join(_by_read(annotations), "read_id")
+    return with_slices(sizes, F.col("bases")).select("read_id", n_slices().alias("n"))
+
+
 def failed(reads: DataFrame, annotations: DataFrame) -> DataFrame:
     """read_id of reads with matches that yield no slice."""
-    return with_slices(with_reads(reads, annotations)).where(n_slices() == 0).select("read_id")
+    return slice_counts(reads, annotations).where("n = 0").select("read_id")
 
 
 def counters(reads: DataFrame, annotations: DataFrame) -> DataFrame:
     """step, metric, count: reads with matches, trimmed, split into several slices, and failed."""
-    n = with_slices(with_reads(reads, annotations)).select(n_slices().alias("n"))
+    n = slice_counts(reads, annotations)
     total = n.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("trimmed"), F.count_if(F.col("n") > 1).alias("split"), F.count_if(F.col("n") == 0).alias("failed"))
     return total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, total.columns)), F.array(*total.columns))).alias("metric", "count")).select(F.lit("trim").alias("step"), "metric", "count")
 

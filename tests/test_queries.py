@@ -70,6 +70,12 @@ def test_planted_slices_are_whole_and_of_all_scenarios(spark, sf, name, scenario
         assert r["label"] == reads[i]["label"] or reads[i]["scenario"] == 3
 
 
+@pytest.mark.parametrize("name", ["failed_reads", "stage_counters", "trim_flip", "pull_reads"])
+def test_reads_are_not_broadcast(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["label", "reads", "bases"]
