@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,36 @@ from pyspark.sql import types as T
 from ..plans.groups import PADDING
 from ..schema import FIELDS, MATCH, flat
 from .collapse import collapse_reads
-from .kernel import Group, annotate_reads
+from .kernel import CODE, STRANDS, Group, annotate_columns
 
 _CUT = pa.list_(pa.struct([("direction", pa.string()), ("group_id", pa.int32()), ("match_idx", pa.int32())]))
 _ARROW = {T.IntegerType(): pa.int32(), T.StringType(): pa.string(), MATCH["cuts"].dataType: _CUT}
 _MATCH = pa.struct([(f.name, _ARROW[f.dataType]) for f in MATCH.fields])
 
 
+def codes_of(seq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a column of strings in one array, and where each begins; null is empty."""
+    seq = (seq.fill_null("") if seq.null_count else seq).cast(pa.large_string())
+    _, offsets, data = seq.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[seq.offset : seq.offset + len(seq) + 1] if len(seq) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return CODE[data], offsets - offsets[0]
+
+
+def _records(found: dict[str, np.ndarray], groups: list[Group]) -> pa.Array:
+    """Match records from columns of numbers."""
+    base = np.concatenate([[0], np.cumsum([len(g.labels) for g in groups])])
+    valid = found["label"] >= 0
+    labels, kinds = [x for g in groups for x in g.labels] + ["flank"], [k for g in groups for k in (g.kind, g.kind[0] + "flank")]
+    text = {
+        "label": (labels, np.where(valid, base[found["group"]] + found["label"], len(labels) - 1)),
+        "match_type": (kinds, 2 * found["group"] + ~valid),
+        "strand": (STRANDS, found["strand"]),
+    }
+    column = lambda k: pa.nulls(len(valid), _CUT) if k == "cuts" else pa.array(text[k][0], pa.string()).take(pa.array(text[k][1])) if k in text else pa.array(found[k], pa.int32())
+    return pa.StructArray.from_arrays([column(k) for k in FIELDS], fields=list(_MATCH))
+
+
 def annotated(reads: DataFrame, groups: list[Group], alpha: float = 0.4, min_score: float = 0.2, min_diff: float = 0.1, collapse: bool = True, overlap: float = 0.8) -> DataFrame:
     """reads (read_id, seq, ...) with matches: array of match records; reads without a match leave.
 
@@ -28,12 +52,13 @@ def annotated(reads: DataFrame, groups: list[Group], alpha: float = 0.4, min_sco
     schema = T.StructType([*reads.schema.fields, T.StructField("matches", T.ArrayType(MATCH))])
 
     def run(batches):
+        seen: dict = {}
         for batch in batches:
-            seqs = [s.encode() if s else b"" for s in batch.column("seq").to_pylist()]
-            found = annotate_reads(seqs, groups, alpha, min_score, min_diff, PADDING)
-            rows = pa.array([[{k: m[k] for k in FIELDS} for m in ms] for ms in found], pa.list_(_MATCH))
-            out = pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "matches"])
-            yield out.filter(pa.array([bool(ms) for ms in found]))
+            found = annotate_columns(*codes_of(batch.column("seq")), groups, alpha, min_score, min_diff, PADDING, seen=seen)
+            count = np.bincount(found["read"], minlength=batch.num_rows)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[count > 0])]), pa.int32()), _records(found, groups))
+            out = batch.filter(pa.array(count > 0))
+            yield pa.RecordBatch.from_arrays([*out.columns, rows], names=[*batch.schema.names, "matches"])
 
     out = reads.mapInArrow(run, schema)
     return collapse_reads(out, overlap) if collapse else out

@@ -14,9 +14,10 @@ end.  Matching folds case; IUPAC codes match if they share a base; X matches not
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 U = np.uint64
 _BASES = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
@@ -109,29 +110,143 @@ def last_row_dp(pattern: np.ndarray, text: np.ndarray, left: np.ndarray) -> np.n
     return np.array(out)
 
 
-def last_column(final, m: int, at_end: np.ndarray) -> np.ndarray:
+@dataclass
+class Words:
+    """A pattern of up to 128 rows for `scan`: its last 64 rows fill a word, those before them, as far
+    as they aren't a run of N just above that word, a narrower one.  Rows of N only pass on costs, one
+    column later each."""
+
+    head: int  # rows of the first word
+    low: int  # rows above the last word
+    first: np.ndarray
+    last: np.ndarray
+
+
+def _packed(pattern: np.ndarray, kind) -> np.ndarray:
+    """(16,) words with the pattern at the top; the bits below it match everything and stay at cost 0."""
+    bits = np.dtype(kind).itemsize * 8
+    pad = bits - len(pattern)
+    return np.array([(1 << pad) - 1 | sum(1 << pad + i for i, p in enumerate(pattern.tolist()) if p & code) for code in range(16)], kind)
+
+
+def words_of(pattern: np.ndarray) -> Words | None:
+    low = max(0, len(pattern) - 64)
+    head = low
+    while head and pattern[head - 1] == 15:
+        head -= 1
+    if head > 64:
+        return None
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if head <= np.dtype(k).itemsize * 8)
+    return Words(head, low, _packed(pattern[:head], kind), _packed(pattern[low:], np.uint64))
+
+
+def _run(table: np.ndarray, rows: int, text: np.ndarray, step: np.ndarray, ended: list, above=None):
+    """One word of every column: whether its last row's cost rises and falls from column to column, and
+    the vertical deltas at each text's last column.  above: the same two arrays of the row above."""
+    (t, x), kind = text.shape, table.dtype
+    signed = np.dtype(f"i{kind.itemsize}")
+    pad = kind.itemsize * 8 - rows
+    pv, mv = np.full(x, sum(1 << pad + i for i in range(rows) if step[i]), kind), np.zeros(x, kind)
+    eq, xv, ph, mh, up_in, down_in = (np.empty(x, kind) for _ in range(6))
+    at = np.empty(x, np.intp)
+    up, down = np.empty((t, x), bool), np.empty((t, x), bool)
+    ends = np.zeros((2, x), kind)
+    # the top bit is the sign; doubling shifts
+    ph_sign, mh_sign, zero = ph.view(signed), mh.view(signed), np.zeros((), signed)
+    for j, (codes, rises, falls) in enumerate(zip(text, up, down)):
+        at[:] = codes
+        table.take(at, None, eq, "clip")
+        np.bitwise_or(eq, mv, xv)
+        if above is not None:
+            up_in[:], down_in[:] = above[0][j], above[1][j]
+            np.bitwise_or(eq, down_in, eq)
+        np.bitwise_and(eq, pv, ph)
+        np.add(ph, pv, ph)
+        np.bitwise_xor(ph, pv, ph)
+        np.bitwise_or(ph, eq, ph)
+        np.bitwise_and(pv, ph, mh)
+        np.bitwise_or(ph, pv, ph)
+        np.invert(ph, ph)
+        np.bitwise_or(ph, mv, ph)
+        np.less(ph_sign, zero, rises)
+        np.less(mh_sign, zero, falls)
+        np.add(ph, ph, ph)
+        np.add(mh, mh, mh)
+        if above is not None:
+            np.bitwise_or(ph, up_in, ph)
+            np.bitwise_or(mh, down_in, mh)
+        np.bitwise_and(ph, xv, mv)
+        np.bitwise_or(xv, ph, xv)
+        np.invert(xv, xv)
+        np.bitwise_or(xv, mh, pv)
+        if ended[j + 1] is not None:
+            ends[0][ended[j + 1]], ends[1][ended[j + 1]] = pv[ended[j + 1]], mv[ended[j + 1]]
+    return up, down, _bits(ends[0])[:, pad:] - _bits(ends[1])[:, pad:]
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.astype(words.dtype.newbyteorder("<")).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.int32)
+
+
+def scan(words: Words, m: int, text: np.ndarray, left: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs (columns + 1, texts) of one pattern, and the vertical deltas (texts, m) at each text's last column."""
+    t, x = text.shape
+    step = np.diff(left) > 0
+    ended: list = [None] * (t + 1)
+    for n in np.unique(lengths):
+        ended[n] = np.flatnonzero(lengths == n)
+    head, delay = words.head, words.low - words.head
+    above, deltas = None, [np.zeros((x, 0), np.int32)]
+    if words.low:
+        up, down, rows = _run(words.first, head, text, step, ended) if head else (np.zeros((t, x), bool), np.zeros((t, x), bool), deltas[0])
+        # columns before the run of N has passed: the first column's rows
+        early = np.zeros((delay, x), bool)
+        falls = early.copy()
+        falls[:] = step[head : words.low][::-1][:, None]
+        above = np.concatenate([early, up])[:t], np.concatenate([falls, down])[:t]
+        # D[head + d][n] = D[head][n - d]: vertical deltas of the run are those of the head's last row, backwards
+        at = lengths[:, None] - 1 + delay - np.arange(delay)[None, :]
+        rise, fall = np.concatenate([early, up]), np.concatenate([falls, down])
+        n = np.arange(x)[:, None]
+        deltas = [rows, fall[at, n].astype(np.int32) - rise[at, n]]
+    up, down, rows = _run(words.last, m - words.low, text, step[words.low :], ended, above)
+    change = up.view(np.int8) - down.view(np.int8)
+    cost = np.empty((t + 1, x), np.int16)
+    cost[0] = left[-1]
+    cost[1:] = change
+    for j in range(t):
+        cost[j + 1] += cost[j]
+    return cost, np.concatenate([*deltas, rows], 1)
+
+
+def deltas_of(final, m: int) -> np.ndarray:
+    """Vertical deltas (texts, m) of last_row's last columns. One pattern."""
+    bit = lambda w, i: ((w[i // 64][:, 0] >> U(i % 64)) & U(1)).astype(np.int32)
+    return np.stack([bit(final[0], i) - bit(final[1], i) for i in range(m)], 1)
+
+
+def last_column(delta: np.ndarray, at_end: np.ndarray) -> np.ndarray:
     """Costs (texts, m + 1) of all rows in each text's last column, from the vertical deltas. One pattern."""
-    delta = np.zeros((len(at_end), m), np.int32)
-    for i in range(m):
-        p, n = final[0][i // 64][:, 0], final[1][i // 64][:, 0]
-        delta[:, i] = ((p >> U(i % 64)) & U(1)).astype(np.int32) - ((n >> U(i % 64)) & U(1)).astype(np.int32)
     down = np.concatenate([np.zeros((len(at_end), 1), np.int32), np.cumsum(delta, 1)], 1)
     return at_end[:, None] - down[:, -1:] + down
 
 
 def local_minima(cost: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, column) of every hit. cost: (columns + 1, texts); columns after a text's length don't count."""
-    t = len(cost) - 1
-    col = np.arange(t + 1)[:, None]
-    cost = np.where(col <= lengths[None, :], cost, np.int16(32000))
-    d = np.sign(np.diff(cost.astype(np.int32), axis=0))
-    rises = np.concatenate([d > 0, np.ones((1, cost.shape[1]), bool)])
-    rises |= col == lengths[None, :]
-    # sign of the last change before each column: falling, or none at all
-    mark = np.where(d != 0, np.arange(1, t + 1)[:, None], 0)
-    last = np.concatenate([np.zeros((1, cost.shape[1]), np.int64), np.maximum.accumulate(mark, axis=0)])
-    before = np.where(last > 0, np.take_along_axis(d, np.maximum(last - 1, 0), 0) if t else 0, -1)
-    column, text = np.nonzero(rises & (before < 0) & (cost <= k) & (col <= lengths[None, :]))
+    column, text = np.divmod(np.flatnonzero(cost <= k), cost.shape[1])
+    column, text = (v[column <= lengths[text]] for v in (column, text))
+    end = column == lengths[text]
+    rises = end | (cost[np.minimum(column + 1, len(cost) - 1), text] > cost[column, text])
+    column, text = column[rises], text[rises]
+    # the last change before each column: falling, or none at all
+    at = column.copy()
+    live = np.arange(len(at))
+    while live.size:
+        live = live[at[live] > 0]
+        live = live[cost[at[live] - 1, text[live]] == cost[at[live], text[live]]]
+        at[live] -= 1
+    falls = (at == 0) | (cost[np.maximum(at - 1, 0), text] > cost[at, text])
+    column, text = column[falls], text[falls]
     order = np.lexsort((column, text))
     return text[order], column[order]
 
@@ -227,7 +342,7 @@ class Group:
             flank = encode(self.flank)[None, :]
             bars = np.stack([encode(s) for s in self.seqs])
             back = COMPLEMENT[bars[:, ::-1]]
-            self.tables = {"flank": (flank, bit_tables(flank)), "Fwd": (bars, bit_tables(bars)), "Rc": (back, bit_tables(back))}
+            self.tables = {"flank": (flank, bit_tables(flank)), "words": words_of(flank[0]), "Fwd": (bars, bit_tables(bars)), "Rc": (back, bit_tables(back))}
         return self
 
 
@@ -239,10 +354,15 @@ def search_flank(group: Group, text: np.ndarray, lengths: np.ndarray, alpha: flo
     pattern, tables = group.tables["flank"]
     m = pattern.shape[1]
     left = border(m, alpha)
-    cost, final = last_row(tables, m, text, left, lengths)
-    cost = cost[:, :, 0]
+    words = group.tables["words"]
+    # rows of N are passed in one step, but no row matches X
+    if words is not None and (words.low == words.head or np.count_nonzero(text) == lengths.sum()):
+        cost, delta = scan(words, m, text, left, lengths)
+    else:
+        cost, final = last_row(tables, m, text, left, lengths)
+        cost, delta = cost[:, :, 0], deltas_of(final, m)
     at_end = cost[lengths, np.arange(len(lengths))].astype(np.int32)
-    whole = last_column(final, m, at_end) + left[::-1][None, :]
+    whole = last_column(delta, at_end) + left[::-1][None, :]
     row = m - np.argmin(whole[:, ::-1], 1)  # the most pattern among equals
     cost[lengths, np.arange(len(lengths))] = whole.min(1)
     read, end = local_minima(cost, lengths, group.cutoff)
@@ -257,15 +377,32 @@ def gathered(text: np.ndarray, read: np.ndarray, start: np.ndarray, end: np.ndar
     return np.where(at < end[:, None], text[np.minimum(at, max(0, len(text) - 1)), read[:, None]], 0).astype(np.uint8) if width else np.zeros((len(read), 0), np.uint8)
 
 
+def without_gaps(pattern: np.ndarray, text: np.ndarray, read: np.ndarray, end: np.ndarray, cost: np.ndarray, row: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hits that an alignment without gaps explains: tracing back prefers the diagonal, so it would find that one."""
+    m = len(pattern)
+    at = end[:, None] - m + np.arange(m)[None, :]
+    other = ((text[np.maximum(at, 0), read[:, None]] & pattern) == 0) & (at >= 0)
+    over = np.maximum(m - end, 0)
+    return (row == m) & (other.sum(1) + left[over] == cost) & ((over == 0) | (left[over] < over))
+
+
 def flank_hits(group: Group, text: np.ndarray, lengths: np.ndarray, alpha: float, strand: str, chunk: int = 512) -> dict[str, np.ndarray]:
     """Hits on one strand with forward coordinates: read, start, end, cost, and the barcode window lo, hi (lo < 0: no room)."""
     read, end, cost, row, left = search_flank(group, text, lengths, alpha)
     pattern, m = group.tables["flank"][0], group.tables["flank"][0].shape[1]
     out = {"read": read, "cost": cost, "start": np.zeros_like(end), "end": end.copy(), "lo": np.full(len(end), -1), "hi": np.full(len(end), -1)}
     low, high = group.bar_region
-    for a in range(0, len(read), chunk):
-        s = slice(a, a + chunk)
-        begin = np.maximum(0, end[s] - (m + group.cutoff + 1))
+    straight = without_gaps(pattern[0], text, read, end, cost, row, left)
+    room = np.minimum(high, m - 1) - np.maximum(low, m - end) >= 1
+    out["start"] = np.maximum(0, end - m)
+    out["lo"] = np.where(straight & room, end - m + np.maximum(low, m - end), -1)
+    out["hi"] = np.where(straight & room, end - m + min(high, m - 1), -1)
+    # the others are traced back, in windows as wide as their costs allow
+    bent = np.flatnonzero(~straight)
+    bent = bent[np.argsort(cost[bent], kind="stable")]
+    for a in range(0, len(bent), chunk):
+        s = bent[a : a + chunk]
+        begin = np.maximum(0, end[s] - (m + cost[s] + 1))
         window = gathered(text, read[s], begin, end[s])
         lefts = np.where((begin == 0)[:, None], left[None, :], np.arange(m + 1)[None, :])
         path = trace(np.repeat(pattern, len(begin), 0), window, end[s] - begin, lefts, row[s])
@@ -301,11 +438,47 @@ def best_ends(cost: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return least, np.minimum(last, lengths[:, None])
 
 
-def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.ndarray, hits: dict, padding: int, min_score: float, min_diff: float, chunk: int = 128):
+#: as many windows are remembered for a group and strand
+REMEMBERED = 1 << 15
+
+
+def by_window(seen: dict, window: np.ndarray, size: np.ndarray, judge) -> list:
+    """What judge (windows, sizes -> a list) says of each window; each distinct one is judged once."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    keys = [w[:n].tobytes() for w, n in zip(window, size.tolist())]
+    new = {}
+    for i, key in enumerate(keys):
+        if key not in seen and key not in new:
+            new[key] = i
+    if new:
+        at = np.fromiter(new.values(), np.int64, len(new))
+        seen.update(zip(new, judge(window[at], size[at])))
+    return [seen[key] for key in keys]
+
+
+FOUND = ("valid", "label", "cost", "read_lo", "read_hi", "bar_lo", "bar_hi")
+
+
+def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.ndarray, hits: dict, padding: int, min_score: float, min_diff: float, seen: dict, chunk: int = 4096):
     """The best barcode of each hit: valid, label index, cost, read coordinates, window coordinates."""
+    out = np.zeros((len(hits["read"]), len(FOUND)), np.int64)
+    for a in range(0, len(out), chunk):
+        s = slice(a, a + chunk)
+        read = hits["read"][s]
+        begin = np.maximum(0, hits["lo"][s] - padding)
+        stop = np.minimum(hits["hi"][s] + padding, lengths[read])
+        window = gathered(forward, read, begin, stop)
+        out[s] = by_window(seen, window, stop - begin, lambda w, n: best_barcodes(group, strand, w, n, min_score, min_diff))
+        out[s, 3:] += np.where(out[s, 6:] > 0, begin[:, None], 0)  # no barcode: zeros
+    return dict(zip(FOUND, out.T))
+
+
+def best_barcodes(group: Group, strand: str, windows: np.ndarray, sizes: np.ndarray, min_score: float, min_diff: float, chunk: int = 128) -> list[list[int]]:
+    """The fields FOUND of each window, in coordinates of the window."""
     bars, tables = group.tables[strand]
-    m, n = bars.shape[1], len(hits["read"])
-    out = {k: np.zeros(n, np.int64) for k in ("valid", "label", "cost", "read_lo", "read_hi", "bar_lo", "bar_hi")}
+    m, n = bars.shape[1], len(windows)
+    out = {k: np.zeros(n, np.int64) for k in FOUND}
     rel = group.bar_region[0] - group.pad_region[0], group.bar_region[1] - group.pad_region[0]
     strict = int(np.float32(m) * np.float32(0.4))
     unit = np.arange(m + 1)
@@ -313,11 +486,8 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
     most = np.array([perfect_score(m - e) for e in range(m + 1)]) / (group.perfect or 1)
     for a in range(0, n, chunk):
         s = slice(a, a + chunk)
-        read = hits["read"][s]
-        begin = np.maximum(0, hits["lo"][s] - padding)
-        stop = np.minimum(hits["hi"][s] + padding, lengths[read])
-        window = gathered(forward, read, begin, stop)
-        size = stop - begin
+        size = sizes[s]
+        window = windows[s, : int(size.max(initial=0))]
         cost, _ = last_row(tables, m, np.ascontiguousarray(window.T), unit)
         least, ends = best_ends(cost, size)
         ok = least <= strict
@@ -335,15 +505,15 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
                     paths[hh, kk] = path, x
 
         first = np.where(ok, least, 32000).argmin(1)
-        scored(np.arange(len(read)), first)
-        top = score[np.arange(len(read)), first]
+        scored(np.arange(len(size)), first)
+        top = score[np.arange(len(size)), first]
         # of e edits, those that insert lose no match; there are at most size - m more of them than
         # deletions, so (e - (size - m)) / 2 edits lose one each, at least
         lost = np.clip(-(-(least - (size - m)[:, None]) // 2), 0, m)
         more = ok & (score == -1.0) & (most[lost] > (top - min_diff)[:, None] - 1e-9)
         scored(*np.nonzero(more))
         best = score.argmax(1)
-        rows = np.arange(len(read))
+        rows = np.arange(len(size))
         high = score[rows, best]
         score[rows, best] = -3.0
         second = score.max(1)
@@ -358,10 +528,10 @@ def barcode_hits(group: Group, strand: str, forward: np.ndarray, lengths: np.nda
             p, q = inside[0], inside[-1]
             k = a + r
             out["cost"][k] = np.count_nonzero(op[p : q + 1] != MATCH)
-            out["read_lo"][k], out["read_hi"][k] = begin[r] + j[p], begin[r] + j[q] + 1
-            out["bar_lo"][k], out["bar_hi"][k] = begin[r] + i[p], begin[r] + i[q] + 1
+            out["read_lo"][k], out["read_hi"][k] = j[p], j[q] + 1
+            out["bar_lo"][k], out["bar_hi"][k] = i[p], i[q] + 1
         out["valid"][s], out["label"][s] = valid, best
-    return out
+    return np.stack([out[k] for k in FOUND], 1).tolist()
 
 
 def least_with_overhang(tables: np.ndarray, m: int, text: np.ndarray, lengths: np.ndarray, alpha: float) -> np.ndarray:
@@ -380,75 +550,115 @@ def least_with_overhang(tables: np.ndarray, m: int, text: np.ndarray, lengths: n
 
 def residual_counts(seqs: list[bytes], group: Group, bars: list[str], flank_edits: int, barcode_edits: int, alpha: float, chunk: int = 128) -> list[int]:
     """How many flank hits of each read hold a bare barcode on the same strand."""
-    from dataclasses import replace
+    return residuals(*joined(seqs), residual_group(group, bars, flank_edits), barcode_edits, alpha, chunk).tolist()
+
 
+def residual_group(group: Group, bars: list[str], flank_edits: int) -> Group:
+    """The group with a cutoff of its own, and bare barcodes for both strands."""
     group = replace(group, cutoff=flank_edits, tables={}).prepared()
-    forward_bars = np.stack([encode(b) for b in bars])
-    tables = {"Fwd": bit_tables(forward_bars), "Rc": bit_tables(COMPLEMENT[forward_bars[:, ::-1]])}
-    out = np.zeros(len(seqs), np.int64)
-    lengths = np.array([len(s) for s in seqs], np.int64)
-    order = [r for r in np.argsort(lengths, kind="stable") if lengths[r]]
-    for a in range(0, len(order), 2000):
-        some = np.array(order[a : a + 2000])
-        size = lengths[some]
-        forward, back = (np.zeros((int(size.max()), len(some)), np.uint8) for _ in "fb")
-        for x, r in enumerate(some):
-            code = encode(seqs[r])
-            forward[: len(code), x], back[: len(code), x] = code, COMPLEMENT[code[::-1]]
+    bare = np.stack([encode(b) for b in bars])
+    group.tables |= {("bare", "Fwd"): bit_tables(bare), ("bare", "Rc"): bit_tables(COMPLEMENT[bare[:, ::-1]]), "bare_size": bare.shape[1]}
+    return group
+
+
+def residuals(codes: np.ndarray, offsets: np.ndarray, group: Group, barcode_edits: int, alpha: float, chunk: int = 128) -> np.ndarray:
+    """residual_counts of reads in one array; each distinct window is compared once."""
+    m = group.tables["bare_size"]
+    out = np.zeros(len(offsets) - 1, np.int64)
+
+    def held_by(strand):
+        def judge(windows, sizes):
+            got = []
+            for b in range(0, len(windows), chunk):
+                window, size = windows[b : b + chunk], sizes[b : b + chunk]
+                least = least_with_overhang(group.tables["bare", strand], m, np.ascontiguousarray(window.T), size, alpha)
+                got += (least <= barcode_edits).any(1).tolist()
+            return got
+
+        return judge
+
+    for some, size, forward, back in blocks(codes, offsets):
         for strand, text in (("Fwd", forward), ("Rc", back)):
             hits = flank_hits(group, text, size, alpha, strand)
-            for b in range(0, len(hits["read"]), chunk):
-                read, start, end = (hits[k][b : b + chunk] for k in ("read", "start", "end"))
+            seen = group.tables.setdefault(("held", strand, barcode_edits, alpha), {})
+            for b in range(0, len(hits["read"]), 4096):
+                read, start, end = (hits[k][b : b + 4096] for k in ("read", "start", "end"))
                 window = gathered(forward, read, start, end)
                 if window.shape[1]:
-                    least = least_with_overhang(tables[strand], forward_bars.shape[1], np.ascontiguousarray(window.T), end - start, alpha)
-                    np.add.at(out, some[read], (least <= barcode_edits).any(1))
-    return out.tolist()
+                    np.add.at(out, some[read], by_window(seen, window, end - start, held_by(strand)))
+    return out
 
 
-def rel_dist(pos: int, n: int) -> int:
-    if pos < 0:
-        return 1
-    if pos <= n // 2:
-        return pos or 1
-    return -1 if pos == n else pos - n
+def rel_dist(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(pos < 0, 1, np.where(pos <= n // 2, np.where(pos == 0, 1, pos), np.where(pos == n, -1, pos - n)))
 
 
-def annotate_reads(seqs: list[bytes], groups: list[Group], alpha: float, min_score: float, min_diff: float, padding: int = 10, block: int = 1 << 21) -> list[list[dict]]:
-    """Unfiltered match records of every read, in order of group, strand and end; overlaps are not yet collapsed."""
-    out: list[list[dict]] = [[] for _ in seqs]
-    lengths = np.array([len(s) for s in seqs], np.int64)
+def joined(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all reads in one array, and where each begins."""
+    return encode(b"".join(seqs)), np.concatenate([[0], np.cumsum([len(s) for s in seqs], dtype=np.int64)])
+
+
+def blocks(codes: np.ndarray, offsets: np.ndarray, block: int = 1 << 21):
+    """Reads of like length together: their numbers, lengths, and time-major codes of both strands. Empty reads leave."""
+    lengths = np.diff(offsets)
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
+    pad = np.zeros(int(lengths.max(initial=0)), np.uint8)
+    ahead, behind = np.concatenate([codes, pad]), np.concatenate([pad, COMPLEMENT[codes]])
     a = 0
     while a < len(order):
-        b = a + 1
-        while b < len(order) and (b - a + 1) * lengths[order[b]] <= block:
-            b += 1
-        some, a = order[a:b], b
+        some = order[a : a + max(1, block // int(lengths[order[a]]))]
+        fits = np.arange(1, len(some) + 1) * lengths[some] <= block
+        some = some[: max(1, int(fits.argmin()) if not fits.all() else len(some))]
+        a += len(some)
         size = lengths[some]
-        t = int(size.max())
-        forward = np.zeros((t, len(some)), np.uint8)
-        back = np.zeros((t, len(some)), np.uint8)
-        for x, r in enumerate(some):
-            code = encode(seqs[r])
-            forward[: len(code), x] = code
-            back[: len(code), x] = COMPLEMENT[code[::-1]]
+        t, least = int(size[-1]), int(size[0])
+        # rows of t codes from a read's start, or up to its end; what lies outside of the read is cleared
+        forward = sliding_window_view(ahead, t)[offsets[some]]
+        back = sliding_window_view(behind, t)[offsets[some] + size + len(pad) - t][:, ::-1]
+        outside = np.arange(least, t)[None, :] >= size[:, None]
+        forward[:, least:][outside] = 0
+        back[:, least:][outside] = 0
+        yield some, size, np.ascontiguousarray(forward.T), np.ascontiguousarray(back.T)
+
+
+STRANDS = ("Fwd", "Rc")
+
+
+def annotate_columns(codes: np.ndarray, offsets: np.ndarray, groups: list[Group], alpha: float, min_score: float, min_diff: float, padding: int = 10, block: int = 1 << 21, seen: dict | None = None) -> dict[str, np.ndarray]:
+    """Unfiltered matches as columns, in order of read, group, strand and end; overlaps are not yet collapsed.
+
+    read: the read's number; group and strand: numbers; label: the label's number in its group, -1 for a flank.
+    seen: remembers windows from one call to the next, of the same parameters.
+    """
+    parts, seen = [], {} if seen is None else seen
+    for some, size, forward, back in blocks(codes, offsets, block):
         for g, group in enumerate(groups):
             group.prepared()
-            for strand, text in (("Fwd", forward), ("Rc", back)):
-                hits = flank_hits(group, text, size, alpha, strand)
+            for strand, text in enumerate((forward, back)):
+                hits = flank_hits(group, text, size, alpha, STRANDS[strand])
                 room = hits["lo"] >= 0
                 hits = {k: v[room] for k, v in hits.items()}
                 if not len(hits["read"]):
                     continue
-                bars = barcode_hits(group, strand, forward, size, hits, padding, min_score, min_diff)
-                for h, x in enumerate(hits["read"]):
-                    start, end, n = int(hits["start"][h]), int(hits["end"][h]), int(size[x])
-                    row = {"read_len": n, "rel_dist_to_end": rel_dist(start, n), "read_start_flank": start, "read_end_flank": end, "flank_cost": int(hits["cost"][h]), "strand": strand, "cuts": None}
-                    if bars["valid"][h]:
-                        row |= {"read_start_bar": int(bars["read_lo"][h]), "read_end_bar": int(bars["read_hi"][h]), "bar_start": int(bars["bar_lo"][h]), "bar_end": int(bars["bar_hi"][h]), "match_type": group.kind, "barcode_cost": int(bars["cost"][h]), "label": group.labels[bars["label"][h]]}
-                    else:
-                        row |= {"read_start_bar": start, "read_end_bar": end, "bar_start": 0, "bar_end": 0, "match_type": group.kind[0] + "flank", "barcode_cost": len(group.seqs[0]), "label": "flank"}
-                    out[some[x]].append(row)
+                bars = barcode_hits(group, STRANDS[strand], forward, size, hits, padding, min_score, min_diff, seen.setdefault((g, strand), {}))
+                valid, start, end, n = bars["valid"] > 0, hits["start"], hits["end"], size[hits["read"]]
+                pick = lambda a, b: np.where(valid, a, b)
+                row = {"read": some[hits["read"]], "group": np.full(len(n), g), "read_len": n, "rel_dist_to_end": rel_dist(start, n), "read_start_bar": pick(bars["read_lo"], start), "read_end_bar": pick(bars["read_hi"], end), "read_start_flank": start, "read_end_flank": end, "bar_start": pick(bars["bar_lo"], 0), "bar_end": pick(bars["bar_hi"], 0), "flank_cost": hits["cost"], "barcode_cost": pick(bars["cost"], len(group.seqs[0])), "label": pick(bars["label"], -1), "strand": np.full(len(n), strand)}
+                parts.append(np.stack([row[k] for k in COLUMNS]))
+    out = np.concatenate(parts, 1) if parts else np.zeros((len(COLUMNS), 0), np.int64)
+    return dict(zip(COLUMNS, out[:, np.argsort(out[0], kind="stable")]))
+
+
+COLUMNS = ("read", "group", "read_len", "rel_dist_to_end", "read_start_bar", "read_end_bar", "read_start_flank", "read_end_flank", "bar_start", "bar_end", "flank_cost", "barcode_cost", "label", "strand")
+
+
+def annotate_reads(seqs: list[bytes], groups: list[Group], alpha: float, min_score: float, min_diff: float, padding: int = 10, block: int = 1 << 21) -> list[list[dict]]:
+    """annotate_columns as match records of every read."""
+    out: list[list[dict]] = [[] for _ in seqs]
+    got = annotate_columns(*joined(seqs), groups, alpha, min_score, min_diff, padding, block)
+    for values in zip(*(got[k].tolist() for k in COLUMNS)):
+        row = dict(zip(COLUMNS, values))
+        read, group, label = row.pop("read"), groups[row.pop("group")], row["label"]
+        out[read].append(row | {"strand": STRANDS[row["strand"]], "match_type": group.kind if label >= 0 else group.kind[0] + "flank", "label": group.labels[label] if label >= 0 else "flank", "cuts": None})
     return out

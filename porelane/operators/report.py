@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import kits
-from .kernel import Group, residual_counts
+from .annotate import codes_of
+from .kernel import Group, residual_group, residuals
 
 
 def normalised(trimmed: DataFrame, group: Group, bars: list[str] | None = None, flank_edits: int = 15, barcode_edits: int = 4, alpha: float = 0.5) -> DataFrame:
@@ -18,10 +20,11 @@ def normalised(trimmed: DataFrame, group: Group, bars: list[str] | None = None,
     bars = list(bars or kits.BC)
 
     def run(batches):
+        own = residual_group(group, bars, flank_edits)
         for batch in batches:
-            seqs = [s.encode() if s else b"" for s in batch.column("seq").to_pylist()]
-            counts = residual_counts(seqs, group, bars, flank_edits, barcode_edits, alpha)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([len(s) for s in seqs], pa.int32()), pa.array(counts, pa.int32())], names=["read_id", "barcode", "len", "n_flank"])
+            codes, offsets = codes_of(batch.column("seq"))
+            counts = residuals(codes, offsets, own, barcode_edits, alpha)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(np.diff(offsets), pa.int32()), pa.array(counts, pa.int32())], names=["read_id", "barcode", "len", "n_flank"])
 
     return trimmed.select("id", "label", "seq").mapInArrow(run, "read_id string, barcode string, len int, n_flank int")
 

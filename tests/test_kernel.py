@@ -172,3 +172,50 @@ def test_least_cost_with_overhang_equals_the_plain_program():
                     column = new
                     best = min(best, column[-1])
                 assert got[i, j] == min(best, (column + left[::-1]).min())
+
+
+@pytest.mark.parametrize("pattern", ["ACGTTGCAAC", "ACGTAGCTAGCATCGA" + "N" * 24 + "ACGTTGCATGCATTAGCATCGATTGCATCGGATCGATTAGCATTTGCAAC", "N" * 20 + "ACGGT" * 13, "ACGTC" * 20, "ACGNNT" * 11])
+def test_scan_equals_the_plain_recurrence(pattern):
+    rng = np.random.default_rng(len(pattern))
+    p = k.encode(pattern)
+    m, left = len(p), k.border(len(p), 0.4)
+    texts = ["".join(rng.choice(list("ACGTR"), n)) for n in (1, 7, 30, 119, 120)] + [pattern.replace("N", "A")[3:] + "ACGT" * 5]
+    lengths = np.array([len(t) for t in texts])
+    block = np.zeros((lengths.max(), len(texts)), np.uint8)
+    for x, t in enumerate(texts):
+        block[: len(t), x] = k.encode(t)
+    cost, delta = k.scan(k.words_of(p), m, block, left, lengths)
+    for x, n in enumerate(lengths):
+        assert cost[: n + 1, x].tolist() == k.last_row_dp(p, block[:n, x], left).tolist()
+        rows = [int(k.last_row_dp(p[:i], block[:n, x], left[: i + 1])[n]) for i in range(m + 1)]
+        assert k.last_column(delta[x : x + 1], cost[n, x : x + 1].astype(np.int32))[0].tolist() == rows
+
+
+def test_equal_windows_are_judged_once(monkeypatch):
+    group = kit_groups("SQK-RBK110-96")[0]
+    query = group.prefix + group.seqs[4][10:34] + group.suffix
+    rng = np.random.default_rng(1)
+    reads = [(query + "".join(rng.choice(list("ACGT"), 150))).encode() for _ in range(200)]
+    seen, judged, best, traced, trace = {}, [], k.best_barcodes, [], k.trace
+    monkeypatch.setattr(k, "best_barcodes", lambda g, s, w, *a, **b: judged.append(len(w)) or best(g, s, w, *a, **b))
+    monkeypatch.setattr(k, "trace", lambda p, *a, **b: traced.append(len(p)) or trace(p, *a, **b))
+    for _ in range(2):
+        got = k.annotate_columns(*k.joined(reads), [group], 0.4, 0.2, 0.1, seen=seen)
+        assert got["read"][got["label"] == 4].tolist() == list(range(200))
+    # one window in all and that of a chance hit; no hit without gaps is traced back
+    assert sum(judged) == 2 and sum(traced) < 100
+
+
+def test_hits_without_gaps_are_those_of_the_trace(monkeypatch):
+    rng = np.random.default_rng(5)
+    group = kit_groups("SQK-RBK110-96")[0]
+    reads = []
+    for i in range(120):
+        q = list(group.prefix + group.seqs[i % 96][10:34] + group.suffix)[int(rng.integers(0, 14)) :] + list(rng.choice(list("ACGT"), 60))
+        for at in rng.integers(0, 90, i % 7):
+            q[at : at + 1] = [["ACGT"[rng.integers(4)]], [], ["A", "C"]][rng.integers(3)]
+        reads.append("".join(rng.choice(list("ACGT"), int(rng.integers(0, 2)) * 40)) + "".join(q))
+    reads = [r.encode() for r in reads]
+    got = k.annotate_reads(reads, [group], 0.4, 0.2, 0.1)
+    monkeypatch.setattr(k, "without_gaps", lambda pattern, text, read, *a: np.zeros(len(read), bool))
+    assert sum(map(len, got)) >= 110 and k.annotate_reads(reads, [group], 0.4, 0.2, 0.1) == got
