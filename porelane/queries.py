@@ -211,13 +211,13 @@ def _digest(trimmed):
 
 def _trim(patterns, **how):
     def run(spark, sf):
-        return _digest(trim(synth.listed_reads(_orders(spark, sf)), _cut(spark, sf, patterns), **how))
+        return _digest(trim(synth.listed_reads(_spread(spark, sf)), _cut(spark, sf, patterns), **how))
 
     return run
 
 
 def pull_reads(spark, sf):
-    return _digest(pull(synth.listed_reads(_orders(spark, sf)), _cut(spark, sf, PAIR)))
+    return _digest(pull(synth.listed_reads(_spread(spark, sf)), _cut(spark, sf, PAIR)))
 
 
 SINGLE = ["Ftag[fw, *, @left(0..250), >>]"]
@@ -226,25 +226,23 @@ MULTI = ["Ftag[*, >>1]__Ftag[*, <<1, >>2]__Ftag[*, <<2]"]
 
 
 def label_variants(spark, sf):
-    pair = _cut(spark, sf, PAIR)
-    out = None
-    base = gathered(pair)
+    """Labels of each read under every valid configuration: the reads are made and filtered once."""
+    variants = []
     for i in range(48):
         parts = dict(include_label=i % 2 == 0, include_orientation=i // 2 % 2 == 0, include_flank=i // 4 % 2 == 0, sort_labels=i // 8 % 2 == 0, only_side=(None, "left", "right")[i // 16])
         if parts["sort_labels"] and parts["only_side"]:
             continue
         name = "".join("01"[v] for v in list(parts.values())[:4]) + (parts["only_side"] or "none")
-        got = base.select("read_id", F.lit(name).alias("variant"), label(F.col("matches"), LabelConfig(**parts)).alias("label"))
-        out = got if out is None else out.unionByName(got)
-    return out
+        variants.append(F.struct(F.lit(name).alias("variant"), label(F.col("matches"), LabelConfig(**parts)).alias("label")))
+    return gathered(_cut(spark, sf, PAIR)).select("read_id", F.inline(F.array(*variants)))
 
 
 def stage_counters(spark, sf):
-    return counters(synth.listed_reads(_orders(spark, sf)), filter_annotations(_lists(spark, sf), PAIR))
+    return counters(synth.listed_reads(_spread(spark, sf)), filter_annotations(_lists(spark, sf), PAIR))
 
 
 def failed_reads(spark, sf):
-    return failed(synth.listed_reads(_orders(spark, sf)), filter_annotations(_lists(spark, sf), PAIR))
+    return failed(synth.listed_reads(_spread(spark, sf)), filter_annotations(_lists(spark, sf), PAIR))
 
 
 def demux_noisy_recall(spark, sf):

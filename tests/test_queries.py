@@ -76,6 +76,12 @@ def test_reads_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name, scans", [("label_variants", 1), ("trim_flip", 2), ("failed_reads", 2)])
+def test_orders_are_read_once_a_side_and_dealt_over_all_cores(spark, sf, name, scans):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("RoundRobinPartitioning") == scans
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["label", "reads", "bases"]
