@@ -96,6 +96,47 @@ def last_row(tables: np.ndarray, m: int, text: np.ndarray, left: np.ndarray, len
     return cost, final
 
 
+def distances(patterns: np.ndarray, text: np.ndarray, lengths: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Edit distances (texts, patterns) of whole texts and whole patterns of up to 64 characters."""
+    count, m = patterns.shape
+    kind = np.dtype(np.uint32 if m <= 32 else np.uint64)
+    pad, signed, zero = kind.itemsize * 8 - m, np.dtype(f"i{kind.itemsize}"), np.zeros((), f"i{kind.itemsize}")
+    table = np.stack([_packed(p, kind) for p in patterns], 1)
+    first, all_rows = kind.type(1 << pad), kind.type((1 << kind.itemsize * 8) - (1 << pad))
+    out = np.empty((text.shape[1], count), np.int32)
+    for a in range(0, text.shape[1], chunk):
+        size = lengths[a : a + chunk]
+        x = len(size)
+        pv, mv = np.full((x, count), all_rows), np.zeros((x, count), kind)
+        eq, xv, ph, mh = (np.empty((x, count), kind) for _ in range(4))
+        rises, falls = np.empty((x, count), bool), np.empty((x, count), bool)
+        cost = np.full((x, count), m, np.int32)
+        for j in range(int(size.max(initial=0))):
+            table.take(text[j, a : a + x], 0, eq, "clip")
+            np.bitwise_or(eq, mv, xv)
+            np.bitwise_and(eq, pv, ph)
+            np.add(ph, pv, ph)
+            np.bitwise_xor(ph, pv, ph)
+            np.bitwise_or(ph, eq, ph)
+            np.bitwise_and(pv, ph, mh)
+            np.bitwise_or(ph, pv, ph)
+            np.invert(ph, ph)
+            np.bitwise_or(ph, mv, ph)
+            np.less(ph.view(signed), zero, rises)
+            np.less(mh.view(signed), zero, falls)
+            change = rises.view(np.int8) - falls.view(np.int8)
+            cost += change if j < size.min() else np.where((j < size)[:, None], change, 0)
+            np.add(ph, ph, ph)
+            np.add(mh, mh, mh)
+            np.bitwise_or(ph, first, ph)
+            np.bitwise_and(ph, xv, mv)
+            np.bitwise_or(xv, ph, xv)
+            np.invert(xv, xv)
+            np.bitwise_or(xv, mh, pv)
+        out[a : a + x] = cost
+    return out
+
+
 def last_row_dp(pattern: np.ndarray, text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The same costs for one pattern and one text by the plain recurrence."""
     column = left.astype(np.int64)

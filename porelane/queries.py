@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from . import kits, synth
 from .functions import dna
 from .functions.patterns import parse
-from .operators.annotate import annotate, annotated
+from .operators.annotate import annotate, annotated, codes_of
 from .operators.collapse import collapse_annotations
 from .operators.filter import filter_annotations, filter_from_pattern, filter_reads
 from .operators.inspect import inspect, pattern_counts, read_patterns
-from .operators.kernel import border, encode, bit_tables, last_row
+from .operators.kernel import bit_tables, border, distances, encode, last_row
+from .operators.kernel import gathered as gathered_codes
 from .operators.report import normalised, residual_adapters
 from .operators.trim import LabelConfig, counters, failed, label, pull, trim, trim_reads
 from .plans import groups
@@ -127,16 +128,29 @@ def approx_min_cost(spark, sf):
 
 def barcode_assign_margin(spark, sf):
     """Nearest of 24 barcodes by edit distance, valid if the next one is at least 3 edits further."""
-    bars = spark.createDataFrame([(f"BC{i + 1:02d}", s) for i, s in enumerate(kits.BC[:24])], "label string, bar string")
+    import numpy as np
+    import pyarrow as pa
+
     k = F.col("o_orderkey")
     own = F.element_at(F.array(*map(F.lit, kits.BC[:24])), (k % 24 + 1).cast("int"))
     edits = F.substring(synth.dna(k, "e"), F.lit(1), (k % 9).cast("int"))
     window = F.concat(edits, F.substring(own, F.length(edits) + 1, F.lit(24)))
-    cost = F.array_sort(F.array(*(F.struct(F.levenshtein("window", F.lit(s)).alias("cost"), F.lit(f"BC{i + 1:02d}").alias("label")) for i, s in enumerate(kits.BC[:24]))))
-    # the window and the distances are computed once a row, spread over all cores
-    out = held(held(_spread(spark, sf).select("o_orderkey"), "window", window), "c", cost)
-    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    return out.select("o_orderkey", first["label"].alias("label"), first["cost"].alias("cost"), (second["cost"] - first["cost"] >= 3).alias("valid"))
+    labels, bars = [f"BC{i + 1:02d}" for i in range(24)], np.stack([encode(s) for s in kits.BC[:24]])
+
+    def run(batches):
+        for batch in batches:
+            codes, offsets = codes_of(batch.column("window"))
+            size = np.diff(offsets)
+            every = np.arange(batch.num_rows)
+            cost = distances(bars, gathered_codes(codes[:, None], 0 * every, offsets[:-1], offsets[1:]).T, size)
+            best = cost.argmin(1)  # the first label among equals
+            least = cost[every, best]
+            cost[every, best] = 1 << 20
+            none = batch.column("window").is_null().to_numpy(zero_copy_only=False)
+            best[none] = 0
+            yield pa.RecordBatch.from_arrays([batch.column("o_orderkey"), pa.array(labels).take(pa.array(best)), pa.array(least, mask=none), pa.array(cost.min(1) - least >= 3, mask=none)], names=["o_orderkey", "label", "cost", "valid"])
+
+    return _spread(spark, sf).select("o_orderkey", window.alias("window")).mapInArrow(run, "o_orderkey long, label string, cost int, valid boolean")
 
 
 def exact_planted_demux(spark, sf):

@@ -219,3 +219,24 @@ def test_hits_without_gaps_are_those_of_the_trace(monkeypatch):
     got = k.annotate_reads(reads, [group], 0.4, 0.2, 0.1)
     monkeypatch.setattr(k, "without_gaps", lambda pattern, text, read, *a: np.zeros(len(read), bool))
     assert sum(map(len, got)) >= 110 and k.annotate_reads(reads, [group], 0.4, 0.2, 0.1) == got
+
+
+@pytest.mark.parametrize("m", [3, 24, 32, 40, 64])
+def test_distances_are_edit_distances(m):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(m)
+    patterns = ["".join(rng.choice(list("ACGT"), m)) for _ in range(5)]
+    texts = ["", patterns[0], patterns[1][2:], patterns[2] + "ACG"] + ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(0, 70, 20)]
+    block = np.zeros((80, len(texts)), np.uint8)
+    for x, t in enumerate(texts):
+        block[: len(t), x] = k.encode(t)
+    got = k.distances(np.stack([k.encode(p) for p in patterns]), block, np.array([len(t) for t in texts]), chunk=7)
+    assert got.tolist() == [[plain(p, t) for p in patterns] for t in texts]
