@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..made import Made, stage
 from ..plans.groups import PADDING
 from ..schema import FIELDS, MATCH, flat
 from .collapse import collapse_reads
@@ -41,15 +42,17 @@ def _records(found: dict[str, np.ndarray], groups: list[Group]) -> pa.Array:
     return pa.StructArray.from_arrays([column(k) for k in FIELDS], fields=list(_MATCH))
 
 
-def annotated(reads: DataFrame, groups: list[Group], alpha: float = 0.4, min_score: float = 0.2, min_diff: float = 0.1, collapse: bool = True, overlap: float = 0.8) -> DataFrame:
+def annotated(reads: DataFrame | Made, groups: list[Group], alpha: float = 0.4, min_score: float = 0.2, min_diff: float = 0.1, collapse: bool = True, overlap: float = 0.8, carry: list[str] | None = None) -> DataFrame:
     """reads (read_id, seq, ...) with matches: array of match records; reads without a match leave.
 
     One narrow stage: the groups travel with the task (some hundred short strings), a read's
-    columns are carried through, so nothing is joined or shuffled afterwards.
+    columns are carried through, so nothing is joined or shuffled afterwards.  carry: only these.
     """
     if not groups:
         raise ValueError("no query groups")
-    schema = T.StructType([*reads.schema.fields, T.StructField("matches", T.ArrayType(MATCH))])
+    kept = [f for f in reads.schema.fields if carry is None or f.name in carry]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField("matches", T.ArrayType(MATCH))])
 
     def run(batches):
         seen: dict = {}
@@ -57,13 +60,14 @@ def annotated(reads: DataFrame, groups: list[Group], alpha: float = 0.4, min_sco
             found = annotate_columns(*codes_of(batch.column("seq")), groups, alpha, min_score, min_diff, PADDING, seen=seen)
             count = np.bincount(found["read"], minlength=batch.num_rows)
             rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[count > 0])]), pa.int32()), _records(found, groups))
-            out = batch.filter(pa.array(count > 0))
-            yield pa.RecordBatch.from_arrays([*out.columns, rows], names=[*batch.schema.names, "matches"])
+            out = batch.select(names).filter(pa.array(count > 0))
+            yield pa.RecordBatch.from_arrays([*out.columns, rows], names=[*names, "matches"])
 
-    out = reads.mapInArrow(run, schema)
+    out = stage(reads, schema, run)
     return collapse_reads(out, overlap) if collapse else out
 
 
-def annotate(reads: DataFrame, groups: list[Group], **how) -> DataFrame:
-    """The flat table of matches: read_id, the match's fields, anno_idx."""
-    return flat(annotated(reads.select("read_id", "seq"), groups, **how).drop("seq"))
+def annotate(reads: DataFrame | Made, groups: list[Group], **how) -> DataFrame:
+    """The flat table of matches: read_id, the match's fields, anno_idx. Sequences don't come back."""
+    reads = reads if isinstance(reads, Made) else reads.select("read_id", "seq")
+    return flat(annotated(reads, groups, **how, carry=["read_id"]))

@@ -8,25 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import kits
+from ..made import Made, stage
 from .annotate import codes_of
 from .kernel import Group, residual_group, residuals
 
 
-def normalised(trimmed: DataFrame, group: Group, bars: list[str] | None = None, flank_edits: int = 15, barcode_edits: int = 4, alpha: float = 0.5) -> DataFrame:
-    """trimmed (id, label, seq) -> read_id, barcode, len, n_flank.
+def normalised(trimmed: DataFrame | Made, group: Group, bars: list[str] | None = None, flank_edits: int = 15, barcode_edits: int = 4, alpha: float = 0.5) -> DataFrame:
+    """trimmed (id or read_id, label, seq) -> read_id, barcode, len, n_flank.
 
     n_flank: flank hits within flank_edits that hold a barcode within barcode_edits on the same strand.
     """
     bars = list(bars or kits.BC)
+    name = "id" if "id" in trimmed.schema.names else "read_id"
+    trimmed = trimmed if isinstance(trimmed, Made) else trimmed.select(name, "label", "seq")
 
     def run(batches):
         own = residual_group(group, bars, flank_edits)
         for batch in batches:
             codes, offsets = codes_of(batch.column("seq"))
             counts = residuals(codes, offsets, own, barcode_edits, alpha)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(np.diff(offsets), pa.int32()), pa.array(counts, pa.int32())], names=["read_id", "barcode", "len", "n_flank"])
+            yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("label"), pa.array(np.diff(offsets), pa.int32()), pa.array(counts, pa.int32())], names=["read_id", "barcode", "len", "n_flank"])
 
-    return trimmed.select("id", "label", "seq").mapInArrow(run, "read_id string, barcode string, len int, n_flank int")
+    return stage(trimmed, "read_id string, barcode string, len int, n_flank int", run)
 
 
 def residual_adapters(trimmed: DataFrame, group: Group, **how) -> DataFrame:

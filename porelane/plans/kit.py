@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import kits
 from ..functions.patterns import parse
+from ..made import Made
 from ..operators.annotate import annotated
 from ..operators.filter import filter_reads
 from ..operators.inspect import pattern_counts, structure
@@ -30,13 +31,14 @@ class Demux:
         return self.trimmed.groupBy("label").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).cast("long").alias("bases"))
 
 
-def demux(reads: DataFrame, kit: str, maximize: bool = False, use_extended: bool = False, flank_max_errors: int | None = None, alpha: float = 0.4, min_score: float = 0.2, min_diff: float = 0.1, flip: bool = False, keep: bool = False) -> Demux:
+def demux(reads: DataFrame | Made, kit: str, maximize: bool = False, use_extended: bool = False, flank_max_errors: int | None = None, alpha: float = 0.4, min_score: float = 0.2, min_diff: float = 0.1, flip: bool = False, keep: bool = False) -> Demux:
     """reads (read_id, desc, seq, qual) through a kit. Sequences travel with their matches, so nothing is shuffled.
 
     keep: persist the annotated reads, for callers that use several of the results.
     """
     groups = kit_groups(kit, use_extended, flank_max_errors)
-    found = annotated(reads.select("read_id", "desc", "seq", "qual"), groups, alpha, min_score, min_diff)
+    columns = ["read_id", "desc", "seq", "qual"]
+    found = annotated(reads if isinstance(reads, Made) else reads.select(columns), groups, alpha, min_score, min_diff, carry=columns)
     if keep:
         found = found.persist()
     filtered = filter_reads(found, [parse(p) for p in kits.patterns(kit, maximize)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kits, synth
+from . import kits, made, synth
 from .functions import dna
 from .functions.patterns import parse
 from .operators.annotate import annotate, annotated, codes_of
@@ -155,12 +155,12 @@ def barcode_assign_margin(spark, sf):
 
 def exact_planted_demux(spark, sf):
     """All error-free planted reads through the kit's safe patterns, digests of whole slices."""
-    return _digest(demux(synth.planted_reads(_spread(spark, sf)), RAPID).trimmed)
+    return _digest(demux(made.planted_reads(_spread(spark, sf)), RAPID).trimmed)
 
 
 def planted_slices(spark, sf):
     """The same with the patterns that `maximize` adds."""
-    return _digest(demux(synth.planted_reads(_spread(spark, sf)), RAPID, maximize=True).trimmed)
+    return _digest(demux(made.planted_reads(_spread(spark, sf)), RAPID, maximize=True).trimmed)
 
 
 def overlap_collapse(spark, sf):
@@ -262,7 +262,7 @@ def failed_reads(spark, sf):
 def demux_noisy_recall(spark, sf):
     """Noisy reads by scenario: reads, reads with the planted label first, and reads that the kit keeps."""
     reads = synth.noisy_reads(_spread(spark, sf))
-    found = annotated(reads, groups.kit_groups(RAPID))
+    found = annotated(made.noisy_reads(_spread(spark, sf), "scenario", "label", "seq"), groups.kit_groups(RAPID), carry=["scenario", "label"])
     kept = filter_reads(found, [parse(p) for p in kits.patterns(RAPID, True)])
     first = F.get("matches", F.lit(0))["label"]
     hits = kept.groupBy("scenario").agg(F.count(F.lit(1)).alias("annotated"), F.count_if(F.col("label").isNotNull() & (first == F.col("label"))).alias("right_label"), F.count_if("kept").alias("kept"))
@@ -270,19 +270,19 @@ def demux_noisy_recall(spark, sf):
 
 
 def annotate_table(spark, sf):
-    return annotate(synth.planted_reads(_spread(spark, sf)), groups.kit_groups(RAPID)).select("read_id", "anno_idx", "match_type", "label", "strand", "flank_cost", "barcode_cost", "read_start_flank", "read_end_flank")
+    return annotate(made.planted_reads(_spread(spark, sf), "read_id", "seq"), groups.kit_groups(RAPID)).select("read_id", "anno_idx", "match_type", "label", "strand", "flank_cost", "barcode_cost", "read_start_flank", "read_end_flank")
 
 
 def residual_adapter_qc(spark, sf):
-    got = demux(synth.noisy_reads(_spread(spark, sf)), RAPID, maximize=True)
+    got = demux(made.noisy_reads(_spread(spark, sf)), RAPID, maximize=True)
     return residual_adapters(got.trimmed, groups.kit_groups(RAPID)[0])
 
 
 def residual_exact(spark, sf):
     """Untrimmed error-free reads: how many adapters each holds."""
-    reads = synth.planted_reads(_spread(spark, sf)).select(F.col("read_id").alias("id"), F.coalesce("label", F.lit("none")).alias("label"), "seq")
+    reads = made.planted_reads(_spread(spark, sf), "read_id", "label", "seq")
     bars = [kits.barcode(x) for x in kits.label_range("RBK01", "RBK96")]
-    return normalised(reads, groups.kit_groups(RAPID)[0], bars)
+    return normalised(reads, groups.kit_groups(RAPID)[0], bars).withColumn("barcode", F.coalesce("barcode", F.lit("none")))
 
 
 def trimmed_ends(spark, sf):
@@ -290,12 +290,12 @@ def trimmed_ends(spark, sf):
 
 
 def kit_right_tags(spark, sf):
-    return unmatched_tags(annotated(synth.planted_reads(_spread(spark, sf)), groups.kit_groups("SQK-RAB204")))
+    return unmatched_tags(annotated(made.planted_reads(_spread(spark, sf), "read_id", "seq"), groups.kit_groups("SQK-RAB204"), carry=["read_id"]))
 
 
 def demux_rapid(spark, sf):
     """The flagship: planted reads through the rapid kit, reads and bases a label."""
-    return demux(synth.planted_reads(_spread(spark, sf)), RAPID, maximize=True).summary()
+    return demux(made.planted_reads(_spread(spark, sf)), RAPID, maximize=True).summary()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

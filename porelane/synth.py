@@ -57,18 +57,28 @@ def planted_reads(orders: DataFrame) -> DataFrame:
     return out.withColumn("qual", quality(F.col("seq"), F.col("k"))).drop("k")
 
 
+def _hash(read_id: Column, i: int, salt: str) -> Column:
+    return F.pmod(F.xxhash64(read_id, F.lit(i), F.lit(salt)), F.lit(1 << 30))
+
+
+def noise(read_id: Column, edits: int) -> list[Column]:
+    """How many edits a read gets; then place (modulo the length so far), base and kind of each."""
+    each = [(_hash(read_id, i, "at"), _hash(read_id, i, "base") % 4, _hash(read_id, i, "kind") % 3) for i in range(edits)]
+    return [c.cast("int") for c in (_hash(read_id, -1, "n") % (edits + 1), *(c for one in each for c in one))]
+
+
 def noisy_reads(orders: DataFrame, edits: int = 6) -> DataFrame:
     """planted_reads with 0..edits edits at hash-chosen positions: a substitution, deletion or insertion each."""
     out = planted_reads(orders)
-    h = lambda i, salt: F.pmod(F.xxhash64("read_id", F.lit(i), F.lit(salt)), F.lit(1 << 30))
+    n, *each = noise(F.col("read_id"), edits)
     seq = F.col("seq")
     for i in range(edits):
-        at = (1 + h(i, "at") % F.length("seq")).cast("int")
-        base = F.element_at(F.array(*map(F.lit, "ACGT")), (1 + h(i, "base") % 4).cast("int"))
-        kind = h(i, "kind") % 3
+        place, base, kind = each[3 * i : 3 * i + 3]
+        at = (1 + place % F.length("seq")).cast("int")
+        base = F.element_at(F.array(*map(F.lit, "ACGT")), 1 + base)
         head, tail = F.substring(seq, F.lit(1), at - 1), F.substring(seq, at + 1, F.length(seq))
         here = F.substring(seq, at, F.lit(1))
-        seq = F.when(i < h(-1, "n") % (edits + 1), F.concat(head, F.when(kind == 0, base).when(kind == 1, F.lit("")).otherwise(F.concat(here, base)), tail)).otherwise(seq)
+        seq = F.when(i < n, F.concat(head, F.when(kind == 0, base).when(kind == 1, F.lit("")).otherwise(F.concat(here, base)), tail)).otherwise(seq)
         out, seq = out.withColumn("seq", seq), F.col("seq")
     return out.withColumn("qual", quality(F.col("seq"), F.col("read_id")))
 
