@@ -14,10 +14,11 @@ end.  Matching folds case; IUPAC codes match if they share a base; X matches not
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from numpy.lib.stride_tricks import sliding_window_view
+from numpy.lib.stride_tricks import as_strided, sliding_window_view
 
 U = np.uint64
 _BASES = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
@@ -153,14 +154,12 @@ def last_row_dp(pattern: np.ndarray, text: np.ndarray, left: np.ndarray) -> np.n
 
 @dataclass
 class Words:
-    """A pattern of up to 128 rows for `scan`: its last 64 rows fill a word, those before them, as far
-    as they aren't a run of N just above that word, a narrower one.  Rows of N only pass on costs, one
+    """A pattern for `scan`, and its longest run of N before its end: rows that only pass on costs, one
     column later each."""
 
-    head: int  # rows of the first word
-    low: int  # rows above the last word
-    first: np.ndarray
-    last: np.ndarray
+    pattern: np.ndarray
+    head: int  # rows above the run
+    low: int  # rows above the run's end
 
 
 def _packed(pattern: np.ndarray, kind) -> np.ndarray:
@@ -170,100 +169,102 @@ def _packed(pattern: np.ndarray, kind) -> np.ndarray:
     return np.array([(1 << pad) - 1 | sum(1 << pad + i for i, p in enumerate(pattern.tolist()) if p & code) for code in range(16)], kind)
 
 
-def words_of(pattern: np.ndarray) -> Words | None:
-    low = max(0, len(pattern) - 64)
-    head = low
-    while head and pattern[head - 1] == 15:
-        head -= 1
-    if head > 64:
-        return None
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if head <= np.dtype(k).itemsize * 8)
-    return Words(head, low, _packed(pattern[:head], kind), _packed(pattern[low:], np.uint64))
-
-
-def _run(table: np.ndarray, rows: int, text: np.ndarray, step: np.ndarray, ended: list, above=None):
-    """One word of every column: whether its last row's cost rises and falls from column to column, and
-    the vertical deltas at each text's last column.  above: the same two arrays of the row above."""
-    (t, x), kind = text.shape, table.dtype
-    signed = np.dtype(f"i{kind.itemsize}")
-    pad = kind.itemsize * 8 - rows
-    pv, mv = np.full(x, sum(1 << pad + i for i in range(rows) if step[i]), kind), np.zeros(x, kind)
-    eq, xv, ph, mh, up_in, down_in = (np.empty(x, kind) for _ in range(6))
-    at = np.empty(x, np.intp)
-    up, down = np.empty((t, x), bool), np.empty((t, x), bool)
-    ends = np.zeros((2, x), kind)
-    # the top bit is the sign; doubling shifts
-    ph_sign, mh_sign, zero = ph.view(signed), mh.view(signed), np.zeros((), signed)
-    for j, (codes, rises, falls) in enumerate(zip(text, up, down)):
-        at[:] = codes
-        table.take(at, None, eq, "clip")
-        np.bitwise_or(eq, mv, xv)
-        if above is not None:
-            up_in[:], down_in[:] = above[0][j], above[1][j]
-            np.bitwise_or(eq, down_in, eq)
-        np.bitwise_and(eq, pv, ph)
-        np.add(ph, pv, ph)
-        np.bitwise_xor(ph, pv, ph)
-        np.bitwise_or(ph, eq, ph)
-        np.bitwise_and(pv, ph, mh)
-        np.bitwise_or(ph, pv, ph)
-        np.invert(ph, ph)
-        np.bitwise_or(ph, mv, ph)
-        np.less(ph_sign, zero, rises)
-        np.less(mh_sign, zero, falls)
-        np.add(ph, ph, ph)
-        np.add(mh, mh, mh)
-        if above is not None:
-            np.bitwise_or(ph, up_in, ph)
-            np.bitwise_or(mh, down_in, mh)
-        np.bitwise_and(ph, xv, mv)
-        np.bitwise_or(xv, ph, xv)
-        np.invert(xv, xv)
-        np.bitwise_or(xv, mh, pv)
-        if ended[j + 1] is not None:
-            ends[0][ended[j + 1]], ends[1][ended[j + 1]] = pv[ended[j + 1]], mv[ended[j + 1]]
-    return up, down, _bits(ends[0])[:, pad:] - _bits(ends[1])[:, pad:]
-
-
-def _bits(words: np.ndarray) -> np.ndarray:
-    return np.unpackbits(words.astype(words.dtype.newbyteorder("<")).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.int32)
-
-
-def scan(words: Words, m: int, text: np.ndarray, left: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs (columns + 1, texts) of one pattern, and the vertical deltas (texts, m) at each text's last column."""
+def words_of(pattern: np.ndarray) -> Words:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], pattern == 15, [0]])))
+    runs = [(low - head, head, low) for head, low in zip(edge[::2].tolist(), edge[1::2].tolist()) if low < len(pattern)]
+    return Words(pattern, *max(runs, default=(0, 0, 0))[1:])
+
+
+def _planes(bits: np.ndarray) -> np.ndarray:
+    """(t, words): bits (t, texts) of 64 texts a word."""
+    t, x = bits.shape
+    out = np.zeros((t, -(-x // 64) * 8), np.uint8)
+    out[:, : -(-x // 8)] = np.packbits(bits, axis=1, bitorder="little")
+    return out.view("<u8")
+
+
+def _singles(planes: np.ndarray, x: int) -> np.ndarray:
+    return np.unpackbits(planes.view(np.uint8), axis=1, count=x, bitorder="little").view(np.int8)
+
+
+def scan(words: Words, m: int, text: np.ndarray, left: np.ndarray, lengths: np.ndarray, passing: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Costs (columns + 1, texts) of one pattern, and the vertical deltas (texts, m) at each text's last column.
+
+    Cell by cell along antidiagonals, 64 texts a word (Hyyro 2003).  Rows of the run of N are left out
+    if `passing` (N matches all of the texts): rows below it are as many columns ahead.
+    """
     t, x = text.shape
     step = np.diff(left) > 0
-    ended: list = [None] * (t + 1)
-    for n in np.unique(lengths):
-        ended[n] = np.flatnonzero(lengths == n)
-    head, delay = words.head, words.low - words.head
-    above, deltas = None, [np.zeros((x, 0), np.int32)]
-    if words.low:
-        up, down, rows = _run(words.first, head, text, step, ended) if head else (np.zeros((t, x), bool), np.zeros((t, x), bool), deltas[0])
-        # columns before the run of N has passed: the first column's rows
-        early = np.zeros((delay, x), bool)
-        falls = early.copy()
-        falls[:] = step[head : words.low][::-1][:, None]
-        above = np.concatenate([early, up])[:t], np.concatenate([falls, down])[:t]
-        # D[head + d][n] = D[head][n - d]: vertical deltas of the run are those of the head's last row, backwards
-        at = lengths[:, None] - 1 + delay - np.arange(delay)[None, :]
-        rise, fall = np.concatenate([early, up]), np.concatenate([falls, down])
-        n = np.arange(x)[:, None]
-        deltas = [rows, fall[at, n].astype(np.int32) - rise[at, n]]
-    up, down, rows = _run(words.last, m - words.low, text, step[words.low :], ended, above)
-    change = up.view(np.int8) - down.view(np.int8)
+    head, low = (words.head, words.low) if passing else (0, 0)
+    delay = low - head
+    own = np.concatenate([np.arange(head), np.arange(low, m)])
+    rows = len(own)
+    ahead = np.where(own < head, 0, delay) - np.arange(rows)  # row i is at column d + ahead[i] in step d
+    first, steps = min(0, head - delay), t + max(head, rows - delay) - 1
+    bit = [_planes(text & np.uint8(1 << b)) for b in range(4)]
+    w = bit[0].shape[1]
+    kinds = np.unique(words.pattern)
+    table = np.zeros((len(kinds), t, w), U)
+    for i, code in enumerate(kinds.tolist()):
+        for b in range(4):
+            if code >> b & 1:
+                table[i] |= bit[b]
+    table = table.reshape(-1, w)
+    at = np.searchsorted(kinds, words.pattern[own]) * t + ahead
+    alive = np.zeros((t + 2, w), U)  # a column before and one after all texts
+    alive[1:-1] = _planes(np.arange(t)[:, None] < lengths[None, :])
+    least, furthest, last = int(lengths.min(initial=t)), int(ahead.max()), int(ahead.min())
+    # planes: vertical rises and horizontal rises, vertical falls and horizontal falls. What a row hands down is in the next row's place
+    views = []
+    for _ in range(2):
+        held = np.zeros((4, rows + 1, w), U)
+        held[0, :rows][step[own]] = ~U(0)
+        # a horizontal plane one row down, then the vertical plane before it
+        crossed = lambda plane: as_strided(held[plane, 1:], (2, rows, w), (-(rows + 2) * w * 8, w * 8, 8))  # noqa: B023, E731
+        handed = as_strided(held[1, head:], (2, 2, w), (2 * (rows + 1) * w * 8, (rows - head) * w * 8, 8))
+        views.append((held, held[:2, :rows], held[2:, :rows], crossed(1), crossed(3), handed))
+    (held, up, down, _, _, _), (after, _, _, up_next, down_next, handed) = views
+    zero, two, now = np.empty((rows, w), U), np.empty((2, rows, w), U), np.empty(rows, np.intp)
+    got = np.empty((steps - first, 2, 2, w), U)  # rises and falls of the head's and of the last row
+    for d in range(first, steps):
+        if head - delay <= d <= head:
+            if d < head:  # the run of N hands down the first column's rows
+                held[1, head], held[3, head] = 0, ~U(0) if step[2 * head - d - 1] else 0
+            elif not head:
+                held[1, 0] = held[3, 0] = 0
+        np.add(at, d, now)
+        table.take(now, 0, zero, "clip")
+        np.bitwise_or(zero, down[0], zero)
+        np.bitwise_or(zero, down[1], zero)
+        np.bitwise_and(zero, up, down_next)
+        np.bitwise_or(zero, up, two)
+        np.bitwise_xor(two, down, two)
+        np.invert(two, up_next)
+        got[d - first] = handed
+        if d + last < 0 or d + furthest >= least:  # outside of some text: vertical deltas stay
+            here = alive.take(ahead + (d + 1), 0, mode="clip")
+            for plane in (0, 2):
+                old, new = held[plane, :rows], after[plane, :rows]
+                np.bitwise_xor(new, old, new)
+                np.bitwise_and(new, here, new)
+                np.bitwise_xor(new, old, new)
+        views.reverse()
+        (held, up, down, _, _, _), (after, _, _, up_next, down_next, handed) = views
+    rows_of = (_singles(held[0, :rows], x) - _singles(held[2, :rows], x)).T.astype(np.int32)
+    deltas = [rows_of[:, :head], rows_of[:, head:]]
+    if delay:
+        # D[head + d][n] = D[head][n - d]: vertical deltas of the run are those of the head's last row, backwards, and before them the first column's rows
+        col = lengths[:, None] - 1 - np.arange(delay)[None, :]
+        word, place = np.arange(x)[:, None] // 64, (np.arange(x)[:, None] % 64).astype(U)
+        one = lambda sign: (got[np.maximum(col, 0) + max(head - 1, 0) - first, sign, 0, word] >> place & U(1)).astype(np.int32) * (head > 0)
+        deltas.insert(1, np.where(col >= 0, one(1) - one(0), step[np.clip(head - 1 - col, 0, m - 1)]))
+    lasts = got[np.arange(t) - ahead[-1] - first, :, 1]
     cost = np.empty((t + 1, x), np.int16)
     cost[0] = left[-1]
-    cost[1:] = change
+    cost[1:] = _singles(np.ascontiguousarray(lasts[:, 0]), x) - _singles(np.ascontiguousarray(lasts[:, 1]), x)
     for j in range(t):
         cost[j + 1] += cost[j]
-    return cost, np.concatenate([*deltas, rows], 1)
-
-
-def deltas_of(final, m: int) -> np.ndarray:
-    """Vertical deltas (texts, m) of last_row's last columns. One pattern."""
-    bit = lambda w, i: ((w[i // 64][:, 0] >> U(i % 64)) & U(1)).astype(np.int32)
-    return np.stack([bit(final[0], i) - bit(final[1], i) for i in range(m)], 1)
+    return cost, np.concatenate(deltas, 1)
 
 
 def last_column(delta: np.ndarray, at_end: np.ndarray) -> np.ndarray:
@@ -357,6 +358,7 @@ def subsequence_scores(op: np.ndarray, steps: np.ndarray, decay: float = 0.5) ->
     return total
 
 
+@functools.cache
 def perfect_score(length: int) -> float:
     return float(subsequence_scores(np.zeros((max(0, length), 1), np.int16), np.array([max(0, length)]))[0])
 
@@ -392,16 +394,10 @@ def search_flank(group: Group, text: np.ndarray, lengths: np.ndarray, alpha: flo
 
     read, end, cost, row, and the window (codes, start) that the alignment lies in.
     """
-    pattern, tables = group.tables["flank"]
-    m = pattern.shape[1]
+    m = group.tables["flank"][0].shape[1]
     left = border(m, alpha)
-    words = group.tables["words"]
     # rows of N are passed in one step, but no row matches X
-    if words is not None and (words.low == words.head or np.count_nonzero(text) == lengths.sum()):
-        cost, delta = scan(words, m, text, left, lengths)
-    else:
-        cost, final = last_row(tables, m, text, left, lengths)
-        cost, delta = cost[:, :, 0], deltas_of(final, m)
+    cost, delta = scan(group.tables["words"], m, text, left, lengths, np.count_nonzero(text) == lengths.sum())
     at_end = cost[lengths, np.arange(len(lengths))].astype(np.int32)
     whole = last_column(delta, at_end) + left[::-1][None, :]
     row = m - np.argmin(whole[:, ::-1], 1)  # the most pattern among equals
@@ -427,9 +423,17 @@ def without_gaps(pattern: np.ndarray, text: np.ndarray, read: np.ndarray, end: n
     return (row == m) & (other.sum(1) + left[over] == cost) & ((over == 0) | (left[over] < over))
 
 
-def flank_hits(group: Group, text: np.ndarray, lengths: np.ndarray, alpha: float, strand: str, chunk: int = 512) -> dict[str, np.ndarray]:
+def both_strands(group: Group, both: np.ndarray, lengths: np.ndarray, alpha: float):
+    """flank_hits of the forward strand, then of the other one. Both are searched at once."""
+    x = len(lengths)
+    read, *hits, left = search_flank(group, both, np.concatenate([lengths, lengths]), alpha)
+    for strand in range(2):
+        mine = read // x == strand
+        yield flank_hits(group, both[:, strand * x : strand * x + x], lengths, STRANDS[strand], read[mine] - strand * x, *(h[mine] for h in hits), left)
+
+
+def flank_hits(group: Group, text: np.ndarray, lengths: np.ndarray, strand: str, read: np.ndarray, end: np.ndarray, cost: np.ndarray, row: np.ndarray, left: np.ndarray, chunk: int = 512) -> dict[str, np.ndarray]:
     """Hits on one strand with forward coordinates: read, start, end, cost, and the barcode window lo, hi (lo < 0: no room)."""
-    read, end, cost, row, left = search_flank(group, text, lengths, alpha)
     pattern, m = group.tables["flank"][0], group.tables["flank"][0].shape[1]
     out = {"read": read, "cost": cost, "start": np.zeros_like(end), "end": end.copy(), "lo": np.full(len(end), -1), "hi": np.full(len(end), -1)}
     low, high = group.bar_region
@@ -618,9 +622,9 @@ def residuals(codes: np.ndarray, offsets: np.ndarray, group: Group, barcode_edit
 
         return judge
 
-    for some, size, forward, back in blocks(codes, offsets):
-        for strand, text in (("Fwd", forward), ("Rc", back)):
-            hits = flank_hits(group, text, size, alpha, strand)
+    for some, size, both in blocks(codes, offsets):
+        forward = both[:, : len(some)]
+        for strand, hits in zip(STRANDS, both_strands(group, both, size, alpha)):
             seen = group.tables.setdefault(("held", strand, barcode_edits, alpha), {})
             for b in range(0, len(hits["read"]), 4096):
                 read, start, end = (hits[k][b : b + 4096] for k in ("read", "start", "end"))
@@ -640,7 +644,7 @@ def joined(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(codes: np.ndarray, offsets: np.ndarray, block: int = 1 << 21):
-    """Reads of like length together: their numbers, lengths, and time-major codes of both strands. Empty reads leave."""
+    """Reads of like length together: their numbers, lengths, and time-major codes, of both strands side by side. Empty reads leave."""
     lengths = np.diff(offsets)
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
@@ -660,7 +664,9 @@ def blocks(codes: np.ndarray, offsets: np.ndarray, block: int = 1 << 21):
         outside = np.arange(least, t)[None, :] >= size[:, None]
         forward[:, least:][outside] = 0
         back[:, least:][outside] = 0
-        yield some, size, np.ascontiguousarray(forward.T), np.ascontiguousarray(back.T)
+        both = np.empty((t, 2 * len(some)), np.uint8)
+        both[:, : len(some)], both[:, len(some) :] = forward.T, back.T
+        yield some, size, both
 
 
 STRANDS = ("Fwd", "Rc")
@@ -673,11 +679,11 @@ def annotate_columns(codes: np.ndarray, offsets: np.ndarray, groups: list[Group]
     seen: remembers windows from one call to the next, of the same parameters.
     """
     parts, seen = [], {} if seen is None else seen
-    for some, size, forward, back in blocks(codes, offsets, block):
+    for some, size, both in blocks(codes, offsets, block):
+        forward = both[:, : len(some)]
         for g, group in enumerate(groups):
             group.prepared()
-            for strand, text in enumerate((forward, back)):
-                hits = flank_hits(group, text, size, alpha, STRANDS[strand])
+            for strand, hits in enumerate(both_strands(group, both, size, alpha)):
                 room = hits["lo"] >= 0
                 hits = {k: v[room] for k, v in hits.items()}
                 if not len(hits["read"]):

@@ -240,3 +240,33 @@ def test_distances_are_edit_distances(m):
         block[: len(t), x] = k.encode(t)
     got = k.distances(np.stack([k.encode(p) for p in patterns]), block, np.array([len(t) for t in texts]), chunk=7)
     assert got.tolist() == [[plain(p, t) for p in patterns] for t in texts]
+
+
+@pytest.mark.parametrize("passing", [True, False])
+def test_scan_over_several_words_of_texts(passing):
+    rng = np.random.default_rng(11)
+    group = kit_groups("SQK-RBK110-96")[0].prepared()
+    p = group.tables["flank"][0][0]
+    m, left = len(p), k.border(len(p), 0.4)
+    lengths = rng.integers(1, 140, 150)
+    block = np.zeros((lengths.max(), 150), np.uint8)
+    for x, n in enumerate(lengths):
+        block[:n, x] = rng.choice([1, 2, 4, 8, 5, 15] + [0] * (not passing), n)
+    cost, delta = k.scan(group.tables["words"], m, block, left, lengths, passing)
+    for x in (0, 63, 64, 127, 128, int(lengths.argmin()), int(lengths.argmax())):
+        n = lengths[x]
+        assert cost[: n + 1, x].tolist() == k.last_row_dp(p, block[:n, x], left).tolist()
+        rows = k.last_column(delta[x : x + 1], cost[n, x : x + 1].astype(np.int32))[0]
+        assert [rows[i] for i in (0, 5, 16, 17, 31, 40, 41, 90)] == [k.last_row_dp(p[:i], block[:n, x], left[: i + 1])[n] for i in (0, 5, 16, 17, 31, 40, 41, 90)]
+
+
+def test_both_strands_are_searched_at_once(monkeypatch):
+    group = kit_groups("SQK-RBK110-96")[0]
+    rng = np.random.default_rng(2)
+    reads = ["".join(rng.choice(list("ACGT"), 300)) + group.prefix + group.seqs[i][10:34] + group.suffix for i in range(96)]
+    reads += ["".join("=AC=G===T"[c] for c in k.COMPLEMENT[k.encode(r)[::-1]]) for r in reads]
+    calls, scan = [], k.scan
+    monkeypatch.setattr(k, "scan", lambda *a, **b: calls.append(1) or scan(*a, **b))
+    got = k.annotate_reads([r.encode() for r in reads], [group], 0.4, 0.2, 0.1)
+    assert len(calls) == 1
+    assert [[(m["label"], m["strand"]) for m in ms if m["flank_cost"] == 0] for ms in got] == [[(label, strand)] for strand in k.STRANDS for label in group.labels]
