@@ -36,7 +36,8 @@ def collapsed(a: Column, threshold: float = 0.8) -> Column:
 
 
 def collapse_reads(reads: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return held(reads, "matches", collapsed(F.col("matches"), threshold))
+    # a match alone needs no fold
+    return held(reads, "matches", F.when(F.size("matches") <= 1, F.col("matches")).otherwise(collapsed(F.col("matches"), threshold)))
 
 
 def collapse_annotations(annotations: DataFrame, threshold: float = 0.8) -> DataFrame:
